@@ -19,6 +19,17 @@ PROFILE = "market"
 SELLER = "market.example"
 HIGH_SPEND = 40000.0
 
+# Fixed values for the proxy catalogue titles: one product word per p_size
+# bucket, so item names carry the vocabulary the classifiers and the default
+# taxonomy look for (p_size 1..50 cycles through the 25 words).
+PRODUCT_WORDS = [
+    "Craft Vinyl Roll", "Acrylic Sheet Pack", "Storage Bins", "Anime Figure", "Manga Paperback",
+    "Bulk Lot of 100", "Spanish Phrasebook", "Yoga Mat", "Raspberry Pi Kit", "Mechanical Keyboard",
+    "Travel Adapter", "Ring Light", "Poster Tube", "Cutting Board", "Protein Powder",
+    "Enamel Pins", "Poly Mailers", "USB Cable", "Hoodie", "Board Game",
+    "Card Sleeves", "Wholesale Display Board", "Candle Set", "Dumbbell Pair", "Wingspan Expansion",
+]
+
 # Stable tie-break for the position of a line inside its order.
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
               "l_shipdate", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
@@ -34,8 +45,9 @@ def lines_p(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
     part = table(spark, sf_dir, "part").select(
-        "p_partkey", "p_name", "p_brand", "p_type", "p_retailprice")
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+        "p_partkey", "p_name", "p_brand", "p_type", "p_retailprice", "p_size")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate",
+                                                   "o_orderpriority")
     # part first (shuffle on partkey), then orders: the result stays hash
     # partitioned on the order key, which the per-order window below reuses.
     j = (li.join(part, li.l_partkey == part.p_partkey)
@@ -43,7 +55,8 @@ def lines_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
     return j.select(
         "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_linestatus", "l_returnflag",
-        "l_discount", "p_name", "p_brand", "p_type", "p_retailprice", "o_custkey",
+        "l_discount", "p_name", "p_brand", "p_type", "p_retailprice", "o_custkey", "o_orderpriority",
+        product_title().alias("title"),
         F.col("o_orderdate").cast("date").alias("o_day"),
         F.col("l_shipdate").cast("date").alias("s_day"),
         F.row_number().over(w).alias("pos"))
@@ -72,9 +85,36 @@ def items_p(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_returnflag") == "R", "returned")
          .when(F.col("l_returnflag") == "A", "keep").alias("return_state"),
         F.col("o_custkey").alias("owner"),
+        F.col("title"),
     )
 
 
+def product_title() -> "F.Column":
+    """Catalogue title: part name with a capital first letter + product word."""
+    words = F.array(*[F.lit(w) for w in PRODUCT_WORDS])
+    idx = F.pmod(F.col("p_size") - 1, F.lit(len(PRODUCT_WORDS))) + 1
+    head = F.concat(F.upper(F.substring("p_name", 1, 1)), F.substring("p_name", 2, 1 << 20))
+    return F.concat(head, F.lit(" "), F.element_at(words, idx))
+
+
+def titled_items_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``items_p`` with the product title as name and a gift signal on one brand."""
+    it = items_p(spark, sf_dir)
+    return (it.withColumn("name", F.col("title"))
+              .withColumn("is_gift", F.when(F.col("maker") == "Brand#7", F.lit("gift receipt"))))
+
+
+def rules_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule table from the part vocabulary: every distinct first and last word
+    of a part name is a substring rule; priority = alphabetical rank."""
+    part = table(spark, sf_dir, "part")
+    words = (part.select(F.element_at(F.split("p_name", " "), 1).alias("pattern"))
+                 .union(part.select(F.element_at(F.split("p_name", " "), -1).alias("pattern")))
+                 .distinct())
+    return words.select(F.concat(F.lit("kw:"), "pattern").alias("label"), "pattern",
+                        F.dense_rank().over(Window.orderBy("pattern")).alias("priority"))
+
+
 def purchases_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Purchase events as orders: owner = user, one order per event."""
     ev = table(spark, sf_dir, "events")

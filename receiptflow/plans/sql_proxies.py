@@ -5,11 +5,16 @@ CTE bodies joined by :func:`with_`.
 """
 from __future__ import annotations
 
+from .proxies import PRODUCT_WORDS
+
 TODAY_SQL = "DATE '2001-07-01'"
+_WORDS_SQL = "[" + ", ".join("'" + w + "'" for w in PRODUCT_WORDS) + "]"
 
 LINES_P = """lines_p AS (
   SELECT l_orderkey, l_partkey, l_linenumber, l_quantity, l_linestatus, l_returnflag, l_discount,
-         p_name, p_brand, p_type, p_retailprice, o_custkey,
+         p_name, p_brand, p_type, p_retailprice, o_custkey, o_orderpriority,
+         upper(substr(p_name, 1, 1)) || substr(p_name, 2) || ' ' ||
+           """ + _WORDS_SQL + """[((p_size - 1) % 25) + 1] AS title,
          CAST(o_orderdate AS DATE) AS o_day, CAST(l_shipdate AS DATE) AS s_day,
          ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
              l_quantity, l_extendedprice, l_shipdate, l_discount, l_tax, l_returnflag,
@@ -25,7 +30,7 @@ ITEMS_P = """items_p AS (
          CASE WHEN l_returnflag = 'A' AND l_discount >= 0.08
               THEN CAST(s_day + INTERVAL '14' DAY AS DATE) END AS return_by,
          CASE l_returnflag WHEN 'R' THEN 'returned' WHEN 'A' THEN 'keep' END AS return_state,
-         o_custkey AS owner
+         o_custkey AS owner, title
   FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY l_orderkey, p_name ORDER BY pos) AS rn
         FROM lines_p) f
   WHERE rn = 1)"""
@@ -65,5 +70,14 @@ def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
 
+TITLED_P = """titled_p AS (
+  SELECT * REPLACE (title AS name), CASE WHEN maker = 'Brand#7' THEN 'gift receipt' END AS is_gift
+  FROM items_p)"""
+
+RULES_P = """rules_p AS (
+  SELECT 'kw:' || pattern AS label, pattern, DENSE_RANK() OVER (ORDER BY pattern) AS priority
+  FROM (SELECT DISTINCT split_part(p_name, ' ', 1) AS pattern FROM part
+        UNION SELECT DISTINCT split_part(p_name, ' ', -1) FROM part) w)"""
+
 ITEMS = with_(LINES_P, ITEMS_P)
 ITEMS_W = with_(LINES_P, ITEMS_P, WINDOWED)
