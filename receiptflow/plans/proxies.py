@@ -55,7 +55,8 @@ def lines_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
     return j.select(
         "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_linestatus", "l_returnflag",
-        "l_discount", "p_name", "p_brand", "p_type", "p_retailprice", "o_custkey", "o_orderpriority",
+        "l_discount", "p_name", "p_brand", "p_type", "p_retailprice", "p_size", "o_custkey",
+        "o_orderpriority",
         product_title().alias("title"),
         F.col("o_orderdate").cast("date").alias("o_day"),
         F.col("l_shipdate").cast("date").alias("s_day"),
@@ -123,3 +124,77 @@ def purchases_p(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("event_id").cast("string").alias("order_id"),
                       F.col("ts").cast("date").alias("purchased_at"),
                       F.col("event_id").alias("id")))
+
+
+# Sighting kinds per order (seq = l_orderkey * 8 + kind): 1 order mail, 2 delivery
+# mail (lines with status F), 3 return-window mail (lines with flag A), refund
+# mail 4 -- or 0, i.e. before the order mail, for order keys ending in 0.
+KIND_VIA = {1: "order", 2: "shipment", 3: "return_window", 4: "refund", 0: "refund"}
+IMG_BASE = "https://img.example/p/"
+SNAPSHOT_BEFORE = _dt.date(1996, 1, 1)
+PRIOR_LOG_BEFORE = _dt.date(1995, 3, 1)
+
+
+def _uid(kind) -> "F.Column":
+    return F.concat(F.lit("m"), F.col("l_orderkey").cast("string"), F.lit("-"), F.lit(kind).cast("string"))
+
+
+def sightings_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order-line sightings from three kinds of mail, one pass over lines_p."""
+    lp = lines_p(spark, sf_dir)
+    kinds = F.filter(F.array(F.lit(1), F.when(F.col("l_linestatus") == "F", F.lit(2)),
+                             F.when(F.col("l_returnflag") == "A", F.lit(3))), lambda k: k.isNotNull())
+    x = lp.withColumn("kind", F.explode(kinds))
+    via = F.create_map(*[y for k, v in KIND_VIA.items() for y in (F.lit(k), F.lit(v))])
+    return x.select(
+        F.concat(F.lit("m"), F.col("l_orderkey").cast("string"), F.lit("-"),
+                 F.col("kind").cast("string")).alias("uid"),
+        (F.col("l_orderkey") * 8 + F.col("kind")).alias("seq"),
+        F.col("pos").cast("int").alias("pos"),
+        via[F.col("kind")].alias("via"),
+        F.lit(PROFILE).alias("profile"), F.lit(SELLER).alias("seller"),
+        F.col("l_orderkey").cast("string").alias("order_id"),
+        F.col("p_name").alias("name"), F.col("p_brand").alias("maker"),
+        F.col("p_retailprice").alias("price"), F.lit("USD").alias("currency"),
+        F.col("l_quantity").cast("int").alias("quantity"),
+        F.when(F.col("kind") == 1, F.col("o_day")).alias("purchased_at"),
+        F.when(F.col("kind") == 2, F.col("s_day")).alias("delivered_at"),
+        F.when(F.col("kind") == 3, F.date_add("s_day", 14)).alias("return_by"),
+        F.when((F.col("kind") == 1) & (F.col("p_size") <= 45),
+               F.concat(F.lit(IMG_BASE), F.col("l_partkey").cast("string"), F.lit(".jpg"))).alias("image_url"),
+        F.lit("template").alias("source"),
+        F.col("o_day"))
+
+
+def refunds_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One order-level refund per order that has a returned (R) line."""
+    lp = lines_p(spark, sf_dir)
+    r = (lp.groupBy("l_orderkey")
+           .agg(F.max((F.col("l_returnflag") == "R").cast("int")).alias("has_r"),
+                F.min("o_day").alias("o_day"))
+           .filter("has_r = 1"))
+    kind = F.when(F.col("l_orderkey") % 10 == 0, F.lit(0)).otherwise(F.lit(4))
+    return r.select(
+        F.concat(F.lit("m"), F.col("l_orderkey").cast("string"), F.lit("-"), kind.cast("string")).alias("uid"),
+        (F.col("l_orderkey") * 8 + kind).alias("seq"),
+        F.lit("refund").alias("via"), F.lit(PROFILE).alias("profile"),
+        F.col("l_orderkey").cast("string").alias("order_id"),
+        F.lit(None).cast("string").alias("name"), "o_day")
+
+
+def messages_log_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per message (sighting mails and refund mails): uid, seq, via, day."""
+    s = sightings_p(spark, sf_dir).select("uid", "seq", "via", "o_day").distinct()
+    r = refunds_p(spark, sf_dir).select("uid", "seq", "via", "o_day")
+    return s.unionByName(r)
+
+
+def prior_log_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An earlier run's ingest log: every message of orders placed before 1995-03-01."""
+    return messages_log_p(spark, sf_dir).filter(F.col("o_day") < F.lit(PRIOR_LOG_BEFORE)).select(
+        F.col("uid").alias("email_uid"), F.lit("added").alias("status"))
+
+
+def snapshot_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue as it stood before 1996: items ordered before then."""
+    return items_p(spark, sf_dir).filter(F.col("purchased_at") < F.lit(SNAPSHOT_BEFORE))

@@ -1 +1,313 @@
-"""Queries (filled in below)."""
+"""Merge / state-transition queries (milestone 3)."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..operators import merge as M
+from ..operators import views as V
+from ..operators import zones as Z
+from . import proxies as P
+from .q_views import SEARCH_KEYS_SQL, search_keys
+from .registry import query
+from .sql_gen import route_ctes
+from .sql_proxies import (DEDUPED, ITEMS_P, LINES_P, MERGED, MESSAGES_LOG_P, PRIOR_LOG_P,
+                          REFUNDS_P, SIGHTINGS_P, SNAPSHOT_P, TITLED_P, with_)
+
+BASE = [LINES_P, SIGHTINGS_P, REFUNDS_P]
+
+
+def _deduped(spark, sf_dir):
+    return M.dedupe_in_message(P.sightings_p(spark, sf_dir))
+
+
+@query("dedupe_in_message", with_(*BASE, DEDUPED) + "SELECT uid, pos, name FROM dd")
+def dedupe_in_message(spark, sf_dir):
+    return _deduped(spark, sf_dir).select("uid", "pos", "name")
+
+
+@query("merge_lifecycle", with_(*BASE, DEDUPED, MERGED) + """
+SELECT ROW_NUMBER() OVER (ORDER BY first_o) AS id, profile, seller, order_id, name, quantity,
+       purchased_at, delivered_at, return_by, return_state, first_seq
+FROM merged""")
+def merge_lifecycle(spark, sf_dir):
+    m = M.merge_lifecycle(_deduped(spark, sf_dir), P.refunds_p(spark, sf_dir))
+    return m.select("id", "profile", "seller", "order_id", "name", "quantity", "purchased_at",
+                    "delivered_at", "return_by", "return_state", "first_seq")
+
+
+@query("merge_counts", with_(*BASE, DEDUPED, MERGED) + """
+SELECT COUNT(*) AS added, CAST(SUM(n_enriched) AS BIGINT) AS enriched,
+       CAST(SUM(n_sightings - 1 - n_enriched) AS BIGINT) AS duplicate_items,
+       COUNT(*) FILTER (WHERE flipped) AS returned
+FROM merged""")
+def merge_counts(spark, sf_dir):
+    return M.merge_counts(_deduped(spark, sf_dir), P.refunds_p(spark, sf_dir))
+
+
+@query("refund_marks_returned", with_(*BASE, DEDUPED, MERGED) + """
+SELECT order_id, name, return_state FROM merged WHERE flipped""")
+def refund_marks_returned(spark, sf_dir):
+    m = M.merge_lifecycle(_deduped(spark, sf_dir), P.refunds_p(spark, sf_dir), assign_ids=False)
+    return m.filter("flipped").select("order_id", "name", "return_state")
+
+
+_PREVIEW_SQL = """pv AS (
+  SELECT r.uid, r.order_id, COUNT(i.order_id) AS would_flip
+  FROM refunds_p r LEFT JOIN (SELECT * FROM snapshot_p WHERE COALESCE(return_state, '') <> 'returned') i
+    ON COALESCE(r.profile, '') = COALESCE(i.profile, '') AND r.order_id = COALESCE(i.order_id, '')
+   AND (COALESCE(r.name, '') = '' OR r.name = COALESCE(i.name, ''))
+  GROUP BY r.uid, r.order_id)"""
+
+
+@query("refund_preview", with_(*BASE, ITEMS_P, SNAPSHOT_P, _PREVIEW_SQL) + "SELECT * FROM pv")
+def refund_preview(spark, sf_dir):
+    return M.refund_preview(P.snapshot_p(spark, sf_dir), P.refunds_p(spark, sf_dir))
+
+
+@query("ingest_preview", with_(*BASE, ITEMS_P, SNAPSHOT_P, DEDUPED, _PREVIEW_SQL) + """,
+known AS (SELECT DISTINCT COALESCE(profile, '') AS p, COALESCE(seller, '') AS s,
+                 COALESCE(order_id, '') AS o, COALESCE(name, '') AS n FROM snapshot_p),
+j AS (SELECT dd.*, k.p IS NOT NULL AS is_known FROM dd LEFT JOIN known k
+        ON COALESCE(dd.profile, '') = k.p AND COALESCE(dd.seller, '') = k.s
+       AND COALESCE(dd.order_id, '') = k.o AND COALESCE(dd.name, '') = k.n)
+SELECT COUNT(*) FILTER (WHERE NOT is_known) AS added,
+       COUNT(*) FILTER (WHERE is_known AND (delivered_at IS NOT NULL OR return_by IS NOT NULL)) AS enriched,
+       COUNT(*) FILTER (WHERE is_known AND delivered_at IS NULL AND return_by IS NULL) AS duplicate_items,
+       (SELECT CAST(COALESCE(SUM(would_flip), 0) AS BIGINT) FROM pv) AS returned
+FROM j""")
+def ingest_preview(spark, sf_dir):
+    return M.dry_run_counts(_deduped(spark, sf_dir), P.refunds_p(spark, sf_dir), P.snapshot_p(spark, sf_dir))
+
+
+def _run_outcome(spark, sf_dir):
+    """Messages of this run (not in the prior log) and their per-uid outcome."""
+    msgs = P.messages_log_p(spark, sf_dir)
+    prior = P.prior_log_p(spark, sf_dir)
+    new = msgs.join(prior, msgs.uid == prior.email_uid, "left_anti")
+    s = _deduped(spark, sf_dir).join(new.select("uid"), "uid", "left_semi")
+    r = P.refunds_p(spark, sf_dir).join(new.select("uid"), "uid", "left_semi")
+    m = M.merge_lifecycle(s, r, assign_ids=False)
+    added_per_uid = (m.filter("added").select(F.col("row_uid").alias("uid")) if "row_uid" in m.columns
+                     else None)
+    return msgs, prior, new, s, r, m, added_per_uid
+
+
+_RUN_SQL = """new_msgs AS (SELECT * FROM messages_log_p WHERE uid NOT IN (SELECT email_uid FROM prior_log_p)),
+dd_all AS (SELECT * FROM dd),
+dd_run AS (SELECT * FROM dd_all WHERE uid IN (SELECT uid FROM new_msgs)),
+ref_run AS (SELECT * FROM refunds_p WHERE uid IN (SELECT uid FROM new_msgs))"""
+
+
+@query("new_messages_only", with_(*BASE, MESSAGES_LOG_P, PRIOR_LOG_P) + """
+SELECT uid, via FROM messages_log_p m WHERE NOT EXISTS (SELECT 1 FROM prior_log_p p WHERE p.email_uid = m.uid)""")
+def new_messages_only(spark, sf_dir):
+    msgs = P.messages_log_p(spark, sf_dir)
+    prior = P.prior_log_p(spark, sf_dir)
+    return msgs.join(prior, msgs.uid == prior.email_uid, "left_anti").select("uid", "via")
+
+
+def _first_uid_per_key(sightings):
+    """Which message inserted each natural key (min (seq, pos))."""
+    k = sightings.select("uid", *M.key_cols(), F.struct("seq", "pos").alias("_o"))
+    return k.groupBy(*M.K).agg(F.min_by("uid", "_o").alias("uid"))
+
+
+@query("ingest_log_status", with_(*BASE, DEDUPED, MESSAGES_LOG_P) + """,
+ks AS (SELECT *, COALESCE(profile, '') AS a, COALESCE(seller, '') AS b, COALESCE(order_id, '') AS c,
+              COALESCE(name, '') AS d, seq * 1000 + pos AS o FROM dd),
+ins AS (SELECT arg_min(uid, o) AS uid FROM ks GROUP BY a, b, c, d),
+per_uid AS (SELECT uid, COUNT(*) AS n FROM ins GROUP BY uid)
+SELECT m.uid AS email_uid, CASE WHEN COALESCE(p.n, 0) > 0 THEN 'added' ELSE 'skipped' END AS status,
+       'template:' || m.via AS parsed_via, CAST(COALESCE(p.n, 0) AS INTEGER) AS items_found
+FROM messages_log_p m LEFT JOIN per_uid p USING (uid)""")
+def ingest_log_status(spark, sf_dir):
+    """M8: one log row per message: ``added`` when it inserted a row, else
+    ``skipped`` (enrichments, duplicates and refunds insert nothing)."""
+    s = _deduped(spark, sf_dir)
+    per_uid = _first_uid_per_key(s).groupBy("uid").agg(F.count(F.lit(1)).alias("n"))
+    msgs = P.messages_log_p(spark, sf_dir)
+    j = msgs.join(per_uid, "uid", "left")
+    n = F.coalesce(F.col("n"), F.lit(0))
+    return j.select(F.col("uid").alias("email_uid"),
+                    F.when(n > 0, "added").otherwise("skipped").alias("status"),
+                    F.concat(F.lit("template:"), F.col("via")).alias("parsed_via"),
+                    n.cast("int").alias("items_found"))
+
+
+@query("ingest_summary", with_(*BASE, MESSAGES_LOG_P, PRIOR_LOG_P, _RUN_SQL.replace("dd_all AS (SELECT * FROM dd),\n", ""), DEDUPED.replace("FROM sightings_p", "FROM sightings_p WHERE uid IN (SELECT uid FROM new_msgs)"),
+                                MERGED.replace("FROM refunds_p WHERE", "FROM ref_run WHERE")).replace("dd_run AS (SELECT * FROM dd_all WHERE uid IN (SELECT uid FROM new_msgs)),\n", "") + """
+SELECT (SELECT COUNT(*) FROM messages_log_p) AS candidates,
+       (SELECT COUNT(*) FROM messages_log_p WHERE uid IN (SELECT email_uid FROM prior_log_p)) AS already_done,
+       COUNT(*) AS added, CAST(SUM(n_enriched) AS BIGINT) AS enriched,
+       COUNT(*) FILTER (WHERE flipped) AS returned,
+       CAST(SUM(n_sightings - 1 - n_enriched) AS BIGINT) AS duplicate_items,
+       CAST(0 AS BIGINT) AS non_item, COUNT(*) FILTER (WHERE image_url IS NULL) AS no_image,
+       CAST(0 AS BIGINT) AS no_parse, CAST(0 AS BIGINT) AS errors
+FROM merged""")
+def ingest_summary(spark, sf_dir):
+    """A2: the apply-run counters, one row (messages already in the prior log
+    are skipped; nothing here fails to parse or is filtered)."""
+    msgs = P.messages_log_p(spark, sf_dir)
+    prior = P.prior_log_p(spark, sf_dir)
+    new = msgs.join(prior, msgs.uid == prior.email_uid, "left_anti").select("uid")
+    s = M.dedupe_in_message(P.sightings_p(spark, sf_dir).join(new, "uid", "left_semi"))
+    r = P.refunds_p(spark, sf_dir).join(new, "uid", "left_semi")
+    m = M.merge_lifecycle(s, r, assign_ids=False)
+    seen = msgs.join(prior, msgs.uid == prior.email_uid, "left").select(
+        F.lit(1).alias("c"), F.col("email_uid").isNotNull().cast("int").alias("d"))
+    rows = m.select(F.col("added").cast("int").alias("a"), F.col("n_enriched").alias("e"),
+                    F.col("flipped").cast("int").alias("r"), F.col("n_duplicate").alias("u"),
+                    (F.col("added") & F.col("image_url").isNull()).cast("int").alias("i"))
+    u = (seen.select("c", "d", *[F.lit(0).alias(x) for x in "aerui"])
+             .unionByName(rows.select(F.lit(0).alias("c"), F.lit(0).alias("d"), "a", "e", "r", "u", "i")))
+    z = F.lit(0).cast("long")
+    return u.agg(F.sum("c").cast("long").alias("candidates"), F.sum("d").cast("long").alias("already_done"),
+                 F.sum("a").cast("long").alias("added"), F.sum("e").cast("long").alias("enriched"),
+                 F.sum("r").cast("long").alias("returned"), F.sum("u").cast("long").alias("duplicate_items"),
+                 z.alias("non_item"), F.sum("i").cast("long").alias("no_image"),
+                 z.alias("no_parse"), z.alias("errors"))
+
+
+@query("via_counts", with_(*BASE, MESSAGES_LOG_P) + """
+SELECT 'template:' || via AS via, COUNT(*) AS n FROM messages_log_p GROUP BY 1""")
+def via_counts(spark, sf_dir):
+    """A3: messages with at least one kept item per template (refund mails
+    count: their return event is a kept item)."""
+    return (P.messages_log_p(spark, sf_dir)
+            .groupBy(F.concat(F.lit("template:"), F.col("via")).alias("via"))
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("known_items", with_(*BASE, ITEMS_P, SNAPSHOT_P, DEDUPED) + """,
+known AS (SELECT DISTINCT COALESCE(profile, '') AS p, COALESCE(seller, '') AS s,
+                 COALESCE(order_id, '') AS o, COALESCE(name, '') AS n FROM snapshot_p)
+SELECT uid, pos, k.p IS NOT NULL AS known FROM dd LEFT JOIN known k
+  ON COALESCE(dd.profile, '') = k.p AND COALESCE(dd.seller, '') = k.s
+ AND COALESCE(dd.order_id, '') = k.o AND COALESCE(dd.name, '') = k.n""")
+def known_items(spark, sf_dir):
+    """does each sighting's natural key already exist in the catalogue."""
+    s = _deduped(spark, sf_dir).select("uid", "pos", *M.key_cols())
+    snap = P.snapshot_p(spark, sf_dir).select(*M.key_cols()).distinct().withColumn("known", F.lit(True))
+    return (s.join(snap, M.K, "left")
+             .select("uid", "pos", F.coalesce(F.col("known"), F.lit(False)).alias("known")))
+
+
+@query("distinct_order_lines", with_(*BASE) + """
+SELECT COUNT(DISTINCT (COALESCE(profile, ''), COALESCE(seller, ''), COALESCE(order_id, ''),
+                       COALESCE(name, ''))) AS n_keys,
+       COUNT(DISTINCT uid) AS n_uids
+FROM sightings_p""")
+def distinct_order_lines(spark, sf_dir):
+    """Distinct natural keys and distinct message ids among the sightings."""
+    s = P.sightings_p(spark, sf_dir)
+    return s.agg(F.count_distinct(*M.key_cols()).alias("n_keys"),
+                 F.count_distinct("uid").alias("n_uids"))
+
+
+@query("catalog_insert", with_(*BASE, ITEMS_P, SNAPSHOT_P, DEDUPED) + """,
+known AS (SELECT DISTINCT COALESCE(profile, '') AS p, COALESCE(seller, '') AS s,
+                 COALESCE(order_id, '') AS o, COALESCE(name, '') AS n FROM snapshot_p),
+fresh AS (
+  SELECT dd.*, ROW_NUMBER() OVER (PARTITION BY COALESCE(dd.profile, ''), COALESCE(dd.seller, ''),
+                                  COALESCE(dd.order_id, ''), COALESCE(dd.name, '') ORDER BY seq, pos) AS krn
+  FROM dd LEFT JOIN known k ON COALESCE(dd.profile, '') = k.p AND COALESCE(dd.seller, '') = k.s
+   AND COALESCE(dd.order_id, '') = k.o AND COALESCE(dd.name, '') = k.n
+  WHERE k.p IS NULL)
+SELECT (SELECT MAX(id) FROM snapshot_p) + ROW_NUMBER() OVER (ORDER BY seq, pos) AS id,
+       profile, seller, order_id, name, COALESCE(NULLIF(quantity, 0), 1) AS quantity,
+       COALESCE(source, 'template') AS source
+FROM fresh WHERE krn = 1""")
+def catalog_insert(spark, sf_dir):
+    """Rows a run inserts into an existing catalogue (first sighting of
+    each unknown key, quantity 1 when missing, ids after the current maximum)."""
+    snap = P.snapshot_p(spark, sf_dir)
+    m = M.merge_lifecycle(_deduped(spark, sf_dir), existing=snap)
+    return m.filter("added").select("id", "profile", "seller", "order_id", "name", "quantity", "source")
+
+
+@query("upsert_latest", """
+SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type,
+       arg_max(value, (ts, event_id)) AS value
+FROM events GROUP BY user_id""")
+def upsert_latest(spark, sf_dir):
+    """Last write wins per key (here: each user's latest event)."""
+    ev = P.table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value", "ts")
+    return M.upsert_latest(ev, "user_id", ["ts", "event_id"]).select(
+        "user_id", "event_id", "event_type", "value")
+
+
+_DECISIONS_SQL = """dec AS (
+  SELECT key, CASE WHEN regexp_full_match(key, '[0-9]+') AND length(key) > 3 AND key LIKE '%001'
+                   THEN 'evaluate' WHEN regexp_full_match(key, '[0-9]+') THEN 'keep' ELSE 'return' END AS state,
+         CASE WHEN NOT regexp_full_match(key, '[0-9]+') THEN 1
+              WHEN key LIKE '%001' AND length(key) > 3 THEN 3 ELSE 2 END AS seq
+  FROM keys)"""
+
+
+def decisions_p(spark, sf_dir):
+    """Manual decisions: name fragments -> return (seq 1), order ids -> keep
+    (seq 2), item ids -> evaluate (seq 3)."""
+    k = search_keys(spark, sf_dir)
+    digits = F.col("key").rlike("^[0-9]+$")
+    item_id = digits & F.col("key").endswith("001") & (F.length("key") > 3)
+    return k.select("key",
+                    F.when(item_id, "evaluate").when(digits, "keep").otherwise("return").alias("state"),
+                    F.when(~digits, 1).when(item_id, 3).otherwise(2).alias("seq"))
+
+
+@query("apply_decisions", with_(LINES_P, ITEMS_P, SEARCH_KEYS_SQL,
+                                __import__("receiptflow.plans.q_views", fromlist=["FIND_SQL"]).FIND_SQL,
+                                _DECISIONS_SQL) + """,
+res AS (SELECT d.seq, d.key, d.state, f.id, f.return_state FROM found f JOIN dec d USING (key)
+        WHERE f.tier = f.best)
+SELECT seq, key, id, COALESCE(LAG(state) OVER (PARTITION BY id ORDER BY seq, key),
+                              COALESCE(return_state, '(none)')) AS old_state, state AS new_state
+FROM res""")
+def apply_decisions(spark, sf_dir):
+    items = P.items_p(spark, sf_dir)
+    dec = decisions_p(spark, sf_dir)
+    found = V.find_items(items, dec.select("key"), P.PROFILE).select("key", "id")
+    resolved = found.join(dec, "key")
+    return M.apply_decisions(items, resolved).select("seq", "key", "id", "old_state", "new_state")
+
+
+LEGACY_SCHEMA_COLS = ["id", "profile", "name", "maker", "price", "currency", "seller", "order_id",
+                      "purchased_at", "category"]
+TARGET = T.StructType([
+    T.StructField("id", T.LongType()), T.StructField("name", T.StringType()),
+    T.StructField("quantity", T.IntegerType()), T.StructField("delivered_at", T.DateType()),
+    T.StructField("return_state", T.StringType()), T.StructField("zone", T.StringType())])
+
+
+@query("migrate_columns", with_(LINES_P, ITEMS_P) + """
+SELECT id, name, 1 AS quantity, CAST(NULL AS DATE) AS delivered_at, CAST(NULL AS VARCHAR) AS return_state,
+       CAST(NULL AS VARCHAR) AS zone FROM items_p""")
+def migrate_columns(spark, sf_dir):
+    """M9: a catalogue written before quantity / lifecycle / zone columns."""
+    legacy = P.items_p(spark, sf_dir).select(*LEGACY_SCHEMA_COLS)
+    return M.migrate_columns(legacy, TARGET)
+
+
+@query("remap_zone_ids", with_(LINES_P, ITEMS_P, TITLED_P, route_ctes(Z.DEFAULT_TAXONOMY, "titled_p"))
+       + "SELECT id, zone, zone_secondary FROM routed")
+def remap_zone_ids(spark, sf_dir):
+    """A catalogue that stored legacy zone ids, remapped."""
+    routed = Z.route_items(P.titled_items_p(spark, sf_dir), Z.DEFAULT_TAXONOMY)
+    inverse = {v: k for k, v in M.LEGACY_ZONE_MAP.items()}
+    back = F.create_map(*[x for k, v in inverse.items() for x in (F.lit(k), F.lit(v))])
+    legacy = routed.select("id", F.coalesce(back[F.col("zone")], F.col("zone")).alias("zone"),
+                           F.coalesce(back[F.col("zone_secondary")], F.col("zone_secondary"))
+                           .alias("zone_secondary"))
+    return M.remap_zone_ids(legacy)
+
+
+@query("catalog_counts", with_(*BASE, DEDUPED, MESSAGES_LOG_P) + """
+SELECT (SELECT COUNT(*) FROM (SELECT DISTINCT COALESCE(profile, ''), COALESCE(seller, ''),
+                                     COALESCE(order_id, ''), COALESCE(name, '') FROM dd)) AS items,
+       (SELECT COUNT(*) FROM embeddings) AS embeddings,
+       (SELECT COUNT(*) FROM messages_log_p) AS emails_logged""")
+def catalog_counts(spark, sf_dir):
+    """A1: rows of the merged catalogue, the embedding index and the log."""
+    items = M.merge_lifecycle(_deduped(spark, sf_dir), assign_ids=False)
+    return V.catalog_counts(items, P.table(spark, sf_dir, "embeddings"), P.messages_log_p(spark, sf_dir))

@@ -12,7 +12,7 @@ _WORDS_SQL = "[" + ", ".join("'" + w + "'" for w in PRODUCT_WORDS) + "]"
 
 LINES_P = """lines_p AS (
   SELECT l_orderkey, l_partkey, l_linenumber, l_quantity, l_linestatus, l_returnflag, l_discount,
-         p_name, p_brand, p_type, p_retailprice, o_custkey, o_orderpriority,
+         p_name, p_brand, p_type, p_retailprice, p_size, o_custkey, o_orderpriority, l_partkey AS partkey,
          upper(substr(p_name, 1, 1)) || substr(p_name, 2) || ' ' ||
            """ + _WORDS_SQL + """[((p_size - 1) % 25) + 1] AS title,
          CAST(o_orderdate AS DATE) AS o_day, CAST(l_shipdate AS DATE) AS s_day,
@@ -81,3 +81,78 @@ RULES_P = """rules_p AS (
 
 ITEMS = with_(LINES_P, ITEMS_P)
 ITEMS_W = with_(LINES_P, ITEMS_P, WINDOWED)
+
+
+SIGHTINGS_P = """sightings_p AS (
+  SELECT 'm' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(kind AS VARCHAR) AS uid,
+         l_orderkey * 8 + kind AS seq, CAST(pos AS INTEGER) AS pos,
+         CASE kind WHEN 1 THEN 'order' WHEN 2 THEN 'shipment' ELSE 'return_window' END AS via,
+         'market' AS profile, 'market.example' AS seller, CAST(l_orderkey AS VARCHAR) AS order_id,
+         p_name AS name, p_brand AS maker, p_retailprice AS price, 'USD' AS currency,
+         CAST(l_quantity AS INTEGER) AS quantity,
+         CASE WHEN kind = 1 THEN o_day END AS purchased_at,
+         CASE WHEN kind = 2 THEN s_day END AS delivered_at,
+         CASE WHEN kind = 3 THEN CAST(s_day + INTERVAL '14' DAY AS DATE) END AS return_by,
+         CASE WHEN kind = 1 AND p_size <= 45
+              THEN 'https://img.example/p/' || CAST(l_partkey AS VARCHAR) || '.jpg' END AS image_url,
+         'template' AS source, o_day
+  FROM lines_p JOIN (VALUES (1), (2), (3)) k(kind)
+    ON kind = 1 OR (kind = 2 AND l_linestatus = 'F') OR (kind = 3 AND l_returnflag = 'A'))"""
+
+REFUNDS_P = """refunds_p AS (
+  SELECT 'm' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(kind AS VARCHAR) AS uid,
+         l_orderkey * 8 + kind AS seq, 'refund' AS via, 'market' AS profile,
+         CAST(l_orderkey AS VARCHAR) AS order_id, CAST(NULL AS VARCHAR) AS name, o_day
+  FROM (SELECT l_orderkey, MIN(o_day) AS o_day,
+               CASE WHEN l_orderkey % 10 = 0 THEN 0 ELSE 4 END AS kind
+        FROM lines_p GROUP BY l_orderkey
+        HAVING MAX(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) = 1) r)"""
+
+DEDUPED = """dd AS (
+  SELECT * EXCLUDE (rn) FROM (
+    SELECT *, ROW_NUMBER() OVER (PARTITION BY uid, seller, order_id, name ORDER BY pos) AS rn
+    FROM sightings_p) x WHERE rn = 1)"""
+
+# Per natural key: the first sighting's row, the first delivery / return-by
+# sighting, counters; then order-level refunds.  o = seq * 1000 + pos.
+MERGED = """ks AS (
+  SELECT COALESCE(profile, '') AS k_profile, COALESCE(seller, '') AS k_seller,
+         COALESCE(order_id, '') AS k_order_id, COALESCE(name, '') AS k_name,
+         seq * 1000 + pos AS o, * FROM dd),
+firsts AS (
+  SELECT * EXCLUDE (krn) FROM (
+    SELECT *, ROW_NUMBER() OVER (PARTITION BY k_profile, k_seller, k_order_id, k_name ORDER BY o) AS krn
+    FROM ks) x WHERE krn = 1),
+agg AS (
+  SELECT k_profile, k_seller, k_order_id, k_name, COUNT(*) AS n_sightings,
+         arg_min(delivered_at, o) FILTER (WHERE delivered_at IS NOT NULL) AS first_delivered,
+         MIN(o) FILTER (WHERE delivered_at IS NOT NULL) AS d_o,
+         arg_min(return_by, o) FILTER (WHERE return_by IS NOT NULL) AS first_return_by,
+         MIN(o) FILTER (WHERE return_by IS NOT NULL) AS r_o
+  FROM ks GROUP BY ALL),
+ref AS (
+  SELECT COALESCE(profile, '') AS k_profile, order_id AS k_order_id, MAX(seq) AS rseq
+  FROM refunds_p WHERE COALESCE(order_id, '') <> '' AND COALESCE(name, '') = ''
+  GROUP BY ALL),
+merged AS (
+  SELECT f.profile, f.seller, f.order_id, f.name, f.maker, f.price,
+         COALESCE(NULLIF(f.quantity, 0), 1) AS quantity, f.purchased_at, f.image_url,
+         a.first_delivered AS delivered_at, a.first_return_by AS return_by,
+         f.seq AS first_seq, f.pos AS first_pos, f.o AS first_o,
+         CASE WHEN r.rseq > f.seq THEN 'returned' ELSE 'evaluate' END AS return_state,
+         COALESCE(r.rseq > f.seq, FALSE) AS flipped,
+         CAST((a.d_o IS NOT NULL AND a.d_o <> f.o) AS INTEGER)
+           + CAST((a.r_o IS NOT NULL AND a.r_o <> f.o) AS INTEGER)
+           - CAST(COALESCE(a.d_o <> f.o AND a.d_o = a.r_o, FALSE) AS INTEGER) AS n_enriched,
+         a.n_sightings
+  FROM firsts f JOIN agg a USING (k_profile, k_seller, k_order_id, k_name)
+  LEFT JOIN ref r ON r.k_profile = f.k_profile AND r.k_order_id = f.k_order_id)"""
+
+MESSAGES_LOG_P = """messages_log_p AS (
+  SELECT DISTINCT uid, seq, via, o_day FROM sightings_p
+  UNION ALL SELECT uid, seq, via, o_day FROM refunds_p)"""
+
+PRIOR_LOG_P = """prior_log_p AS (
+  SELECT uid AS email_uid, 'added' AS status FROM messages_log_p WHERE o_day < DATE '1995-03-01')"""
+
+SNAPSHOT_P = """snapshot_p AS (SELECT * FROM items_p WHERE purchased_at < DATE '1996-01-01')"""
