@@ -198,3 +198,120 @@ def prior_log_p(spark: SparkSession, sf_dir: str) -> DataFrame:
 def snapshot_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The catalogue as it stood before 1996: items ordered before then."""
     return items_p(spark, sf_dir).filter(F.col("purchased_at") < F.lit(SNAPSHOT_BEFORE))
+
+
+# --- rendered mail ------------------------------------------------------------------
+# Fixed layout of the rendered proxy mail (each kind-1 mail picks its layout
+# from the order priority so every extractor sees real input).
+MAIL_FROM = {1: "auto-confirm@amazon.example", 2: "shipment-tracking@amazon.example",
+             3: "return@amazon.example", 4: "refund@amazon.example", 0: "refund@amazon.example"}
+NOISE_FROM = "deals@amazon.example"
+PIXEL_IMG = '<img src="https://t.example/open?pixel=1">'
+BLOCK_PRIORITY = "2-HIGH"
+SUBJECT_ONLY_PRIORITY = "3-MEDIUM"
+GIFT_PRIORITY = "1-URGENT"
+NOISE_SEQ_BASE = 10 ** 15
+
+
+def market_order_id(k) -> "F.Column":
+    """ddd-ddddddd-ddddddd from an integer order key."""
+    k = F.col(k) if isinstance(k, str) else k
+    return F.concat(F.lit("113-"), F.lpad(F.floor(k / 10000000).cast("string"), 7, "0"), F.lit("-"),
+                    F.lpad(F.pmod(k, F.lit(10000000)).cast("string"), 7, "0"))
+
+
+def _long_date(d) -> "F.Column":
+    return F.date_format(d, "MMMM d, yyyy")
+
+
+def messages_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mails rendered from the order lines: order confirmation (line, block or
+    subject-only layout; gift line on urgent orders), delivery mail with bare
+    item lines, return-window mail, refund mail, and one marketing mail per
+    customer.  Columns: uid, seq, from_addr, subject, msg_date, text, html."""
+    lp = lines_p(spark, sf_dir)
+    ln = F.struct(
+        F.col("pos"), F.col("l_quantity").cast("int").alias("qty"), F.col("title"),
+        F.col("p_retailprice").alias("price"), F.col("l_partkey").alias("partkey"),
+        F.col("p_size").alias("size"), F.col("l_linestatus").alias("st"),
+        F.col("l_returnflag").alias("rf"), F.col("s_day").alias("s_day"))
+    per_order = (lp.groupBy("l_orderkey", "o_day", "o_orderpriority")
+                   .agg(F.array_sort(F.collect_list(ln)).alias("lines")))
+    oid = market_order_id("l_orderkey")
+
+    def line_text(l):
+        return F.format_string("%d x %s - $%s", l["qty"], l["title"], F.format_number(l["price"], 2))
+
+    def block_text(l):
+        return F.format_string("* %s\n  Quantity: %d\n  %s USD", l["title"], l["qty"],
+                               F.format_number(l["price"], 2))
+
+    def img(l):
+        return F.when(l["size"] <= 45, F.format_string('<img src="https://img.example/p/%d.jpg">',
+                                                       l["partkey"])).otherwise(F.lit(""))
+
+    pri = F.col("o_orderpriority")
+    lines = F.col("lines")
+    plain_lines = F.when(pri == BLOCK_PRIORITY, F.array_join(F.transform(lines, block_text), "\n")) \
+                   .when(pri == SUBJECT_ONLY_PRIORITY, F.lit("")) \
+                   .otherwise(F.array_join(F.transform(lines, line_text), "\n"))
+    html_lines = F.when(pri == BLOCK_PRIORITY, F.array_join(F.transform(lines, lambda l: F.concat(
+                     F.lit("<p>"), F.replace(block_text(l), F.lit("\n"), F.lit("<br>")), F.lit("</p>"), img(l))), "")) \
+                  .when(pri == SUBJECT_ONLY_PRIORITY, F.array_join(F.transform(lines, img), "")) \
+                  .otherwise(F.array_join(F.transform(lines, lambda l: F.concat(
+                      F.lit("<tr><td>"), line_text(l), F.lit("</td></tr>"), img(l))), ""))
+    gift = F.when(pri == GIFT_PRIORITY, F.lit("\nThis order is a gift.")).otherwise(F.lit(""))
+    n = F.size(lines)
+    subj1 = F.when(pri == SUBJECT_ONLY_PRIORITY,
+                   F.format_string('Ordered: "%s..." and %d more item(s)', lines[0]["title"], n - 1)) \
+             .otherwise(F.format_string("Your Amazon.com order #%s of %d item(s)", oid, n))
+    order_mail = F.struct(
+        F.lit(1).alias("kind"), subj1.alias("subject"), F.col("o_day").alias("msg_date"),
+        F.concat(F.lit("Order Confirmation\nOrder #"), oid, F.lit("\n"), plain_lines, gift,
+                 F.lit("\nThank you for shopping with us.")).alias("text"),
+        F.concat(F.lit("<html><body><p>Order Confirmation</p>"), F.lit(PIXEL_IMG), F.lit("<table>"),
+                 html_lines, F.lit("</table></body></html>")).alias("html"))
+    f_lines = F.filter(lines, lambda l: l["st"] == "F")
+    a_lines = F.filter(lines, lambda l: l["rf"] == "A")
+    d_day = F.array_max(F.transform(f_lines, lambda l: l["s_day"]))
+    r_day = F.date_add(F.array_max(F.transform(a_lines, lambda l: l["s_day"])), 14)
+    bare = lambda arr: F.array_join(F.transform(arr, lambda l: F.concat(F.lit("- "), l["title"])), "\n")
+    ship_mail = F.when(F.size(f_lines) > 0, F.struct(
+        F.lit(2).alias("kind"), F.concat(F.lit("Delivered: your package from order #"), oid).alias("subject"),
+        d_day.alias("msg_date"),
+        F.concat(F.lit("Your package was delivered.\nDelivered on "), _long_date(d_day), F.lit("\n"),
+                 bare(f_lines)).alias("text"),
+        F.concat(F.lit("<p>Delivered on "), _long_date(d_day), F.lit("</p>")).alias("html")))
+    ret_mail = F.when(F.size(a_lines) > 0, F.struct(
+        F.lit(3).alias("kind"), F.concat(F.lit("Return window closing for order #"), oid).alias("subject"),
+        F.date_sub(r_day, 14).alias("msg_date"),
+        F.concat(F.lit("The return window closes on "), _long_date(r_day), F.lit(" for:\n"),
+                 bare(a_lines)).alias("text"),
+        F.lit("").alias("html")))
+    has_r = F.exists(lines, lambda l: l["rf"] == "R")
+    rkind = F.when(F.pmod(F.col("l_orderkey"), F.lit(10)) == 0, F.lit(0)).otherwise(F.lit(4))
+    refund_mail = F.when(has_r, F.struct(
+        rkind.alias("kind"), F.concat(F.lit("Your refund for order #"), oid, F.lit(" has been issued"))
+        .alias("subject"), F.col("o_day").alias("msg_date"),
+        F.concat(F.lit("We issued your refund for order #"), oid, F.lit(".")).alias("text"),
+        F.lit("").alias("html")))
+    mails = per_order.select("l_orderkey", F.explode(F.filter(
+        F.array(order_mail, ship_mail, ret_mail, refund_mail), lambda m: m.isNotNull())).alias("m"))
+    from_map = F.create_map(*[x for k, v in MAIL_FROM.items() for x in (F.lit(k), F.lit(v))])
+    orders_mail = mails.select(
+        F.concat(F.lit("m"), F.col("l_orderkey").cast("string"), F.lit("-"),
+                 F.col("m.kind").cast("string")).alias("uid"),
+        (F.col("l_orderkey") * 8 + F.col("m.kind")).alias("seq"),
+        from_map[F.col("m.kind")].alias("from_addr"), F.col("m.subject").alias("subject"),
+        F.col("m.msg_date").alias("msg_date"), F.col("m.text").alias("text"),
+        F.col("m.html").alias("html"))
+    cust = table(spark, sf_dir, "customer")
+    noise = cust.select(
+        F.concat(F.lit("n"), F.col("c_custkey").cast("string")).alias("uid"),
+        (F.lit(NOISE_SEQ_BASE) + F.col("c_custkey")).alias("seq"),
+        F.lit(NOISE_FROM).alias("from_addr"),
+        F.concat(F.lit("Deals for "), F.col("c_name"), F.lit(": 20% off")).alias("subject"),
+        F.lit(None).cast("date").alias("msg_date"),
+        F.lit("Recommended for you. Based on your order history.").alias("text"),
+        F.lit('<p>Shop now</p><img src="https://img.example/banner/sale.jpg">').alias("html"))
+    return orders_mail.unionByName(noise)

@@ -156,3 +156,32 @@ PRIOR_LOG_P = """prior_log_p AS (
   SELECT uid AS email_uid, 'added' AS status FROM messages_log_p WHERE o_day < DATE '1995-03-01')"""
 
 SNAPSHOT_P = """snapshot_p AS (SELECT * FROM items_p WHERE purchased_at < DATE '1996-01-01')"""
+
+OID_SQL = ("'113-' || lpad(CAST(l_orderkey // 10000000 AS VARCHAR), 7, '0') || '-' || "
+           "lpad(CAST(l_orderkey % 10000000 AS VARCHAR), 7, '0')")
+
+# Per order: what the rendered mails say (see proxies.messages_p).
+MAIL_ORDERS = """mo AS (
+  SELECT l_orderkey, MIN(o_day) AS o_day, MIN(o_orderpriority) AS pri, COUNT(*) AS n,
+         """ + OID_SQL + """ AS oid,
+         arg_min(title, pos) AS first_title, arg_min(p_retailprice, pos) AS first_price,
+         arg_min(partkey, pos) FILTER (WHERE p_size <= 45) AS img_part,
+         MAX(s_day) FILTER (WHERE l_linestatus = 'F') AS f_day,
+         MAX(s_day) FILTER (WHERE l_returnflag = 'A') AS a_day,
+         COUNT(*) FILTER (WHERE l_linestatus = 'F') AS n_f,
+         COUNT(*) FILTER (WHERE l_returnflag = 'A') AS n_a,
+         BOOL_OR(l_returnflag = 'R') AS has_r
+  FROM lines_p GROUP BY l_orderkey),
+mails AS (
+  SELECT l_orderkey, 1 AS kind, * EXCLUDE (l_orderkey) FROM mo
+  UNION ALL SELECT l_orderkey, 2, * EXCLUDE (l_orderkey) FROM mo WHERE n_f > 0
+  UNION ALL SELECT l_orderkey, 3, * EXCLUDE (l_orderkey) FROM mo WHERE n_a > 0
+  UNION ALL SELECT l_orderkey, CASE WHEN l_orderkey % 10 = 0 THEN 0 ELSE 4 END, * EXCLUDE (l_orderkey)
+            FROM mo WHERE has_r),
+mail AS (
+  SELECT 'm' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(kind AS VARCHAR) AS uid,
+         l_orderkey * 8 + kind AS seq, * FROM mails
+  UNION ALL
+  SELECT 'n' || CAST(c_custkey AS VARCHAR), 1000000000000000 + c_custkey, NULL, -1, NULL, 'noise', 0,
+         NULL, NULL, NULL, NULL, NULL, NULL, 0, 0, FALSE
+  FROM customer)"""
