@@ -1 +1,133 @@
-"""Queries (filled in below)."""
+"""Vector-search and index queries (milestone 6) over ``embeddings``."""
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..operators import vectors as VX
+from . import proxies as P
+from .registry import query
+
+# Label whose centroid plays the single query photo of V1.
+QUERY_LABEL = 3
+
+
+def index_p(spark, sf_dir):
+    """The image index: item_id + float vector (one per embeddings row)."""
+    e = P.table(spark, sf_dir, "embeddings")
+    return e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"), "label")
+
+
+def catalogue_p(spark, sf_dir):
+    """Catalogue rows for the index: parts; an image exists for p_size <= 45."""
+    part = P.table(spark, sf_dir, "part")
+    return part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"),
+                       F.col("p_brand").alias("maker"), F.col("p_retailprice").alias("price"),
+                       F.when(F.col("p_size") <= 45, F.concat(F.lit("images/"), F.col("p_partkey").cast("string"),
+                                                               F.lit(".jpg"))).alias("image_path"))
+
+
+def label_centroids(spark, sf_dir):
+    """Query block: the normalised mean vector of each label (one per label)."""
+    e = index_p(spark, sf_dir)
+    x = e.select("label", F.posexplode("vector").alias("i", "x"))
+    m = x.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    v = m.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("s"))
+    v = v.select("label", F.transform("s", lambda t: t["x"]).alias("v"))
+    return v.select(F.col("label").alias("query_id"), VX.normalize(F.col("v")).alias("query_vector"))
+
+
+_CENTROIDS_SQL = """WITH x AS (SELECT label, i, CAST(embedding[i] AS DOUBLE) AS x
+                FROM embeddings, range(1, 65) r(i)),
+m AS (SELECT label, i, AVG(x) AS x FROM x GROUP BY label, i),
+v AS (SELECT label, list(x ORDER BY i) AS v FROM m GROUP BY label),
+c AS (SELECT label AS query_id,
+             list_transform(v, lambda e: e / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS q FROM v),
+s AS (SELECT c.query_id, e.vec_id AS item_id,
+             list_sum(list_transform(list_zip(CAST(e.embedding AS DOUBLE[]), c.q), lambda z: z[1] * z[2])) AS score
+      FROM c, embeddings e)
+"""
+
+
+@query("knn_batch", _CENTROIDS_SQL + """
+SELECT query_id, rank, item_id, ROUND(score, 4) AS score,
+       CASE WHEN score >= 0.85 THEN 'high' WHEN score >= 0.75 THEN 'medium' ELSE 'low' END AS confidence
+FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM s) t
+WHERE rank <= 5""")
+def knn_batch(spark, sf_dir):
+    r = VX.knn_batch(index_p(spark, sf_dir), label_centroids(spark, sf_dir), k=5)
+    return r.select("query_id", F.col("rank").cast("long").alias("rank"), "item_id",
+                    F.round("score", 4).alias("score"), "confidence")
+
+
+@query("knn_topk", _CENTROIDS_SQL + f"""
+SELECT ROW_NUMBER() OVER (ORDER BY score DESC, item_id) AS rank, item_id, ROUND(score, 4) AS score,
+       CASE WHEN score >= 0.85 THEN 'high' WHEN score >= 0.75 THEN 'medium' ELSE 'low' END AS confidence,
+       p_name AS name, p_brand AS maker, p_retailprice AS price
+FROM (SELECT * FROM s WHERE query_id = {QUERY_LABEL} ORDER BY score DESC, item_id LIMIT 5) t
+JOIN part ON p_partkey = item_id""")
+def knn_topk(spark, sf_dir):
+    """V1: one query photo (label 3's centroid), top 5 with item fields."""
+    q = label_centroids(spark, sf_dir).filter(F.col("query_id") == QUERY_LABEL).first()
+    top = VX.knn_topk(index_p(spark, sf_dir), list(q["query_vector"]), k=5)
+    items = catalogue_p(spark, sf_dir)
+    j = top.join(items, top.item_id == items.id)
+    w = Window.orderBy(F.desc("score"), "item_id")   # k rows only
+    return j.select(F.row_number().over(w).alias("rank"), "item_id", F.round("score", 4).alias("score"),
+                    "confidence", "name", "maker", "price")
+
+
+@query("embeddings_with_items", """
+SELECT vec_id AS item_id, len(embedding) AS dim, p_name AS name FROM embeddings JOIN part ON p_partkey = vec_id""")
+def embeddings_with_items(spark, sf_dir):
+    e = index_p(spark, sf_dir)
+    j = VX.embeddings_with_items(e, catalogue_p(spark, sf_dir))
+    return j.select("item_id", F.size("vector").cast("bigint").alias("dim"), "name")
+
+
+@query("items_missing_embedding", """
+SELECT p_partkey AS id FROM part WHERE p_size <= 45 AND p_partkey NOT IN (SELECT vec_id FROM embeddings)""")
+def items_missing_embedding(spark, sf_dir):
+    return VX.items_missing_embedding(catalogue_p(spark, sf_dir), index_p(spark, sf_dir)).select("id")
+
+
+@query("reindex_plan", """
+SELECT p_partkey AS id, p_partkey IN (SELECT vec_id FROM embeddings) AS has_vector
+FROM part WHERE p_size <= 45""")
+def reindex_plan(spark, sf_dir):
+    """V3 with force: every item with an image, flagged if a vector exists."""
+    plan = VX.reindex_plan(catalogue_p(spark, sf_dir), index_p(spark, sf_dir), force=True)
+    e = index_p(spark, sf_dir).select(F.col("item_id").alias("id")).withColumn("has_vector", F.lit(True))
+    return plan.select("id").join(e, "id", "left").select(
+        "id", F.coalesce("has_vector", F.lit(False)).alias("has_vector"))
+
+
+@query("reindex_stats", """
+SELECT COUNT(*) FILTER (WHERE p_size <= 45 AND vec_id IS NOT NULL) AS embedded,
+       COUNT(*) FILTER (WHERE p_size > 45) AS skipped,
+       COUNT(*) FILTER (WHERE p_size <= 45 AND vec_id IS NULL) AS failed
+FROM part LEFT JOIN embeddings ON vec_id = p_partkey""")
+def reindex_stats(spark, sf_dir):
+    """A10 for a forced run over every catalogue row; the embedding job's
+    output is the stored index (a missing vector counts as a failure)."""
+    items = catalogue_p(spark, sf_dir)
+    return VX.reindex_stats(items, index_p(spark, sf_dir).select("item_id", "vector"))
+
+
+@query("normalize_vectors", """
+WITH n AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+u AS (SELECT vec_id, list_transform(v, lambda e: e / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS u FROM n)
+SELECT vec_id, ROUND(u[1], 6) AS first, ROUND(u[64], 6) AS last,
+       ROUND(sqrt(list_sum(list_transform(u, lambda y: y * y))), 6) AS norm FROM u""")
+def normalize_vectors(spark, sf_dir):
+    e = P.table(spark, sf_dir, "embeddings").select("vec_id", VX.normalize(F.col("embedding")).alias("u"))
+    return e.select("vec_id", F.round(F.col("u")[0], 6).alias("first"), F.round(F.col("u")[63], 6).alias("last"),
+                    F.round(F.sqrt(F.aggregate("u", F.lit(0.0), lambda a, y: a + y * y)), 6).alias("norm"))
+
+
+@query("vector_import", "SELECT vec_id, embedding FROM embeddings")
+def vector_import(spark, sf_dir):
+    """float32 blobs round trip (pack with Arrow, unpack back)."""
+    e = P.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    b = VX.vectors_to_bytes(e).select("vec_id", "blob")
+    return VX.bytes_to_vectors(b).select("vec_id", F.col("vector").alias("embedding"))
