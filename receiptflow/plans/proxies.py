@@ -315,3 +315,35 @@ def messages_p(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("Recommended for you. Based on your order history.").alias("text"),
         F.lit('<p>Shop now</p><img src="https://img.example/banner/sale.jpg">').alias("html"))
     return orders_mail.unionByName(noise)
+
+
+def completions_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cached model answers for every order mail: the order's lines as JSON;
+    urgent orders wrapped in a code fence, high ones in prose, medium ones with
+    string prices, unspecified ones without names."""
+    lp = lines_p(spark, sf_dir)
+    oid = market_order_id("l_orderkey")
+    pri = F.col("o_orderpriority")
+    price = F.when(pri == SUBJECT_ONLY_PRIORITY, F.col("p_retailprice").cast("string"))
+    item = F.struct(
+        F.col("pos"),
+        F.when(pri != "4-NOT SPECIFIED", F.col("title")).alias("name"),
+        F.col("p_brand").alias("maker"),
+        F.coalesce(price, F.col("p_retailprice").cast("string")).alias("_p"),
+        F.lit("USD").alias("currency"), F.col("l_quantity").cast("int").alias("quantity"),
+        oid.alias("order_id"))
+    g = lp.groupBy("l_orderkey", "o_orderpriority").agg(F.array_sort(F.collect_list(item)).alias("its"))
+    as_num = F.transform("its", lambda t: F.struct(t["name"].alias("name"), t["maker"].alias("maker"),
+                                                   t["_p"].cast("double").alias("price"), t["currency"].alias("currency"),
+                                                   t["quantity"].alias("quantity"), t["order_id"].alias("order_id")))
+    as_str = F.transform("its", lambda t: F.struct(t["name"].alias("name"), t["maker"].alias("maker"),
+                                                   t["_p"].alias("price"), t["currency"].alias("currency"),
+                                                   t["quantity"].alias("quantity"), t["order_id"].alias("order_id")))
+    js = F.when(pri == SUBJECT_ONLY_PRIORITY, F.to_json(F.struct(as_str.alias("items")))) \
+          .otherwise(F.to_json(F.struct(as_num.alias("items"))))
+    wrapped = (F.when(pri == GIFT_PRIORITY, F.concat(F.lit("```json\n"), js, F.lit("\n```")))
+                .when(pri == BLOCK_PRIORITY, F.concat(F.lit("Sure! Here is the data: "), js,
+                                                      F.lit(" Let me know if you need more.")))
+                .otherwise(js))
+    return g.select(F.concat(F.lit("m"), F.col("l_orderkey").cast("string"), F.lit("-1")).alias("email_uid"),
+                    wrapped.alias("response_json"), F.lit("small-model").alias("model"))

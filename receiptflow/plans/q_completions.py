@@ -1 +1,106 @@
-"""Queries (filled in below)."""
+"""Completion-fallback and extraction-contract queries (milestone 7)."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import completions as CO
+from ..operators import profiles as PR
+from . import proxies as P
+from .registry import query
+from .sql_proxies import LINES_P, MAIL_ORDERS, OID_SQL, with_
+
+MAIL = with_(LINES_P, MAIL_ORDERS)
+
+
+def _answers(spark, sf_dir):
+    """Cached answers joined to their messages, JSON salvaged."""
+    c = P.completions_p(spark, sf_dir)
+    m = P.messages_p(spark, sf_dir)
+    j = c.join(m, c.email_uid == m.uid)
+    return j.withColumn("json", CO.completion_json("response_json"))
+
+
+@query("completion_cache_miss", MAIL + "SELECT uid FROM mail WHERE kind <> 1")
+def completion_cache_miss(spark, sf_dir):
+    """Messages without a cached answer."""
+    return CO.cache_misses(P.messages_p(spark, sf_dir), P.completions_p(spark, sf_dir)).select("uid")
+
+
+@query("completion_json", MAIL + "SELECT uid, n AS n_items FROM mail WHERE kind = 1")
+def completion_json(spark, sf_dir):
+    """Fenced / prose-wrapped answers salvaged to JSON (item count shown)."""
+    a = _answers(spark, sf_dir)
+    return a.select("uid", F.json_array_length(F.get_json_object("json", "$.items")).cast("bigint")
+                    .alias("n_items"))
+
+
+@query("normalize_completions", with_(LINES_P) + f"""
+SELECT 'm' || CAST(l_orderkey AS VARCHAR) || '-1' AS uid, CAST(pos AS INTEGER) AS idx,
+       CASE WHEN o_orderpriority = '4-NOT SPECIFIED'
+            THEN 'Your Amazon.com order #' || {OID_SQL} || ' of ' ||
+                 CAST(COUNT(*) OVER (PARTITION BY l_orderkey) AS VARCHAR) || ' item(s)'
+            ELSE title END AS name,
+       p_brand AS maker, p_retailprice AS price, 'USD' AS currency, CAST(l_quantity AS INTEGER) AS quantity,
+       p_brand AS seller, {OID_SQL} AS order_id, o_day AS purchased_at, 'llm' AS source
+FROM lines_p""")
+def normalize_completions(spark, sf_dir):
+    """Answers -> sightings with the original coercions."""
+    return CO.normalize_completions(_answers(spark, sf_dir))
+
+
+@query("completion_prompts", MAIL + "SELECT uid, TRUE AS has_body FROM mail WHERE kind <> -1")
+def completion_prompts(spark, sf_dir):
+    """Prompts for every mail the gate lets through."""
+    prof = PR.load_profile("amazon")
+    m = P.messages_p(spark, sf_dir).filter(prof.passes_keyword_gate())
+    p = CO.prompts(m, prof.llm_noun)
+    return p.select("uid", (F.contains("prompt", F.col("text")) & F.contains("prompt", F.col("subject")))
+                    .alias("has_body"))
+
+
+@query("check_items_json", with_(LINES_P) + """
+SELECT 'm' || CAST(l_orderkey AS VARCHAR) || '-1' AS uid, CAST(pos AS INTEGER) AS item,
+       CASE o_orderpriority WHEN '3-MEDIUM' THEN 'price not a number' ELSE 'item keys' END AS violation
+FROM lines_p WHERE o_orderpriority IN ('3-MEDIUM', '4-NOT SPECIFIED')""")
+def check_items_json(spark, sf_dir):
+    """Contract violations of the cached answers (string prices, missing
+    name keys)."""
+    return CO.contract_violations(_answers(spark, sf_dir)).select(
+        "uid", F.col("item").cast("int").alias("item"), "violation")
+
+
+@query("cut_recommendations", MAIL + """
+SELECT uid, length(CASE WHEN kind = -1 THEN '' END) AS kept_chars FROM mail WHERE kind = -1""")
+def cut_recommendations(spark, sf_dir):
+    """The marketing mails start with a recommendation strip, so nothing
+    of them survives the cut."""
+    m = P.messages_p(spark, sf_dir).filter(F.col("uid").startswith("n"))
+    return m.select("uid", F.length(CO.cut_recommendations("text")).alias("kept_chars"))
+
+
+@query("drop_accounting_rows", with_(LINES_P) + """
+SELECT 'm' || CAST(l_orderkey AS VARCHAR) || '-1' AS uid, CAST(pos AS INTEGER) AS idx, title FROM lines_p""")
+def drop_accounting_rows(spark, sf_dir):
+    """Order lines plus a Subtotal and a Total row per order mail; the
+    accounting rows are dropped."""
+    lp = P.lines_p(spark, sf_dir)
+    rows = lp.select(F.concat(F.lit("m"), F.col("l_orderkey").cast("string"), F.lit("-1")).alias("uid"),
+                     F.col("pos").cast("int").alias("idx"), F.col("title"))
+    extra = lp.select(F.concat(F.lit("m"), F.col("l_orderkey").cast("string"), F.lit("-1")).alias("uid")).distinct()
+    acct = (extra.select("uid", F.lit(100).alias("idx"), F.lit("Subtotal").alias("title"))
+                 .unionByName(extra.select("uid", F.lit(101).alias("idx"), F.lit("Total").alias("title"))))
+    allr = rows.unionByName(acct)
+    return allr.filter(~CO.is_accounting_row("title"))
+
+
+@query("unit_price_from_total", with_(LINES_P) + """
+SELECT 'm' || CAST(l_orderkey AS VARCHAR) || '-1' AS uid, CAST(pos AS INTEGER) AS idx,
+       ROUND(ROUND(p_retailprice * l_quantity, 2) / l_quantity, 2) AS price
+FROM lines_p""")
+def unit_price_from_total(spark, sf_dir):
+    """Line totals (price x quantity, as printed) back to per-unit prices."""
+    lp = P.lines_p(spark, sf_dir)
+    total = F.format_number(F.round(F.col("p_retailprice") * F.col("l_quantity"), 2), 2)
+    return lp.select(F.concat(F.lit("m"), F.col("l_orderkey").cast("string"), F.lit("-1")).alias("uid"),
+                     F.col("pos").cast("int").alias("idx"),
+                     CO.unit_price(total, F.col("l_quantity"), F.lit(False)).alias("price"))
