@@ -162,11 +162,13 @@ def merge_lifecycle(sightings: DataFrame, refunds: DataFrame | None = None,
 def assign_item_ids(merged: DataFrame, existing: DataFrame | None) -> DataFrame:
     """Autoincrement emulation: existing rows keep their id (``first_pos``
     holds it), new rows are numbered in insertion order after the maximum."""
+    base = 0
+    if existing is None:
+        numbered = global_position(merged, [F.col("first_seq"), F.col("first_pos")], name="_p")
+        return numbered.withColumn("id", F.col("_p")).drop("_p")
     new = merged.filter("added")
     old = merged.filter("NOT added").withColumn("id", F.col("first_pos").cast("long"))
-    base = 0
-    if existing is not None:
-        base = existing.agg(F.max("id")).first()[0] or 0
+    base = existing.agg(F.max("id")).first()[0] or 0
     numbered = global_position(new, [F.col("first_seq"), F.col("first_pos")], name="_p")
     numbered = numbered.withColumn("id", F.col("_p") + F.lit(base)).drop("_p")
     return numbered.unionByName(old)

@@ -72,7 +72,8 @@ class CollectionProfile:
     classifier: Callable[[], Column] | None = None
     item_enricher: Callable[[DataFrame], DataFrame] | None = None
     llm_noun: str = "purchase"
-    extra: dict = field(default_factory=dict)
+    # Per-message helper columns computed once before dispatch (name -> builder).
+    message_columns: dict = field(default_factory=dict)
 
     # F1
     def passes_subject_blocklist(self, subject="subject") -> Column:
@@ -145,8 +146,8 @@ def _lower(c: str) -> Column:
 
 def _market_rows(arr: Column, *, purchased=True, delivered=None, return_by=None,
                  gift=None) -> Column:
-    oid = X.marketplace_order_id("subject", "text")
-    img = X.first_product_image("html")
+    oid = F.col("_oid")          # computed once per message (message_columns)
+    img = F.col("_img")
     return F.transform(arr, lambda it: row(
         name=it["title"], maker="Amazon", price=it["price"], currency=it["currency"],
         quantity=it["quantity"], seller="amazon.com", order_id=oid,
@@ -163,25 +164,23 @@ def market_templates(tax: Taxonomy = DEFAULT_TAXONOMY, owner: str | None = None,
         return F.col("subject")
 
     def refund_items():
-        oid = X.marketplace_order_id("subject", "text")
+        oid = F.col("_oid")
         one = F.array(row(maker="Amazon", seller="amazon.com", order_id=oid, return_event="returned"))
         return F.when(oid.isNotNull(), one).otherwise(empty_rows())
 
     def shipment_items():
         arr = E.cascade(E.block_items(body()), E.line_items(body()), E.subject_item(subj()),
                         E.bare_items(body()))
-        return _market_rows(arr, purchased=False,
-                            delivered=X.delivered_date("text", "subject", "msg_date"))
+        return _market_rows(arr, purchased=False, delivered=F.col("_delivered"))
 
     def return_window_items():
         arr = E.cascade(E.block_items(body()), E.line_items(body()), E.subject_item(subj()),
                         E.bare_items(body()))
-        return _market_rows(arr, purchased=False, return_by=X.return_by_date("text"))
+        return _market_rows(arr, purchased=False, return_by=F.col("_return_by"))
 
     def order_items():
         arr = E.market_items(body(), subj())
-        return _market_rows(arr, return_by=X.return_by_date("text"),
-                            gift=X.gift_signal("text", tax.gift_regex, owner))
+        return _market_rows(arr, return_by=F.col("_return_by"), gift=F.col("_gift"))
 
     # Fixed order: refund first (its subjects also trip the others), then
     # shipment, return window, order.
@@ -227,6 +226,11 @@ def marketplace_profile(tax: Taxonomy = DEFAULT_TAXONOMY, owner: str | None = No
         classifier=lambda: C.market_category("name"),
         item_enricher=_market_enrich(tax),
         llm_noun="Amazon purchase",
+        message_columns={"_oid": lambda: X.marketplace_order_id("subject", "text"),
+                         "_img": lambda: X.first_product_image("html"),
+                         "_delivered": lambda: X.delivered_date("text", "subject", "msg_date"),
+                         "_return_by": lambda: X.return_by_date("text"),
+                         "_gift": lambda: X.gift_signal("text", tax.gift_regex, owner)},
     )
 
 
@@ -304,8 +308,11 @@ def parse_messages(messages: DataFrame, profile: CollectionProfile) -> DataFrame
     ``items`` array (empty when gated out)."""
     via, items = profile.dispatch()
     gated = messages.withColumn("gate_ok", profile.passes_keyword_gate())
+    for name, build in profile.message_columns.items():
+        gated = gated.withColumn(name, build())
     d = gated.withColumn("via", F.when(F.col("gate_ok"), via).otherwise(F.lit("gate")))
-    return d.withColumn("items", F.when(F.col("gate_ok"), items).otherwise(empty_rows()))
+    d = d.withColumn("items", F.when(F.col("gate_ok"), items).otherwise(empty_rows()))
+    return d.drop(*profile.message_columns)
 
 
 def explode_sightings(parsed: DataFrame, profile: CollectionProfile) -> DataFrame:
@@ -322,8 +329,14 @@ def explode_sightings(parsed: DataFrame, profile: CollectionProfile) -> DataFram
 
 def finish_items(sightings: DataFrame, profile: CollectionProfile) -> DataFrame:
     """Classifier + enricher + image fallback for kept, non-event rows."""
-    s = sightings.filter("keep AND return_event IS NULL")
-    s = s.withColumn("category", profile.classifier() if profile.classifier else F.lit(None).cast("string"))
+    return finish_sightings(sightings.filter("keep AND return_event IS NULL"), profile)
+
+
+def finish_sightings(sightings: DataFrame, profile: CollectionProfile) -> DataFrame:
+    """Classifier + enricher + image fallback on every row (refund events
+    keep NULLs there); ``keep`` and ``return_event`` stay for the caller."""
+    s = sightings.withColumn("category", profile.classifier() if profile.classifier
+                             else F.lit(None).cast("string"))
     if profile.item_enricher:
         s = profile.item_enricher(s)
     s = s.withColumn("image_url", F.coalesce(F.col("image_url"), X.first_product_image("html")))

@@ -3,7 +3,7 @@
 ``row_number().over(Window.orderBy(...))`` with no partition key moves every row
 into one task.  Instead: range-partition and sort (a distributed sort), tag each
 row with ``monotonically_increasing_id`` (partition id in the high bits, offset
-inside the partition in the low 33 bits), checkpoint so the numbering is fixed,
+inside the partition in the low 33 bits), write it once so the numbering is fixed,
 then add per-partition offsets from a table with one row per partition (its size
 is the partition count, a known bound, so it is broadcast).
 """
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import materialize
 
 _LOW_BITS = 33
 
@@ -23,14 +23,13 @@ def global_position(df: DataFrame, order_cols: list[Column], name: str = "positi
 
     ``order_cols`` must be a total order (end it with a unique key)."""
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sorted_df = (df.repartitionByRange(n, *order_cols)
                    .sortWithinPartitions(*order_cols)
                    .withColumn("_mid", F.monotonically_increasing_id()))
-    # Materialise once: both the offsets and the rows below must see the same
-    # partitioning, and the checkpoint also cuts lineage for executor loss.
-    fixed = sorted_df.checkpoint(eager=True)
+    # Materialise once: the offsets and the rows below must see the same
+    # numbering, and the written table also cuts lineage for executor loss.
+    fixed = materialize(sorted_df, "position")
     tagged = fixed.select("*", F.shiftright("_mid", _LOW_BITS).alias("_pid"),
                           F.col("_mid").bitwiseAND((1 << _LOW_BITS) - 1).alias("_off"))
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))

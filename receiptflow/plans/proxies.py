@@ -347,3 +347,21 @@ def completions_p(spark: SparkSession, sf_dir: str) -> DataFrame:
                 .otherwise(js))
     return g.select(F.concat(F.lit("m"), F.col("l_orderkey").cast("string"), F.lit("-1")).alias("email_uid"),
                     wrapped.alias("response_json"), F.lit("small-model").alias("model"))
+
+
+def raw_messages_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``messages_p`` rendered to RFC 822 bytes (multipart/alternative,
+    8bit parts, Message-ID from the uid): (uid, seq, raw)."""
+    m = messages_p(spark, sf_dir)
+    date = F.when(F.col("msg_date").isNotNull(),
+                  F.concat(F.lit("Date: "), F.date_format("msg_date", "EEE, dd MMM yyyy"),
+                           F.lit(" 10:00:00 +0000\n"))).otherwise(F.lit(""))
+    raw = F.concat(
+        F.lit("From: "), F.col("from_addr"), F.lit("\nTo: me@example.com\nSubject: "), F.col("subject"),
+        F.lit("\n"), date, F.lit("Message-ID: <"), F.col("uid"), F.lit("@proxy.example>\n"),
+        F.lit('MIME-Version: 1.0\nContent-Type: multipart/alternative; boundary="=b1="\n\n'),
+        F.lit('--=b1=\nContent-Type: text/plain; charset="utf-8"\nContent-Transfer-Encoding: 8bit\n\n'),
+        F.col("text"),
+        F.lit('\n--=b1=\nContent-Type: text/html; charset="utf-8"\nContent-Transfer-Encoding: 8bit\n\n'),
+        F.col("html"), F.lit("\n--=b1=--\n"))
+    return m.select("uid", "seq", raw.cast("binary").alias("raw"))

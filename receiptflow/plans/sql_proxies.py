@@ -182,6 +182,18 @@ mail AS (
   SELECT 'm' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(kind AS VARCHAR) AS uid,
          l_orderkey * 8 + kind AS seq, * FROM mails
   UNION ALL
-  SELECT 'n' || CAST(c_custkey AS VARCHAR), 1000000000000000 + c_custkey, NULL, -1, NULL, 'noise', 0,
+  SELECT 'n' || CAST(c_custkey AS VARCHAR), 1000000000000000 + c_custkey, NULL, -1, NULL, c_name, 0,
          NULL, NULL, NULL, NULL, NULL, NULL, 0, 0, FALSE
   FROM customer)"""
+
+MAIL_SUBJECT = """CASE
+  WHEN kind = -1 THEN 'Deals for ' || pri || ': 20% off'
+  WHEN kind = 1 AND pri = '3-MEDIUM' THEN 'Ordered: "' || first_title || '..." and ' || CAST(n - 1 AS VARCHAR) || ' more item(s)'
+  WHEN kind = 1 THEN 'Your Amazon.com order #' || oid || ' of ' || CAST(n AS VARCHAR) || ' item(s)'
+  WHEN kind = 2 THEN 'Delivered: your package from order #' || oid
+  WHEN kind = 3 THEN 'Return window closing for order #' || oid
+  ELSE 'Your refund for order #' || oid || ' has been issued' END"""
+MAIL_FROM = """CASE kind WHEN -1 THEN 'deals@amazon.example' WHEN 1 THEN 'auto-confirm@amazon.example'
+  WHEN 2 THEN 'shipment-tracking@amazon.example' WHEN 3 THEN 'return@amazon.example'
+  ELSE 'refund@amazon.example' END"""
+MAIL_DATE = """CASE WHEN kind IN (1, 0, 4) THEN o_day WHEN kind = 2 THEN f_day WHEN kind = 3 THEN a_day END"""
