@@ -242,3 +242,69 @@ def repeat_purchases(items: DataFrame) -> DataFrame:
                  .agg(F.count_distinct("order_id").alias("n_orders"),
                       F.count(F.lit(1)).alias("n_lines"))
                  .filter(F.col("n_orders") > 1))
+
+
+# --- text report rows (S9) ------------------------------------------------------
+
+def price_text() -> Column:
+    """Line total and currency, '(xN)' when N != 1, '?' without a price."""
+    q = F.coalesce(F.nullif(F.col("quantity"), F.lit(0)), F.lit(1))
+    base = F.trim(F.format_string("%.2f %s", F.col("price") * q, F.coalesce(F.col("currency"), F.lit(""))))
+    return F.when(F.col("price").isNull(), F.lit("?")).otherwise(
+        F.concat(base, F.when(q != 1, F.format_string(" (x%d)", q)).otherwise(F.lit(""))))
+
+
+def clock_text() -> Column:
+    """The window clock of the returns report."""
+    d = F.col("days_left")
+    rb = F.col("window_return_by").cast("string")
+    return (F.when(d.isNull(), F.lit("no dates — window unknown"))
+             .when(d < 0, F.format_string("expired %dd ago (%s)", -d, rb))
+             .when(d == 0, F.format_string("LAST DAY today (%s)", rb))
+             .otherwise(F.format_string("%d days left (until %s)", d, rb)))
+
+
+def report_returns_lines(items: DataFrame, today, policy_days: int = POLICY_WINDOW_DAYS) -> DataFrame:
+    """The returns report as rows (section_rank, rank, line): a title
+    (section 0), one heading per section (rank 0), the item lines in report
+    order, '(none)' for empty sections and the evaluate note under the open
+    section."""
+    r = returns_report(items, today, policy_days)
+    show_clock = F.col("section").isin("open", "expired")
+    flag = F.when(F.col("state") == DEFAULT_STATE,
+                  F.lit("  <-- EVALUATE: decide before the window closes!")).otherwise(F.lit(""))
+    line = F.concat(
+        F.format_string("  [%3s] %-40.40s %-9s %14s", F.coalesce(F.col("id").cast("string"), F.lit("-")),
+                        F.coalesce(F.col("name"), F.lit("(unnamed)")), F.col("state"), price_text()),
+        F.when(show_clock, F.concat(F.lit("   ⏳ "), clock_text())).otherwise(F.lit("")), flag)
+    body = r.select("section_rank", F.col("rank").cast("long").alias("rank"), line.alias("line"))
+    counts = r.groupBy("section_rank").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("state") == DEFAULT_STATE).alias("n_eval"))
+    spark = items.sparkSession
+    secs = spark.createDataFrame([(i + 1, s) for i, s in enumerate(SECTIONS)], "section_rank INT, section STRING")
+    c = secs.join(F.broadcast(counts), "section_rank", "left").fillna(0, ["n", "n_eval"])
+    # Fixed text of the section headings: (before the count, after it).
+    titles = {"open": ("Still returnable (", ") — most urgent first:"),
+              "unknown": ("Window unknown (", ") — no usable dates:"),
+              "expired": ("Expired (", "):"), "returned": ("Already returned (", "):")}
+    pre = F.create_map(*[x for k, v in titles.items() for x in (F.lit(k), F.lit(v[0]))])
+    post = F.create_map(*[x for k, v in titles.items() for x in (F.lit(k), F.lit(v[1]))])
+    heads = c.filter((F.col("section") != "unknown") | (F.col("n") > 0)).select(
+        "section_rank", F.lit(0).cast("long").alias("rank"),
+        F.concat(pre[F.col("section")], F.col("n").cast("string"), post[F.col("section")]).alias("line"))
+    nones = c.filter((F.col("n") == 0) & (F.col("section") != "unknown")).select(
+        "section_rank", F.lit(1).cast("long").alias("rank"), F.lit("  (none)").alias("line"))
+    note = c.filter((F.col("section") == "open") & (F.col("n_eval") > 0)).select(
+        "section_rank", (F.col("n") + 1).cast("long").alias("rank"),
+        F.format_string("  (%d item(s) flagged `evaluate` — these need a decision)", F.col("n_eval")).alias("line"))
+    title = spark.range(1).select(F.lit(0).alias("section_rank"), F.lit(0).cast("long").alias("rank"),
+                                  F.lit(f"==== Returns — {today} (policy window {policy_days}d) ====").alias("line"))
+    return title.unionByName(heads).unionByName(body).unionByName(nones).unionByName(note)
+
+
+def triage_clock_text() -> Column:
+    d = F.col("days_left")
+    return (F.when(d.isNull(), F.lit("window unknown"))
+             .when(d < 0, F.format_string("(expired %s)", F.col("window_return_by").cast("string")))
+             .otherwise(F.format_string("⏳ %d days left", d)))

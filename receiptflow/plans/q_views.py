@@ -184,3 +184,50 @@ SELECT maker, name, COUNT(DISTINCT order_id) AS n_orders, COUNT(*) AS n_lines
 FROM items_p GROUP BY maker, name HAVING COUNT(DISTINCT order_id) > 1""")
 def repeat_purchases(spark, sf_dir):
     return V.repeat_purchases(_items(spark, sf_dir))
+
+
+_RET_LINE_SQL = """
+  '  [' || printf('%3s', CAST(id AS VARCHAR)) || '] ' || printf('%-40.40s', COALESCE(name, '(unnamed)')) || ' '
+  || printf('%-9s', state) || ' '
+  || printf('%14s', CASE WHEN price IS NULL THEN '?' ELSE
+        trim(printf('%.2f', price * COALESCE(NULLIF(quantity, 0), 1)) || ' ' || COALESCE(currency, ''))
+        || CASE WHEN COALESCE(NULLIF(quantity, 0), 1) <> 1
+                THEN ' (x' || CAST(COALESCE(NULLIF(quantity, 0), 1) AS VARCHAR) || ')' ELSE '' END END)
+  || CASE WHEN section IN ('open', 'expired') THEN '   ⏳ ' ||
+       CASE WHEN days_left IS NULL THEN 'no dates — window unknown'
+            WHEN days_left < 0 THEN 'expired ' || CAST(-days_left AS VARCHAR) || 'd ago (' || CAST(window_return_by AS VARCHAR) || ')'
+            WHEN days_left = 0 THEN 'LAST DAY today (' || CAST(window_return_by AS VARCHAR) || ')'
+            ELSE CAST(days_left AS VARCHAR) || ' days left (until ' || CAST(window_return_by AS VARCHAR) || ')' END
+     ELSE '' END
+  || CASE WHEN state = 'evaluate' THEN '  <-- EVALUATE: decide before the window closes!' ELSE '' END"""
+
+
+@query("report_returns_lines", ITEMS_W + f""",
+body AS (
+  SELECT section_rank, CAST(ROW_NUMBER() OVER (PARTITION BY section_rank ORDER BY
+           CASE section WHEN 'open' THEN days_left WHEN 'expired' THEN -days_left ELSE 0 END, id) AS BIGINT) AS rank,
+         {_RET_LINE_SQL} AS line FROM sec),
+secs AS (SELECT * FROM (VALUES (1, 'open'), (2, 'unknown'), (3, 'expired'), (4, 'returned')) t(section_rank, section)),
+cnt AS (SELECT s.section_rank, s.section, COUNT(x.id) AS n,
+               COUNT(x.id) FILTER (WHERE x.state = 'evaluate') AS n_eval
+        FROM secs s LEFT JOIN sec x USING (section_rank) GROUP BY ALL)
+SELECT 0 AS section_rank, CAST(0 AS BIGINT) AS rank, '==== Returns — 2001-07-01 (policy window 30d) ====' AS line
+UNION ALL
+SELECT section_rank, 0, CASE section WHEN 'open' THEN 'Still returnable (' || n || ') — most urgent first:'
+  WHEN 'unknown' THEN 'Window unknown (' || n || ') — no usable dates:' WHEN 'expired' THEN 'Expired (' || n || '):'
+  ELSE 'Already returned (' || n || '):' END FROM cnt WHERE section <> 'unknown' OR n > 0
+UNION ALL SELECT * FROM body
+UNION ALL SELECT section_rank, 1, '  (none)' FROM cnt WHERE n = 0 AND section <> 'unknown'
+UNION ALL SELECT section_rank, n + 1, '  (' || n_eval || ' item(s) flagged `evaluate` — these need a decision)'
+  FROM cnt WHERE section = 'open' AND n_eval > 0""")
+def report_returns_lines(spark, sf_dir):
+    return V.report_returns_lines(_items(spark, sf_dir), P.TODAY, P.POLICY_DAYS)
+
+
+@query("unshipped_orders", with_(LINES_P, __import__("receiptflow.plans.sql_proxies", fromlist=["x"]).SIGHTINGS_P) + """
+SELECT DISTINCT profile, order_id FROM sightings_p s WHERE via = 'order'
+  AND NOT EXISTS (SELECT 1 FROM sightings_p t WHERE t.via = 'shipment' AND t.profile = s.profile
+                  AND t.order_id = s.order_id)""")
+def unshipped_orders(spark, sf_dir):
+    """Orders with an order sighting and no shipment sighting."""
+    return V.unshipped_orders(P.sightings_p(spark, sf_dir))
