@@ -245,7 +245,7 @@ def remap_zone_ids(items: DataFrame) -> DataFrame:
     return out
 
 
-MIGRATION_DEFAULTS = {"quantity": F.lit(1)}
+MIGRATION_DEFAULTS = {"quantity": 1}
 
 
 def migrate_columns(old: DataFrame, target_schema) -> DataFrame:
@@ -254,7 +254,7 @@ def migrate_columns(old: DataFrame, target_schema) -> DataFrame:
     out = old
     for f in target_schema.fields:
         if f.name not in out.columns:
-            default = MIGRATION_DEFAULTS.get(f.name, F.lit(None))
+            default = F.lit(MIGRATION_DEFAULTS.get(f.name))
             out = out.withColumn(f.name, default.cast(f.dataType))
     return out.select(*[F.col(f.name).cast(f.dataType) for f in target_schema.fields])
 
