@@ -135,8 +135,8 @@ def merge_lifecycle(sightings: DataFrame, refunds: DataFrame | None = None,
         *DATE_COLS, *K, F.col("first_o.seq").alias("first_seq"),
         F.col("first_o.pos").alias("first_pos"), "added", "n_enriched", "n_duplicate")
     # Enrichment keeps an explicit earlier value: the first non-NULL wins.
-    out = out.withColumn("quantity", F.coalesce(F.nullif(F.col("quantity").cast("int"), F.lit(0)),
-                                                F.lit(1)))
+    q = F.col("quantity").cast("int") if "quantity" in out.columns else F.lit(None).cast("int")
+    out = out.withColumn("quantity", F.coalesce(F.nullif(q, F.lit(0)), F.lit(1)))
     if "source" in out.columns:
         out = out.withColumn("source", F.coalesce("source", F.lit("template")))
     state = F.col("return_state") if "return_state" in out.columns else F.lit(None).cast("string")
