@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import (DEFAULT_STATE, POLICY_WINDOW_DAYS, months_back_cutoff_py,
                                return_window, state_or_default)
-from .joins import checked_broadcast, like_any
+from .joins import substring_join
 from .ranking import position_within
 
 # Report sections in print order and the cluster knobs.
@@ -106,8 +106,8 @@ def find_items(items: DataFrame, keys: DataFrame, profile: str) -> DataFrame:
     tier 3 case-insensitive name substring; per key only the best non-empty tier.
 
     Tiers 1 and 2 are equi-joins; tier 3 is a substring match, run only for the
-    keys that found nothing in tiers 1-2 (so the non-equi part is limited to
-    the leftover keys, which are broadcast when small)."""
+    keys that found nothing in tiers 1-2, as an exact gram-index equi-join
+    (no key x item comparison)."""
     it = items_for_profile(items, profile)
     k = keys.select("key")
     k_id = k.filter(F.col("key").rlike("^[0-9]+$")).withColumn("_kid", F.col("key").cast("long"))
@@ -117,8 +117,8 @@ def find_items(items: DataFrame, keys: DataFrame, profile: str) -> DataFrame:
            .select("key", F.lit(2).alias("tier"), *[it[c] for c in it.columns]))
     hit12 = t1.select("key").union(t2.select("key")).distinct()
     left = k.join(hit12, "key", "left_anti")
-    t3 = (it.join(checked_broadcast(left), like_any(it.name, F.col("key")))
-            .select("key", F.lit(3).alias("tier"), *[it[c] for c in it.columns]))
+    t3 = (substring_join(it, left, "name", "key")
+            .select("key", F.lit(3).alias("tier"), *it.columns))
     allt = t1.unionByName(t2).unionByName(t3)
     best = allt.groupBy("key").agg(F.min("tier").alias("_best"))
     return (allt.join(best, "key")
@@ -230,10 +230,10 @@ def spend_by_category(items: DataFrame) -> DataFrame:
 
 
 def receipt_search(items: DataFrame, terms: DataFrame) -> DataFrame:
-    """Rows whose name, maker, seller or order id holds the term (any case).
-    The term list is the small side of this non-equi match."""
-    hay = F.concat_ws("\u0001", "name", "maker", "seller", "order_id")
-    return items.join(checked_broadcast(terms), like_any(hay, F.col("term")))
+    """Rows whose name, maker, seller or order id holds the term (any case),
+    via the gram-index substring join."""
+    with_hay = items.withColumn("_hay", F.concat_ws("\u0001", "name", "maker", "seller", "order_id"))
+    return substring_join(with_hay, terms, "_hay", "term").drop("_hay")
 
 
 def repeat_purchases(items: DataFrame) -> DataFrame:
