@@ -89,7 +89,7 @@ def cascade(*arrays: Column) -> Column:
     run only when the earlier ones found nothing)."""
     out = empty_items()
     for a in reversed(arrays):
-        out = F.when(F.size(a) > 0, a).otherwise(out)
+        out = F.when(F.coalesce(F.size(a), F.lit(0)) > 0, a).otherwise(out)
     return out
 
 

@@ -74,6 +74,9 @@ class CollectionProfile:
     llm_noun: str = "purchase"
     # Per-message helper columns computed once before dispatch (name -> builder).
     message_columns: dict = field(default_factory=dict)
+    # Columns staged after ``via`` is known (ordered; may read ``via`` and the
+    # columns before them), so each extractor array is built once per message.
+    stage_columns: list = field(default_factory=list)
 
     # F1
     def passes_subject_blocklist(self, subject="subject") -> Column:
@@ -168,18 +171,19 @@ def market_templates(tax: Taxonomy = DEFAULT_TAXONOMY, owner: str | None = None,
         one = F.array(row(maker="Amazon", seller="amazon.com", order_id=oid, return_event="returned"))
         return F.when(oid.isNotNull(), one).otherwise(empty_rows())
 
+    def staged():
+        return [F.col(c) for c in ("_blk", "_line", "_subj")]
+
     def shipment_items():
-        arr = E.cascade(E.block_items(body()), E.line_items(body()), E.subject_item(subj()),
-                        E.bare_items(body()))
+        arr = E.cascade(*staged(), F.col("_bare"))
         return _market_rows(arr, purchased=False, delivered=F.col("_delivered"))
 
     def return_window_items():
-        arr = E.cascade(E.block_items(body()), E.line_items(body()), E.subject_item(subj()),
-                        E.bare_items(body()))
+        arr = E.cascade(*staged(), F.col("_bare"))
         return _market_rows(arr, purchased=False, return_by=F.col("_return_by"))
 
     def order_items():
-        arr = E.market_items(body(), subj())
+        arr = E.cascade(*staged())
         return _market_rows(arr, return_by=F.col("_return_by"), gift=F.col("_gift"))
 
     # Fixed order: refund first (its subjects also trip the others), then
@@ -199,6 +203,27 @@ def market_templates(tax: Taxonomy = DEFAULT_TAXONOMY, owner: str | None = None,
     ]
 
 
+def market_stages() -> list:
+    """The extractor cascade as staged columns: block items for the item
+    templates, line items only when no block matched, the subject item only
+    when neither did, bare lines (shipment / return window) last."""
+    item_vias = ["template:amazon_shipment", "template:amazon_return_window", "template:amazon_order"]
+    bare_vias = item_vias[:2]
+
+    def empty(c):
+        return F.coalesce(F.size(F.col(c)), F.lit(0)) == 0
+
+    via = lambda: F.col("via")
+    return [
+        ("_blk", lambda: F.when(via().isin(*item_vias), E.block_items(F.col("text")))),
+        ("_line", lambda: F.when(via().isin(*item_vias) & empty("_blk"), E.line_items(F.col("text")))),
+        ("_subj", lambda: F.when(via().isin(*item_vias) & empty("_blk") & empty("_line"),
+                                 E.subject_item(F.col("subject")))),
+        ("_bare", lambda: F.when(via().isin(*bare_vias) & empty("_blk") & empty("_line") & empty("_subj"),
+                                 E.bare_items(F.col("text")))),
+    ]
+
+
 def _market_enrich(tax: Taxonomy):
     def enrich(df: DataFrame) -> DataFrame:
         df = df.withColumn("return_state", F.coalesce(F.col("return_state"), F.lit(DEFAULT_STATE))) \
@@ -231,6 +256,7 @@ def marketplace_profile(tax: Taxonomy = DEFAULT_TAXONOMY, owner: str | None = No
                          "_delivered": lambda: X.delivered_date("text", "subject", "msg_date"),
                          "_return_by": lambda: X.return_by_date("text"),
                          "_gift": lambda: X.gift_signal("text", tax.gift_regex, owner)},
+        stage_columns=market_stages(),
     )
 
 
@@ -311,8 +337,10 @@ def parse_messages(messages: DataFrame, profile: CollectionProfile) -> DataFrame
     for name, build in profile.message_columns.items():
         gated = gated.withColumn(name, build())
     d = gated.withColumn("via", F.when(F.col("gate_ok"), via).otherwise(F.lit("gate")))
+    for name, build in profile.stage_columns:
+        d = d.withColumn(name, build())
     d = d.withColumn("items", F.when(F.col("gate_ok"), items).otherwise(empty_rows()))
-    return d.drop(*profile.message_columns)
+    return d.drop(*profile.message_columns, *[n for n, _ in profile.stage_columns])
 
 
 def explode_sightings(parsed: DataFrame, profile: CollectionProfile) -> DataFrame:
