@@ -8,7 +8,7 @@ from ..operators import merge as M
 from ..operators import views as V
 from ..operators import zones as Z
 from . import proxies as P
-from .q_views import SEARCH_KEYS_SQL, search_keys
+from .q_views import FIND_SQL, SEARCH_KEYS_SQL, search_keys
 from .registry import query
 from .sql_gen import route_ctes
 from .sql_proxies import (DEDUPED, ITEMS_P, LINES_P, MERGED, MESSAGES_LOG_P, PRIOR_LOG_P,
@@ -80,19 +80,6 @@ def ingest_preview(spark, sf_dir):
     return M.dry_run_counts(_deduped(spark, sf_dir), P.refunds_p(spark, sf_dir), P.snapshot_p(spark, sf_dir))
 
 
-def _run_outcome(spark, sf_dir):
-    """Messages of this run (not in the prior log) and their per-uid outcome."""
-    msgs = P.messages_log_p(spark, sf_dir)
-    prior = P.prior_log_p(spark, sf_dir)
-    new = msgs.join(prior, msgs.uid == prior.email_uid, "left_anti")
-    s = _deduped(spark, sf_dir).join(new.select("uid"), "uid", "left_semi")
-    r = P.refunds_p(spark, sf_dir).join(new.select("uid"), "uid", "left_semi")
-    m = M.merge_lifecycle(s, r, assign_ids=False)
-    added_per_uid = (m.filter("added").select(F.col("row_uid").alias("uid")) if "row_uid" in m.columns
-                     else None)
-    return msgs, prior, new, s, r, m, added_per_uid
-
-
 _RUN_SQL = """new_msgs AS (SELECT * FROM messages_log_p WHERE uid NOT IN (SELECT email_uid FROM prior_log_p)),
 dd_all AS (SELECT * FROM dd),
 dd_run AS (SELECT * FROM dd_all WHERE uid IN (SELECT uid FROM new_msgs)),
@@ -256,9 +243,7 @@ def decisions_p(spark, sf_dir):
                     F.when(~digits, 1).when(item_id, 3).otherwise(2).alias("seq"))
 
 
-@query("apply_decisions", with_(LINES_P, ITEMS_P, SEARCH_KEYS_SQL,
-                                __import__("receiptflow.plans.q_views", fromlist=["FIND_SQL"]).FIND_SQL,
-                                _DECISIONS_SQL) + """,
+@query("apply_decisions", with_(LINES_P, ITEMS_P, SEARCH_KEYS_SQL, FIND_SQL, _DECISIONS_SQL) + """,
 res AS (SELECT d.seq, d.key, d.state, f.id, f.return_state FROM found f JOIN dec d USING (key)
         WHERE f.tier = f.best)
 SELECT seq, key, id, COALESCE(LAG(state) OVER (PARTITION BY id ORDER BY seq, key),

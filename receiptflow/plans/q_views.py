@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from ..operators import views as V
 from . import proxies as P
 from .registry import query
-from .sql_proxies import (ITEMS, ITEMS_P, ITEMS_W, LINES_P, PURCHASES_P, TODAY_SQL,  # noqa: F401
-                          with_)
+from .sql_proxies import (ITEMS, ITEMS_P, ITEMS_W, LINES_P, PURCHASES_P, SIGHTINGS_P,  # noqa: F401
+                          TODAY_SQL, with_)
 
 LINE_TOTAL_SQL = "ROUND(price * COALESCE(NULLIF(quantity, 0), 1), 2)"
 
@@ -224,7 +224,7 @@ def report_returns_lines(spark, sf_dir):
     return V.report_returns_lines(_items(spark, sf_dir), P.TODAY, P.POLICY_DAYS)
 
 
-@query("unshipped_orders", with_(LINES_P, __import__("receiptflow.plans.sql_proxies", fromlist=["x"]).SIGHTINGS_P) + """
+@query("unshipped_orders", with_(LINES_P, SIGHTINGS_P) + """
 SELECT DISTINCT profile, order_id FROM sightings_p s WHERE via = 'order'
   AND NOT EXISTS (SELECT 1 FROM sightings_p t WHERE t.via = 'shipment' AND t.profile = s.profile
                   AND t.order_id = s.order_id)""")
