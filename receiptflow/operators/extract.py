@@ -37,6 +37,12 @@ def _groups(text: Column, pattern: str, n: int) -> list[Column]:
     return [F.regexp_extract_all(t, F.lit(pattern), i) for i in range(1, n + 1)]
 
 
+def _gated(text: Column, pattern: str, arr: Column, typ: str) -> Column:
+    """Run the per-group extracts only when the pattern matches at all (one
+    scan decides; most bodies carry one layout)."""
+    return F.when(F.coalesce(text, F.lit("")).rlike(pattern), arr).otherwise(F.array().cast(typ))
+
+
 def _zip(arrs: list[Column], names: list[str]) -> Column:
     z = F.arrays_zip(*arrs)
     fields = z  # struct fields are named "0", "1", ... by position
@@ -56,7 +62,7 @@ def line_items(text: Column, pattern: str = LINE_RE) -> Column:
     rows = F.transform(m, lambda r: _item(
         clean_text(r["title"]), to_quantity(r["qty"]), to_amount(r["amt"]),
         F.coalesce(sym[F.when(r["sym"] == "", F.lit("$")).otherwise(r["sym"])], F.lit("USD"))))
-    return F.filter(rows, lambda r: r["title"].isNotNull())
+    return _gated(text, pattern, F.filter(rows, lambda r: r["title"].isNotNull()), ITEM_TYPE)
 
 
 def block_items(text: Column) -> Column:
@@ -66,7 +72,8 @@ def block_items(text: Column) -> Column:
     rows = F.transform(m, lambda r: _item(
         clean_text(r["title"]), to_quantity(r["qty"]),
         F.when(r["amt"] != "", to_amount(r["amt"])), F.nullif(r["cur"], F.lit(""))))
-    return F.filter(rows, lambda r: r["title"].isNotNull() & ~r["title"].rlike(MARKET_ORDER_RE))
+    return _gated(text, BLOCK_RE, F.filter(rows, lambda r: r["title"].isNotNull()
+                                           & ~r["title"].rlike(MARKET_ORDER_RE)), ITEM_TYPE)
 
 
 def bare_items(text: Column) -> Column:
@@ -74,7 +81,8 @@ def bare_items(text: Column) -> Column:
     titles = _groups(text, BARE_LINE_RE, 1)[0]
     rows = F.transform(titles, lambda t: _item(clean_text(t), F.lit(1), F.lit(None).cast("double"),
                                                F.lit(None).cast("string")))
-    return F.filter(rows, lambda r: r["title"].isNotNull() & ~r["title"].rlike(MARKET_ORDER_RE))
+    return _gated(text, BARE_LINE_RE, F.filter(rows, lambda r: r["title"].isNotNull()
+                                               & ~r["title"].rlike(MARKET_ORDER_RE)), ITEM_TYPE)
 
 
 def subject_item(subject: Column) -> Column:
