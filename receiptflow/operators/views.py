@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import (DEFAULT_STATE, POLICY_WINDOW_DAYS, months_back_cutoff_py,
                                return_window, state_or_default)
+from ..session import materialize
 from .joins import substring_join
 from .ranking import position_within
 
@@ -116,7 +117,8 @@ def find_items(items: DataFrame, keys: DataFrame, profile: str) -> DataFrame:
     t2 = (k.join(it, F.col("key") == it.order_id)
            .select("key", F.lit(2).alias("tier"), *[it[c] for c in it.columns]))
     hit12 = t1.select("key").union(t2.select("key")).distinct()
-    left = k.join(hit12, "key", "left_anti")
+    # Keys still unresolved: written once, the substring join sizes them.
+    left = materialize(k.join(hit12, "key", "left_anti"), "unresolved-keys")
     t3 = (substring_join(it, left, "name", "key")
             .select("key", F.lit(3).alias("tier"), *it.columns))
     allt = t1.unionByName(t2).unionByName(t3)

@@ -325,3 +325,47 @@ def decode_raw_payload(spark, sf_dir):
     d = P.table(spark, sf_dir, "documents")
     enc = d.select("doc_id", F.translate(F.base64(F.col("text").cast("binary")), "+/", "-_").alias("raw"))
     return enc.select("doc_id", F.unbase64(F.translate("raw", "-_", "+/")).cast("string").alias("text"))
+
+
+@query("english_date", MAIL + """
+SELECT uid, CASE WHEN kind = 2 THEN f_day ELSE CAST(a_day + INTERVAL '14' DAY AS DATE) END AS day
+FROM mail WHERE kind IN (2, 3)""")
+def english_date(spark, sf_dir):
+    """X11: the 'Month d, yyyy' phrase of delivery and return-window mails."""
+    m = _msgs(spark, sf_dir).filter(F.col("uid").endswith("-2") | F.col("uid").endswith("-3"))
+    phrase = F.regexp_extract("text", r"(?:on|closes on) ([A-Z][a-z]+ \d{1,2}, \d{4})", 1)
+    return m.select("uid", X.english_date(phrase).alias("day"))
+
+
+@query("delivered_date", MAIL + "SELECT uid, f_day AS delivered_at FROM mail WHERE kind = 2")
+def delivered_date(spark, sf_dir):
+    """X12 (rows that carry a delivery date)."""
+    m = _body(_msgs(spark, sf_dir))
+    return m.select("uid", X.delivered_date("text", "subject", "msg_date").alias("delivered_at")) \
+            .filter("delivered_at IS NOT NULL")
+
+
+@query("return_by_date", MAIL + """
+SELECT uid, CAST(a_day + INTERVAL '14' DAY AS DATE) AS return_by FROM mail WHERE kind = 3""")
+def return_by_date(spark, sf_dir):
+    """X13 (rows that carry a return-by date)."""
+    m = _body(_msgs(spark, sf_dir))
+    return m.select("uid", X.return_by_date("text").alias("return_by")).filter("return_by IS NOT NULL")
+
+
+# Size suffixes used to build CDN-style image URLs from part keys.
+_CDN_SUFFIXES = ["_large", "_compact_cropped", "_100x", "_x200", "_master"]
+
+
+@query("alt_image_url", """
+SELECT p_partkey, CASE WHEN p_size <= 45 THEN 'https://cdn.shopify.com/s/files/p/' || CAST(p_partkey AS VARCHAR)
+                         || '.jpg?v=1' END AS alt_url FROM part""")
+def alt_image_url(spark, sf_dir):
+    """CDN size suffix stripped (other hosts -> NULL)."""
+    part = P.table(spark, sf_dir, "part")
+    suf = F.element_at(F.array(*[F.lit(s) for s in _CDN_SUFFIXES]),
+                       (F.pmod(F.col("p_partkey"), F.lit(len(_CDN_SUFFIXES))) + 1).cast("int"))
+    host = F.when(F.col("p_size") <= 45, F.lit("https://cdn.shopify.com/s/files/p/")) \
+            .otherwise(F.lit("https://img.example/p/"))
+    url = F.concat(host, F.col("p_partkey").cast("string"), suf, F.lit(".jpg?v=1"))
+    return part.select("p_partkey", X.alt_image_url(url).alias("alt_url"))
