@@ -16,6 +16,10 @@ def _items(spark, sf_dir):
     return P.items_p(spark, sf_dir)
 
 
+REPORT_COLS = ["id", "name", "price", "quantity", "currency", "purchased_at", "delivered_at",
+               "return_by", "return_state"]
+
+
 @query("returns_report", ITEMS_W + """
 SELECT id, name, state, section, section_rank,
        ROW_NUMBER() OVER (PARTITION BY section_rank ORDER BY
@@ -23,7 +27,8 @@ SELECT id, name, state, section, section_rank,
        days_left, window_return_by, basis, """ + LINE_TOTAL_SQL + """ AS line_total
 FROM sec""")
 def returns_report(spark, sf_dir):
-    r = V.returns_report(_items(spark, sf_dir), P.TODAY, P.POLICY_DAYS)
+    # project first: the ranking step writes its input once
+    r = V.returns_report(_items(spark, sf_dir).select(*REPORT_COLS), P.TODAY, P.POLICY_DAYS)
     return r.select("id", "name", "state", "section", "section_rank", "rank", "days_left",
                     "window_return_by", "basis", F.round(V.line_total(), 2).alias("line_total"))
 
@@ -221,7 +226,7 @@ UNION ALL SELECT section_rank, 1, '  (none)' FROM cnt WHERE n = 0 AND section <>
 UNION ALL SELECT section_rank, n + 1, '  (' || n_eval || ' item(s) flagged `evaluate` — these need a decision)'
   FROM cnt WHERE section = 'open' AND n_eval > 0""")
 def report_returns_lines(spark, sf_dir):
-    return V.report_returns_lines(_items(spark, sf_dir), P.TODAY, P.POLICY_DAYS)
+    return V.report_returns_lines(_items(spark, sf_dir).select(*REPORT_COLS), P.TODAY, P.POLICY_DAYS)
 
 
 @query("unshipped_orders", with_(LINES_P, SIGHTINGS_P) + """
