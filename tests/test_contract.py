@@ -43,3 +43,12 @@ def test_scan_prunes_columns(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<l_orderkey" in plan or "l_orderkey" in plan
     assert "l_comment" not in plan
+
+
+def test_substring_join_paths(spark):
+    from receiptflow.operators.joins import substring_join
+    items = spark.createDataFrame([(1, "Red Ring"), (2, "blue gear"), (3, None)], "id int, name string")
+    keys = spark.createDataFrame([("ring",), ("BLUE G",), ("r_ng",), ("",), ("zz",), ("e",)], "key string")
+    got = sorted((r.key, r.id) for r in substring_join(items, keys, "name", "key").collect())
+    assert got == sorted([("ring", 1), ("BLUE G", 2), ("r_ng", 1), ("", 1), ("", 2),
+                          ("e", 1), ("e", 2)])
