@@ -8,8 +8,8 @@ that their expected copies stay and so do their summed words.  A bucket of
 documents is folded this way in one pass (an ``aggregate`` over its array); it
 leaves one fractional document, and buckets of those are folded again, up a
 tree with a fan-in of ``FAN_IN``; a last chain leaves one short document for
-each source, which is rounded alone.  So a source misses its target by less
-than that document.
+each source, which takes the nearer integer.  So a source misses its target by
+half of that document at most.
 Buckets are numbered by a hash, hence a source with a third of all rows is many
 small groups.  Draws are hashes of the row and the seed: reruns agree.
 
@@ -128,7 +128,7 @@ def round_copies(rows: DataFrame, seed: int = 11) -> DataFrame:
         rows, level = left.filter(~settled), level + 1
         if last:
             break
-    out = rows.withColumn("p", (_uniform(seed - 1, "key") < F.col("p")).cast("double"))
+    out = rows.withColumn("p", F.round("p"))
     for part in done:
         out = out.unionByName(part)
     return out
