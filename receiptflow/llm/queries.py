@@ -1,8 +1,11 @@
 """One query for each operator, over its whole table, and DuckDB SQL where it can say the same."""
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
+from . import warc
+from .langid import op5_language_id
+from .secrets import op9_secret_scan
+from .toxicity import op4_toxicity
+from .warc import op10_warc_derivatives
 
 def _table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -21,12 +24,17 @@ def op3_mix_sources(spark, sf_dir):
         "doc_id", "size", "source_size", "target", "taken", "copies", "source")
 
 
-QUERIES = {"op2_decontaminate": op2_decontaminate, "op3_mix_sources": op3_mix_sources}
+QUERIES = {
+    "op2_decontaminate": op2_decontaminate, "op3_mix_sources": op3_mix_sources, "op4_toxicity": op4_toxicity,
+    "op5_language_id": op5_language_id, "op9_secret_scan": op9_secret_scan,
+    "op10_warc_derivatives": op10_warc_derivatives,
+}
 
 _WORDS2 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', " \
     r"'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLES = {
+    "op10_warc_derivatives": warc.oracle(),
     "op2_decontaminate": f"""
 WITH d AS (SELECT doc_id, {_WORDS2} AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS2} AS w FROM benchmark),
