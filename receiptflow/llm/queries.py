@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from . import warc
 from .langid import op5_language_id
+from .substring_dedup import op1_substring_dedup
 from .secrets import op9_secret_scan
 from .toxicity import op4_toxicity
 from .warc import op10_warc_derivatives
@@ -25,6 +26,7 @@ def op3_mix_sources(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_decontaminate": op2_decontaminate, "op3_mix_sources": op3_mix_sources, "op4_toxicity": op4_toxicity,
     "op5_language_id": op5_language_id, "op9_secret_scan": op9_secret_scan,
     "op10_warc_derivatives": op10_warc_derivatives,
@@ -51,4 +53,18 @@ hit_items AS (SELECT doc_id, count(DISTINCT item) AS n_items,
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)""",
+    "op1_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+wins AS (SELECT doc_id, i, sha256(array_to_string(w[i:i + 49], ' ')) AS k
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+firsts AS (SELECT k, min(doc_id) AS m FROM wins GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p
+  FROM wins JOIN firsts USING (k) WHERE doc_id > m),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t
+  FROM (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d) ANTI JOIN gone USING (doc_id, p)
+  GROUP BY doc_id),
+cut AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed,
+  sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id) LEFT JOIN kept USING (doc_id)""",
 }

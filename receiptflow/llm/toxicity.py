@@ -1,9 +1,8 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 A linear scorer over word presence is trained from confirmed toxic documents
-(positive) and unlabelled text (every other training document, whatever its
-label) with the non-negative risk estimator
-``pi * R_p(+) + max(0, R_u(-) - pi * R_p(-))``, sigmoid loss and numpy Adam
+(positive) and unlabelled text (training documents drawn whatever their label) with the non-negative risk estimator
+``pi * R_p(+) + max(0, R_u(-) - pi * R_p(-))``, logistic loss and numpy Adam
 steps; where the corrected negative part falls below zero its gradient is
 reversed.  The class prior pi is a parameter; by default it is the share of
 toxic rows among the labelled training rows.  Features are the hashed distinct
@@ -29,10 +28,10 @@ from .langid import held_out
 
 BITS = 20
 SAMPLE_POSITIVE = 4_000
-SAMPLE_UNLABELLED = 16_000
+SAMPLE_UNLABELLED = 30_000
 MIN_DF = 8
 THRESHOLD = 0.7
-STEPS = 400
+STEPS = 600
 
 
 def buckets(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,7 +58,7 @@ class Scorer:
         self.weights, self.bias = weights, bias
 
     def fit(self, positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
-            steps: int = STEPS, rate: float = 0.05, penalty: float = 2e-4, min_df: int = MIN_DF):
+            steps: int = STEPS, rate: float = 0.05, penalty: float = 4e-5, min_df: int = MIN_DF):
         if not positive:
             return self
         df = np.bincount(np.concatenate(positive), minlength=1 << BITS)
@@ -78,13 +77,15 @@ class Scorer:
         m1, m2 = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
         for step in range(1, steps + 1):
             g = np.bincount(rows, w[cols], n) + b
-            up = 1 / (1 + np.exp(-np.clip(g, -30, 30)))   # loss as negative; 1 - up as positive
-            slope = up * (1 - up)
-            negative = up[~is_p].sum() / n_u - prior * up[is_p].sum() / n_p
-            sign = 1.0 if negative >= 0 else -1.0
-            d = np.where(is_p, slope * (-prior / n_p) * sign, slope / n_u * sign)
-            if sign > 0:
-                d = d + np.where(is_p, -prior * slope / n_p, 0.0)
+            g = np.clip(g, -30, 30)
+            up = 1 / (1 + np.exp(-g))
+            as_negative = np.logaddexp(0, g)
+            # the negatives' risk: that of all text less the positives' part of it
+            negative = as_negative[~is_p].sum() / n_u - prior * as_negative[is_p].sum() / n_p
+            if negative >= 0:
+                d = np.where(is_p, -prior / n_p, up / n_u)
+            else:
+                d = np.where(is_p, prior * up / n_p, -up / n_u)
             grad = np.append(np.bincount(cols, d[rows], len(used)) + penalty * np.sign(w), d.sum())
             m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad**2
             delta = rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-9)
@@ -117,8 +118,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
         "doc_id", F.lit(1).alias("toxic"))
     # texts of the positives come by a join on the ids, the others by hash of the id alone
     first = rows.join(positive, "doc_id").select("toxic", "text").limit(2 * SAMPLE_POSITIVE)
-    other = rows.filter(F.pmod(draw, F.lit(max(n_docs, 1))) < SAMPLE_UNLABELLED).join(
-        known.filter("toxic = 1").select("doc_id"), "doc_id", "left_anti").select(
+    other = rows.filter(F.pmod(draw, F.lit(max(n_docs, 1))) < SAMPLE_UNLABELLED).select(
         F.lit(0).alias("toxic"), "text").limit(2 * SAMPLE_UNLABELLED)
     got = [first.mapInArrow(lambda b: _featurise(b, "text"), "toxic int, x binary").toArrow(),
            other.mapInArrow(lambda b: _featurise(b, "text"), "toxic int, x binary").toArrow()]
