@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ROW = "name long, h long, doc long, key int, p0 int, p1 int, kind byte"
-FIELDS = ["name", "h", "doc", "key", "p0", "p1", "kind"]
+ROW = "name long, h long, doc long, key int, p0 int, p1 int, kind byte, place int"
+FIELDS = ["name", "h", "doc", "key", "p0", "p1", "kind", "place"]
 #: Values of ``kind``: a span already decided, a region, a region that stands for several.
 DECIDED, SINGLE, SEVERAL = 0, 1, 2
 
@@ -30,12 +30,15 @@ def row_key(text: Column) -> Column:
     return F.hash(F.coalesce(text, F.lit("")))
 
 
-def batch_of(name, h, doc, key, p0, p1, kind) -> pa.RecordBatch:
+def batch_of(name, h, doc, key, p0, p1, kind, place=None) -> pa.RecordBatch:
+    """Rows; ``place`` is the anchor's distance from p0 where it is of use."""
+    place = np.zeros(len(name)) if place is None else place
     return pa.RecordBatch.from_arrays(
         [pa.array(np.asarray(name).view(np.int64)), pa.array(np.asarray(h).view(np.int64)),
          pa.array(np.asarray(doc, np.int64)), pa.array(np.asarray(key, np.int32)),
          pa.array(np.asarray(p0, np.int32)), pa.array(np.asarray(p1, np.int32)),
-         pa.array(np.asarray(kind, np.int8))], FIELDS)
+         pa.array(np.asarray(kind, np.int8)),
+         pa.array(np.asarray(place, np.int32))], FIELDS)
 
 
 def columns_of(batch: pa.RecordBatch) -> list[np.ndarray]:
@@ -110,7 +113,7 @@ def _spans(cols, window: int) -> pa.RecordBatch:
 
 
 def _candidates(cols) -> pa.RecordBatch:
-    return batch_of(*cols[:6], np.maximum(cols[6], SINGLE))
+    return batch_of(*cols[:6], np.maximum(cols[6], SINGLE), cols[7])
 
 
 def fold_equal(name, h):
@@ -163,9 +166,7 @@ def resolve_equal(batches, window: int):
         if not len(cols[0]):
             continue
         if held is not None:
-            same = cols[0][0] == held[0][0]
             cols = [np.concatenate(x) for x in zip(held, cols)]
-            mixed = mixed and bool(same or True)
         spans, cands, held, mixed = settle(cols, mixed, False)
         if len(spans[0]):
             yield _spans(spans, window)

@@ -80,6 +80,12 @@ class Rolling:
         return mix((self.sums[e] - self.sums[s]) * self.down[s] ^ size * U64(0xD6E8FEB86659FD93))
 
 
+    def grams(self, n: int, salt: int = 0) -> np.ndarray:
+        """Names of all sub-sequences of n values."""
+        size = U64((n + salt) * 0xD6E8FEB86659FD93 & (2**64 - 1))
+        return mix((self.sums[n:] - self.sums[:-n]) * self.down[:len(self.sums) - n] ^ size)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
