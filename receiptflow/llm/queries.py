@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from . import warc
+from .jaccard_join import op6_jaccard_join
 from .langid import op5_language_id
 from .substring_dedup import op1_substring_dedup
 from .secrets import op9_secret_scan
@@ -30,7 +31,7 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_decontaminate": op2_decontaminate, "op3_mix_sources": op3_mix_sources, "op4_toxicity": op4_toxicity,
     "op5_language_id": op5_language_id, "op9_secret_scan": op9_secret_scan,
-    "op7_suffix_dedup": op7_suffix_dedup, "op10_warc_derivatives": op10_warc_derivatives,
+    "op6_jaccard_join": op6_jaccard_join, "op7_suffix_dedup": op7_suffix_dedup, "op10_warc_derivatives": op10_warc_derivatives,
 }
 
 _WORDS2 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', " \
