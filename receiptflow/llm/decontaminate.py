@@ -223,3 +223,9 @@ def _add(batches, text: str, patterns: Patterns):
                 spans = [merge(np.array([x["start"] for x in s], np.int64),
                                np.array([x["end"] for x in s], np.int64)) for s in spans]
                 yield _rows(out, out.column("n_words").to_pylist(), spans, items)
+
+
+def op2_decontaminate(spark, sf_dir):
+    docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    return decontaminate(docs.select("doc_id", "text"), items).select(
+        "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")

@@ -161,3 +161,7 @@ def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", doc
     return out.select("r.doc_id", "r.size", "t.source_size", "t.target",
                       (copies * F.col("r.size")).cast("long").alias("taken"),
                       copies.cast("long").alias("copies"), "r.source")
+
+
+def op3_mix_sources(spark, sf_dir):
+    return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))

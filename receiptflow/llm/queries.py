@@ -2,43 +2,53 @@
 from __future__ import annotations
 
 from . import warc
+from .decontaminate import op2_decontaminate
 from .jaccard_join import op6_jaccard_join
 from .langid import op5_language_id
-from .substring_dedup import op1_substring_dedup
+from .mixing import op3_mix_sources
 from .secrets import op9_secret_scan
+from .substring_dedup import op1_substring_dedup
 from .suffix_dedup import op7_suffix_dedup
 from .toxicity import op4_toxicity
+from .vector_dedup import op8_vector_dedup
 from .warc import op10_warc_derivatives
 
-def _table(spark, sf_dir: str, name: str):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def op2_decontaminate(spark, sf_dir):
-    from .decontaminate import decontaminate
-    out = decontaminate(_table(spark, sf_dir, "documents").select("doc_id", "text"),
-                        _table(spark, sf_dir, "benchmark"))
-    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
-
-
-def op3_mix_sources(spark, sf_dir):
-    from .mixing import mix_sources
-    return mix_sources(_table(spark, sf_dir, "documents")).select(
-        "doc_id", "size", "source_size", "target", "taken", "copies", "source")
-
-
-QUERIES = {
-    "op1_substring_dedup": op1_substring_dedup,
-    "op2_decontaminate": op2_decontaminate, "op3_mix_sources": op3_mix_sources, "op4_toxicity": op4_toxicity,
-    "op5_language_id": op5_language_id, "op9_secret_scan": op9_secret_scan,
-    "op6_jaccard_join": op6_jaccard_join, "op7_suffix_dedup": op7_suffix_dedup, "op10_warc_derivatives": op10_warc_derivatives,
-}
+QUERIES = {f.__name__: f for f in (
+    op1_substring_dedup, op2_decontaminate, op3_mix_sources, op4_toxicity, op5_language_id,
+    op6_jaccard_join, op7_suffix_dedup, op8_vector_dedup, op9_secret_scan, op10_warc_derivatives)}
 
 _WORDS2 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', " \
     r"'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLES = {
     "op10_warc_derivatives": warc.oracle(),
+    "op6_jaccard_join": r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS x
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id),
+links AS MATERIALIZED (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+  WHERE 100 * k >= 85 * (x.n + y.n - k)),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least ON least.a = d.doc_id""",
+    "op8_vector_dedup": """
+WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS m FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id,
+  vec_id = least(vec_id, coalesce(m, vec_id)) AS kept, CAST(1 AS DOUBLE) AS recall
+FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN least ON least.a = vec_id""",
     "op2_decontaminate": f"""
 WITH d AS (SELECT doc_id, {_WORDS2} AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS2} AS w FROM benchmark),
