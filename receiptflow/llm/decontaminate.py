@@ -182,31 +182,24 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text",
                              F.col(item_text).cast("string").alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // PATTERN_BYTES) or 1
-    fresh = {x.split()[0] for x in SCHEMA.replace("array<struct<start:int,end:int>>", "a").split(", ")}
-    kept = [f for f in docs.schema.fields if f.name not in fresh]
-    docs = docs.select(*[f"`{f.name}`" for f in kept])
+    docs, schema = K.fields(docs, SCHEMA)
 
     def scan(rows: list) -> DataFrame:
         patterns = Patterns([tuple(r) for r in rows], window)
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-        return docs.mapInArrow(lambda batches: _scan(batches, text, patterns),
-                               ", ".join(x for x in (schema, SCHEMA) if x))
+        return docs.mapInArrow(lambda batches: _scan(batches, text, patterns), schema)
 
     if blocks == 1:
         return scan(items.collect())
-    return _united(docs, items, blocks, window, text)
+    return _united(docs, schema, items, blocks, window, text)
 
 
-def _united(docs: DataFrame, items: DataFrame, blocks: int, window: int, text: str) -> DataFrame:
+def _united(docs: DataFrame, schema, items: DataFrame, blocks: int, window: int, text: str) -> DataFrame:
     """Scan after scan over the same rows: each adds its block's hits to those before."""
     out = docs
     block = F.pmod(F.xxhash64("item", "text"), F.lit(blocks))
     for k in range(blocks):
         patterns = Patterns([tuple(r) for r in items.filter(block == k).collect()], window)
-        names = [f for f in out.schema.fields if f.name not in
-                 ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hits", "items")]
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in names)
-        out = out.mapInArrow(lambda batches, p=patterns: _add(batches, text, p), f"{schema}, {SCHEMA}")
+        out = out.mapInArrow(lambda batches, p=patterns: _add(batches, text, p), schema)
     return out
 
 

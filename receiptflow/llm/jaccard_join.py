@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from . import textkit as K
+from .anchors import row_key
 from .graph import components
 
 SHINGLE = 4
@@ -128,8 +129,9 @@ def signatures(sets: Sets, pick: np.ndarray, common: np.ndarray, percent: int):
 
 def _classes(batches, size: int):
     for batch in K.chunks(batches, "text"):
-        sets = Sets(batch.column(1), size)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets.n), K.signed(sets.name)], ["doc", "n", "c"])
+        sets = Sets(batch.column(2), size)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets.n), K.signed(sets.name)],
+                                         ["doc", "key", "n", "c"])
 
 
 def _sample(batches, size: int):
@@ -279,9 +281,10 @@ def _join(batches, size: int, percent: int):
 
 def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE,
                    percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
-    classes = materialize(rows.mapInArrow(lambda b: _classes(b, size), "doc long, n long, c long"), "classes")
+    """doc_id, n_shingles, component_id and row_key (of the text) of every row."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc"), row_key(F.col(text)).alias("key"),
+                       F.col(text).cast("string").alias("text"))
+    classes = materialize(rows.mapInArrow(lambda b: _classes(b, size), "doc long, key int, n long, c long"), "classes")
     reps = classes.filter("n > 0").groupBy("c").agg(F.min("doc").alias("rep"))
     total = classes.count()
     sample = rows.filter(F.pmod(F.xxhash64("text", F.lit(9)), F.lit(max(total, 1))) < SAMPLE_DOCS) \
@@ -304,8 +307,9 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         "c", F.coalesce("component", "rep").alias("component")), "components")
     own = F.when(F.col("n") > 0, F.coalesce("component", "doc")).otherwise(F.col("doc"))
     return classes.join(found, "c", "left").select(
-        F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id"))
+        F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id"),
+        F.col("key").alias("row_key"))
 
 
 def op6_jaccard_join(spark, sf_dir):
-    return jaccard_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return jaccard_groups(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row_key")

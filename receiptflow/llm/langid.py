@@ -297,9 +297,8 @@ def _predict(batches, model: Model, text: str):
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Every row of ``docs`` with ``lang_pred`` and ``score`` (columns of these names give way)."""
-    kept = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "lang_pred string", "score double"])
-    return docs.select(*[f"`{f.name}`" for f in kept]).mapInArrow(lambda b: _predict(b, model, text), schema)
+    docs, schema = K.fields(docs, "lang_pred string, score double")
+    return docs.mapInArrow(lambda b: _predict(b, model, text), schema)
 
 
 def identify(docs: DataFrame, path: str = VOCABULARY, text: str = "text", lang: str = "lang",

@@ -28,11 +28,12 @@ from pyspark.sql import functions as F
 
 from . import textkit as K
 
-#: Bound of the sample that the field is fitted on.
-SAMPLE_DOCS = 12_000
+#: Bound of the sample that the field is fitted on: documents, and sequences without a secret.
+SAMPLE_DOCS = 8_000
+PLAIN_SEQUENCES = 2_000
 #: Tokens around a labelled or a random token that make a training sequence.
 SIDE = 12
-EPOCHS = 120
+EPOCHS = 80
 
 #: Fixed patterns by kind: pattern, group that is measured, least length.
 BASE = [
@@ -58,6 +59,8 @@ KIND[0x80:] = 5
 
 #: Number of values of each feature.
 SIZES = [12, 64, 12, 10, 8, 256, 64, 12, 64, 16, 256]
+#: Stands for a secret in a redacted text.
+MASK = "[SECRET]"
 STATES = 3  # outside, begin, inside
 SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
@@ -165,8 +168,7 @@ def _examples(batches, text: str):
         rows_x, rows_y = [], []
         firsts, lasts = t.first[:-1], t.first[1:]
         middle = (firsts + lasts) // 2
-        for at in sorted({*np.flatnonzero(tags == 1).tolist(),
-                          *middle[lasts > firsts].tolist(), *firsts[lasts > firsts].tolist()}):
+        for at in sorted({*np.flatnonzero(tags == 1).tolist(), *middle[lasts > firsts].tolist()}):
             lo, hi = max(at - SIDE, t.first[doc[at]]), min(at + SIDE, t.first[doc[at] + 1])
             rows_x.append((x[lo:hi] + OFFSETS[:-1]).astype(np.int16).tobytes())
             rows_y.append(tags[lo:hi].tobytes())
@@ -217,29 +219,29 @@ class Crf:
         return self
 
     def _marginals(self, em, live):
-        """Token marginals and expected transitions of padded sequences."""
+        """Token marginals and expected transitions of padded sequences (scaled
+        forward and backward sums)."""
         n, length, _ = em.shape
-        f = np.zeros_like(em)
-        b = np.zeros_like(em)
-        f[:, 0] = em[:, 0]
+        e, step = np.exp(em - em.max(2, keepdims=True)), np.exp(self.trans)
+        f, b = np.empty_like(e), np.ones_like(e)
+        f[:, 0] = e[:, 0] / e[:, 0].sum(1, keepdims=True)
         for k in range(1, length):
-            new = np.logaddexp.reduce(f[:, k - 1, :, None] + self.trans, 1) + em[:, k]
-            f[:, k] = np.where(live[:, k, None] > 0, new, f[:, k - 1])
+            x = (f[:, k - 1] @ step) * e[:, k]
+            f[:, k] = np.where(live[:, k, None] > 0, x / x.sum(1, keepdims=True), f[:, k - 1])
         for k in range(length - 2, -1, -1):
-            new = np.logaddexp.reduce(self.trans + (em[:, k + 1] + b[:, k + 1])[:, None, :], 2)
-            b[:, k] = np.where(live[:, k + 1, None] > 0, new, b[:, k + 1] * 0)
-        z = np.logaddexp.reduce(f[:, -1], 1)
-        p = np.exp(f + b - z[:, None, None]) * live[..., None]
-        joint = np.exp(f[:, :-1, :, None] + self.trans + (em[:, 1:] + b[:, 1:])[:, :, None, :]
-                       - z[:, None, None, None]) * live[:, 1:, None, None]
+            x = (e[:, k + 1] * b[:, k + 1]) @ step.T
+            b[:, k] = np.where(live[:, k + 1, None] > 0, x / x.sum(1, keepdims=True), 1.0)
+        p = f * b
+        p *= live[..., None] / p.sum(2, keepdims=True)
+        joint = f[:, :-1, :, None] * step * (e[:, 1:] * b[:, 1:])[:, :, None, :]
+        joint *= live[:, 1:, None, None] / joint.sum((2, 3), keepdims=True)
         return p, joint.sum((0, 1))
 
     def decode(self, em: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Best state of every token; ``first`` marks tokens that begin a text."""
         n = len(em)
         out = np.zeros(n, np.int8)
-        reach = 2 * (self.trans.max() - self.trans.min())
-        sure = em[:, 0] - em[:, 1:].max(1) > reach
+        sure = self._surely_outside(em)
         opens = np.flatnonzero(~sure & (np.concatenate([[True], sure[:-1]]) | first)) if n else np.zeros(0, int)
         if not len(opens):
             return out
@@ -252,6 +254,21 @@ class Crf:
                 self._viterbi(em, first, opens[group], length[group], out)
         return out
 
+    def _surely_outside(self, em: np.ndarray) -> np.ndarray:
+        """Tokens that are outside on the best path, whatever their neighbours are: from
+        any path with another state there, the path with outside there (and with begin
+        for an inside that follows) scores more."""
+        t = self.trans
+        tail = max(0.0, (t[2] - t[1]).max())   # of what follows a begin that was an inside
+        follow = np.append(em[1:, 2] - em[1:, 1], 0.0)
+        ahead = {s: max(0.0, (t[:, s] - t[:, 0]).max()) for s in (1, 2)}
+        sure = np.ones(len(em), bool)
+        for s in (1, 2):
+            plain = max(0.0, (t[s, :2] - t[0, :2]).max())
+            inside = t[s, 2] - t[0, 1] + tail + follow
+            sure &= em[:, 0] - em[:, s] > ahead[s] + np.maximum(plain, inside)
+        return sure
+
     def _viterbi(self, em, first, at, length, out):
         longest, n = int(length.max()), len(em)
         row = np.arange(len(at))
@@ -280,6 +297,8 @@ def fit_field(docs: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOC
     rows = docs.filter(F.pmod(F.xxhash64(text, F.lit(5)), F.lit(max(total, 1))) < sample_docs) \
         .select(text).limit(2 * sample_docs)
     got = rows.mapInArrow(lambda b: _examples(b, text), "x binary, y binary").collect()
+    plain = sorted((r for r in got if not any(r.y)), key=lambda r: r.x)
+    got = [r for r in got if any(r.y)] + plain[::max(1, -(-len(plain) // PLAIN_SEQUENCES))]
     return Crf().fit([np.frombuffer(r.x, np.int16).reshape(-1, len(SIZES)).astype(np.int64) for r in got],
                      [np.frombuffer(r.y, np.int8) for r in got])
 
@@ -289,8 +308,20 @@ def _points(raw: np.ndarray, at: int, positions: list[int]) -> list[int]:
     return [p - at - int(np.count_nonzero((raw[at:p] & 0xC0) == 0x80)) for p in positions]
 
 
-def _scan(batches, text: str, field: Crf):
-    names = ["n_assign", "n_access", "n_hex", "base_sha256", "spans", "spans_list"]
+def redacted(text: str | None, spans) -> str | None:
+    """The text with every run of spans replaced by ``MASK``."""
+    if text is None:
+        return None
+    out, at = [], 0
+    for s, e, _ in sorted(spans):
+        if s >= at:
+            out += [text[at:s], MASK]
+        at = max(at, e)
+    return "".join(out) + text[at:]
+
+
+def _scan(batches, text: str, field: Crf, redact: bool):
+    names = ["n_assign", "n_access", "n_hex", "base_sha256", "spans", "spans_list", "redacted"][:7 if redact else 6]
     for batch in K.chunks(batches, text):
         column = batch.column(batch.schema.names.index(text))
         raw, offsets = K.utf8(column)
@@ -324,24 +355,25 @@ def _scan(batches, text: str, field: Crf):
             cols[3].append(K.sha256(",".join(said).encode()))
             cols[4].append(",".join("%s:%d:%d" % (k, s, e) for s, e, k in spans))
             cols[5].append([{"kind": k, "start": s, "end": e} for s, e, k in spans])
-        types = [pa.int64()] * 3 + [pa.string()] * 2 + [SPAN]
+            if redact:
+                cols[6].append(redacted(value, spans))
+        types = [pa.int64()] * 3 + [pa.string()] * 2 + [SPAN, pa.string()]
         kept = [k for k, name in enumerate(batch.schema.names) if name not in names]
         yield pa.RecordBatch.from_arrays(
             [batch.column(k) for k in kept] + [pa.array(c, kind) for c, kind in zip(cols, types)],
             [batch.schema.names[k] for k in kept] + names)
 
 
-def scan_secrets(docs: DataFrame, text: str = "text", field: Crf | None = None) -> DataFrame:
+def scan_secrets(docs: DataFrame, text: str = "text", field: Crf | None = None,
+                 redact: bool = False) -> DataFrame:
     """Every row of ``docs`` with its secrets: counts by kind, digests, ``spans`` as
-    text and ``spans_list`` as array.  Columns of the same names give way."""
+    text, ``spans_list`` as array and, if asked for, the ``redacted`` text.
+    Columns of the same names give way."""
     field = field or fit_field(docs, text)
-    names = {"n_assign", "n_access", "n_hex", "base_sha256", "spans", "spans_list"}
-    kept = [f for f in docs.schema.fields if f.name not in names]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept),
-                        "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, "
-                        "spans_list array<struct<kind:string,start:int,end:int>>"])
-    return docs.select(*[f"`{f.name}`" for f in kept]).mapInArrow(
-        lambda batches: _scan(batches, text, field), schema)
+    docs, schema = K.fields(docs, "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, "
+                            "spans_list array<struct<kind:string,start:int,end:int>>"
+                            + (", redacted string" if redact else ""))
+    return docs.mapInArrow(lambda batches: _scan(batches, text, field, redact), schema)
 
 
 def op9_secret_scan(spark, sf_dir):

@@ -12,6 +12,8 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 #: Bytes of text that are worked on at once; a longer text is its own chunk.
 CHUNK_BYTES = 1 << 21
@@ -164,3 +166,11 @@ def sha256(data: bytes) -> str:
 
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
+
+
+def fields(docs: DataFrame, fresh: str) -> tuple[DataFrame, T.StructType]:
+    """``docs`` without the columns that ``fresh`` (DDL) names, and the schema of both."""
+    new = T.StructType.fromDDL(fresh).fields
+    taken = {f.name.lower() for f in new}
+    kept = [T.StructField(f.name, f.dataType, True) for f in docs.schema.fields if f.name.lower() not in taken]
+    return docs.select(*[f"`{f.name}`" for f in kept]), T.StructType(kept + new)

@@ -139,10 +139,8 @@ def _score(batches, scorer: Scorer, text: str, threshold: float):
 
 def score_toxicity(docs: DataFrame, scorer: Scorer, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Every row of ``docs`` with ``score`` and ``predicted`` (columns of these names give way)."""
-    kept = [f for f in docs.schema.fields if f.name not in ("score", "predicted")]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "score double", "predicted int"])
-    return docs.select(*[f"`{f.name}`" for f in kept]).mapInArrow(
-        lambda b: _score(b, scorer, text, threshold), schema)
+    docs, schema = K.fields(docs, "score double, predicted int")
+    return docs.mapInArrow(lambda b: _score(b, scorer, text, threshold), schema)
 
 
 def op4_toxicity(spark, sf_dir):

@@ -89,7 +89,7 @@ def _by_shard(batches):
     held: list[pa.RecordBatch] = []
     for batch in batches:
         held.append(batch)
-        shard = pa.chunked_array([b.column(0) for b in held]).to_numpy()
+        shard = pa.chunked_array([b.column(b.schema.names.index("shard")) for b in held]).to_numpy()
         if len(shard) and shard[0] != shard[-1]:
             table = pa.Table.from_batches(held)
             edge = np.flatnonzero(np.diff(shard)) + 1
