@@ -29,6 +29,8 @@ ROW_FIELDS = ["maker", "price", "currency", "quantity", "purchased_at", "categor
               "image_url", "source", "zone", "zone_secondary", "zone_signal", "zone_confidence",
               "return_state"]
 
+DEFAULTS = {"quantity": 1, "source": "template", "return_state": DEFAULT_STATE}
+
 # Legacy zone ids and the generic ids they map to.
 LEGACY_ZONE_MAP = {
     "panda": "crafting",
@@ -67,11 +69,13 @@ def dedupe_in_message(sightings: DataFrame) -> DataFrame:
     return sightings.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
-def _present(sightings: DataFrame) -> DataFrame:
-    cols = [c for c in ROW_FIELDS if c in sightings.columns]
-    s = sightings.select("uid", "seq", "pos", *KEY_COLS, *cols,
-                         *[_blank_null(c).alias(c) for c in DATE_COLS], *key_cols())
-    return s.withColumn("_o", F.struct("seq", "pos"))
+def _rows(df: DataFrame, types: dict, seq: Column, pos: Column, item_id: Column) -> DataFrame:
+    """Rows of either side in one layout: every column of ``types``, NULL where
+    the side hasn't got it."""
+    own = [(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in types.items()]
+    dates = [(_blank_null(c) if c in df.columns else F.lit(None)).cast("date").alias(c) for c in DATE_COLS]
+    return df.select(*own, *dates, *key_cols(), item_id.cast("long").alias("id"),
+                     F.struct(seq.cast("long").alias("seq"), pos.cast("long").alias("pos")).alias("_o"))
 
 
 def key_summary(sightings: DataFrame, existing: DataFrame | None = None) -> DataFrame:
@@ -79,19 +83,19 @@ def key_summary(sightings: DataFrame, existing: DataFrame | None = None) -> Data
     first delivery / return-by date and where they came from, and counts.
 
     ``existing`` catalogue rows take part with ``seq = -1`` (they were there
-    first); they are never counted as added."""
-    s = _present(sightings)
-    fields = [c for c in ROW_FIELDS if c in s.columns]
+    first) and keep every column they have, also those that no sighting has;
+    they are never counted as added."""
+    types = {c: sightings.schema[c].dataType for c in [*KEY_COLS, *ROW_FIELDS] if c in sightings.columns}
+    if existing is not None:
+        types |= {f.name: f.dataType for f in existing.schema.fields
+                  if f.name not in DATE_COLS and f.name != "id"}
+    fields = [c for c in types if c not in KEY_COLS]
+    s = _rows(sightings, types, F.col("seq"), F.col("pos"), F.lit(None))
     if existing is not None:
-        e = existing.select(
-            F.lit("catalogue").alias("uid"), F.lit(-1).cast("long").alias("seq"),
-            F.col("id").cast("int").alias("pos"), *KEY_COLS,
-            *[F.col(c) if c in existing.columns else F.lit(None).alias(c) for c in fields],
-            *[_blank_null(c).alias(c) for c in DATE_COLS], *key_cols())
-        s = s.unionByName(e.withColumn("_o", F.struct("seq", "pos")))
+        s = s.unionByName(_rows(existing, types, F.lit(-1), F.col("id"), F.col("id")))
     aggs = [F.min("_o").alias("first_o"),
             F.count(F.lit(1)).alias("n_sightings"),
-            F.min_by(F.struct(*KEY_COLS, *fields), "_o").alias("row")]
+            F.min_by(F.struct(*KEY_COLS, *fields, "id"), "_o").alias("row")]
     for c in DATE_COLS:
         aggs.append(F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("_o"))).alias(c))
         aggs.append(F.min(F.when(F.col(c).isNotNull(), F.col("_o"))).alias(f"{c}_o"))
@@ -126,52 +130,48 @@ def merge_lifecycle(sightings: DataFrame, refunds: DataFrame | None = None,
     """M1 + M2 + S6: the catalogue after folding ``sightings`` (and refund
     events) into ``existing``.  New rows get ``id`` in insertion order after
     the largest existing id; quantity defaults to 1, source to ``template``,
-    state to ``evaluate``."""
+    state to ``evaluate``.  Existing rows keep id, state and every other
+    column; only missing dates are filled and refunds flip the state."""
     g = key_summary(sightings, existing)
+    fields = [c for c in g.schema["row"].dataType.fieldNames() if c not in KEY_COLS]
     out = g.select(
-        *[F.col(f"row.{c}").alias(c) for c in KEY_COLS],
-        *[F.col(f"row.{c}").alias(c) for c in g.schema["row"].dataType.fieldNames()
-          if c not in KEY_COLS],
+        *[F.col(f"row.{c}").alias(c) for c in [*KEY_COLS, *fields]],
         *DATE_COLS, *K, F.col("first_o.seq").alias("first_seq"),
         F.col("first_o.pos").alias("first_pos"), "added", "n_enriched", "n_duplicate")
-    # Enrichment keeps an explicit earlier value: the first non-NULL wins.
-    q = F.col("quantity").cast("int") if "quantity" in out.columns else F.lit(None).cast("int")
-    out = out.withColumn("quantity", F.coalesce(F.nullif(q, F.lit(0)), F.lit(1)))
+
+    def fresh(column: str, kind: str, value) -> Column:
+        """The column, with a default on new rows only."""
+        own = F.col(column).cast(kind) if column in out.columns else F.lit(None).cast(kind)
+        return F.when(F.col("added"), F.coalesce(value(own), F.lit(DEFAULTS[column]))).otherwise(own)
+
+    out = out.withColumn("quantity", fresh("quantity", "int", lambda q: F.nullif(q, F.lit(0))))
     if "source" in out.columns:
-        out = out.withColumn("source", F.coalesce("source", F.lit("template")))
-    state = F.col("return_state") if "return_state" in out.columns else F.lit(None).cast("string")
-    out = out.withColumn("prior_state", F.coalesce(state, F.lit(DEFAULT_STATE)))
+        out = out.withColumn("source", fresh("source", "string", lambda x: x))
+    out = out.withColumn("return_state", fresh("return_state", "string", lambda x: x))
+    flipped = F.lit(False)
     if refunds is not None:
         order_lvl, item_lvl = refund_max_seq(refunds)
         out = (out.join(order_lvl, ["k_profile", "k_order_id"], "left")
                   .join(item_lvl, ["k_profile", "k_order_id", "k_name"], "left"))
         last_refund = F.greatest(F.col("refund_seq_order"), F.col("refund_seq_item"))
-        flips = (last_refund > F.col("first_seq")) & (F.col("prior_state") != "returned")
-        out = (out.withColumn("flipped", F.coalesce(flips, F.lit(False)))
-                  .withColumn("return_state", F.when(F.col("flipped"), "returned")
-                              .otherwise(F.col("prior_state")))
-                  .drop("refund_seq_order", "refund_seq_item"))
-    else:
-        out = out.withColumn("flipped", F.lit(False)).withColumn("return_state", F.col("prior_state"))
-    out = out.drop("prior_state")
+        flipped = F.coalesce((last_refund > F.col("first_seq"))
+                             & (F.coalesce("return_state", F.lit(DEFAULT_STATE)) != "returned"), F.lit(False))
+    out = out.withColumn("flipped", flipped).withColumn(
+        "return_state", F.when(F.col("flipped"), "returned").otherwise(F.col("return_state"))).drop(
+        "refund_seq_order", "refund_seq_item")
     if assign_ids:
         out = assign_item_ids(out, existing)
     return out
 
 
 def assign_item_ids(merged: DataFrame, existing: DataFrame | None) -> DataFrame:
-    """Autoincrement emulation: existing rows keep their id (``first_pos``
-    holds it), new rows are numbered in insertion order after the maximum."""
-    base = 0
-    if existing is None:
-        numbered = global_position(merged, [F.col("first_seq"), F.col("first_pos")], name="_p")
-        return numbered.withColumn("id", F.col("_p")).drop("_p")
-    new = merged.filter("added")
-    old = merged.filter("NOT added").withColumn("id", F.col("first_pos").cast("long"))
-    base = existing.agg(F.max("id")).first()[0] or 0
-    numbered = global_position(new, [F.col("first_seq"), F.col("first_pos")], name="_p")
+    """Autoincrement emulation: existing rows keep their id, new rows are
+    numbered in insertion order after the maximum."""
+    base = 0 if existing is None else existing.agg(F.max(F.col("id").cast("long"))).first()[0] or 0
+    numbered = global_position(merged.filter("added"), [F.col("first_seq"), F.col("first_pos"), *map(F.col, K)],
+                               name="_p")
     numbered = numbered.withColumn("id", F.col("_p") + F.lit(base)).drop("_p")
-    return numbered.unionByName(old)
+    return numbered if existing is None else numbered.unionByName(merged.filter("NOT added"))
 
 
 def merge_counts(sightings: DataFrame, refunds: DataFrame | None = None,
@@ -201,21 +201,38 @@ def refund_preview(items: DataFrame, refunds: DataFrame) -> DataFrame:
     return j.groupBy("uid", "order_id").agg(F.count("io").alias("would_flip"))
 
 
+def check_states(states: DataFrame, column: str = "state") -> None:
+    """raise if any decision asks for a state that doesn't exist."""
+    bad = [r[0] for r in states.filter(~F.coalesce(F.col(column).isin(*STATES), F.lit(False)))
+           .select(column).distinct().limit(5).collect()]
+    if bad:
+        raise ValueError(f"unknown return state(s) {bad}; known: {', '.join(STATES)}")
+
+
 def apply_decisions(items: DataFrame, resolved: DataFrame) -> DataFrame:
     """M4 + F11: ``resolved(seq, key, state, id)`` are manual decisions already
-    resolved to item ids by :func:`views.find_items`.  Invalid states are
-    rejected; per item the decisions apply in ``seq`` order, each reporting
-    old -> new; the last one is the final state.  Decisions are ordered by
-    (seq, key), so equal ``seq`` values still give one answer."""
-    ok = resolved.filter(F.col("state").isin(*STATES))
+    resolved to item ids by :func:`views.find_items`.  An unknown state fails
+    the run; per item the decisions apply in ``seq`` order, each reporting
+    old -> new.  Decisions are ordered by (seq, key), so equal ``seq`` values
+    still give one answer."""
+    check_states(resolved)
     cur = items.select("id", F.coalesce(F.col("return_state"), F.lit("(none)")).alias("_orig"))
-    j = ok.join(cur, "id")
+    j = resolved.join(cur, "id")
     w = Window.partitionBy("id").orderBy("seq", "key")
     return j.select("seq", "key", "id",
                     F.coalesce(F.lag("state").over(w), F.col("_orig")).alias("old_state"),
                     F.col("state").alias("new_state"))
 
 
+def decided_catalogue(items: DataFrame, resolved: DataFrame) -> DataFrame:
+    """M4: the catalogue after the decisions: per item the last one's state,
+    every other column and row unchanged."""
+    check_states(resolved)
+    last = resolved.groupBy("id").agg(F.max_by("state", F.struct("seq", "key")).alias("_state"))
+    return items.join(last, "id", "left").withColumn(
+        "return_state", F.coalesce("_state", "return_state")).drop("_state").select(*items.columns)
+
+
 def dry_run_counts(sightings: DataFrame, refunds: DataFrame, snapshot: DataFrame) -> DataFrame:
     """M6: what a dry run reports against a catalogue snapshot.  It writes
     nothing, so every sighting is judged against the snapshot alone: unknown
@@ -236,13 +253,21 @@ def dry_run_counts(sightings: DataFrame, refunds: DataFrame, snapshot: DataFrame
                    (("a", "added"), ("e", "enriched"), ("d", "duplicate_items"), ("r", "returned"))])
 
 
-def remap_zone_ids(items: DataFrame) -> DataFrame:
-    """Legacy zone ids -> current ids in ``zone`` and ``zone_secondary``."""
+#: Layout of a catalogue whose zone ids are the current ones.
+ZONE_LAYOUT = 1
+
+
+def remap_zone_ids(items: DataFrame, version: int = 0) -> tuple[DataFrame, int]:
+    """Legacy zone ids -> current ids in ``zone`` and ``zone_secondary``,
+    once: a catalogue whose ``version`` is ``ZONE_LAYOUT`` already is returned as
+    it is (its user may have given a legacy name to a zone of their own)."""
+    if version >= ZONE_LAYOUT:
+        return items, version
     m = F.create_map(*[x for k, v in LEGACY_ZONE_MAP.items() for x in (F.lit(k), F.lit(v))])
     out = items
     for c in ("zone", "zone_secondary"):
         out = out.withColumn(c, F.coalesce(m[F.col(c)], F.col(c)))
-    return out
+    return out, ZONE_LAYOUT
 
 
 MIGRATION_DEFAULTS = {"quantity": 1}
@@ -250,13 +275,14 @@ MIGRATION_DEFAULTS = {"quantity": 1}
 
 def migrate_columns(old: DataFrame, target_schema) -> DataFrame:
     """M9: bring rows of an older table layout to ``target_schema``: missing
-    columns are added (NULL, quantity 1), existing NULL quantities stay 1-safe."""
-    out = old
-    for f in target_schema.fields:
-        if f.name not in out.columns:
-            default = F.lit(MIGRATION_DEFAULTS.get(f.name))
-            out = out.withColumn(f.name, default.cast(f.dataType))
-    return out.select(*[F.col(f.name).cast(f.dataType) for f in target_schema.fields])
+    columns are added (NULL, quantity 1), NULL quantities become 1, and columns
+    that the target doesn't name stay, after the others."""
+    def column(f):
+        value = (F.col(f.name) if f.name in old.columns else F.lit(None)).cast(f.dataType)
+        default = MIGRATION_DEFAULTS.get(f.name)
+        return (value if default is None else F.coalesce(value, F.lit(default).cast(f.dataType))).alias(f.name)
+    known = set(target_schema.fieldNames())
+    return old.select(*map(column, target_schema.fields), *[c for c in old.columns if c not in known])
 
 
 def upsert_latest(rows: DataFrame, key: str | list[str], order_cols: list[str]) -> DataFrame:

@@ -111,7 +111,7 @@ def find_items(items: DataFrame, keys: DataFrame, profile: str) -> DataFrame:
     (no key x item comparison)."""
     it = items_for_profile(items, profile)
     k = keys.select("key")
-    k_id = k.filter(F.col("key").rlike("^[0-9]+$")).withColumn("_kid", F.col("key").cast("long"))
+    k_id = k.filter(F.col("key").rlike("^[0-9]+$")).withColumn("_kid", F.col("key").try_cast("long"))
     t1 = (k_id.join(it, F.col("_kid") == it.id)
               .select("key", F.lit(1).alias("tier"), *[it[c] for c in it.columns]))
     t2 = (k.join(it, F.col("key") == it.order_id)

@@ -94,7 +94,7 @@ def product_title() -> "F.Column":
     """Catalogue title: part name with a capital first letter + product word."""
     words = F.array(*[F.lit(w) for w in PRODUCT_WORDS])
     idx = F.pmod(F.col("p_size") - 1, F.lit(len(PRODUCT_WORDS))) + 1
-    head = F.concat(F.upper(F.substring("p_name", 1, 1)), F.substring("p_name", 2, 1 << 20))
+    head = F.concat(F.upper(F.substring("p_name", 1, 1)), F.expr("substring(p_name, 2)"))
     return F.concat(head, F.lit(" "), F.element_at(words, idx))
 
 

@@ -1,13 +1,15 @@
 """Completion-fallback and extraction-contract queries (milestone 7)."""
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import functions as F
 
 from ..operators import completions as CO
 from ..operators import profiles as PR
 from . import proxies as P
 from .registry import query
-from .sql_proxies import LINES_P, MAIL_ORDERS, OID_SQL, with_
+from .sql_proxies import LINES_P, MAIL_FROM, MAIL_ORDERS, MAIL_SUBJECT, MAIL_TEXTS, OID_SQL, with_
 
 MAIL = with_(LINES_P, MAIL_ORDERS)
 
@@ -48,14 +50,25 @@ def normalize_completions(spark, sf_dir):
     return CO.normalize_completions(_answers(spark, sf_dir))
 
 
-@query("completion_prompts", MAIL + "SELECT uid, TRUE AS has_body FROM mail WHERE kind <> -1")
+def _prompt_sql() -> str:
+    """The prompt of a mail as SQL: the template with its fields as columns."""
+    noun = PR.load_profile("amazon").llm_noun
+    columns = {"noun": "'" + noun + "'", "sender": MAIL_FROM, "subject": MAIL_SUBJECT, "body": "text"}
+    parts = []
+    for literal, field, _, _ in string.Formatter().parse(CO.PROMPT):
+        parts.append("'" + literal.replace("'", "''") + "'")
+        if field:
+            parts.append("(" + columns[field] + ")")
+    return " || ".join(parts)
+
+
+@query("completion_prompts", with_(LINES_P, MAIL_ORDERS, MAIL_TEXTS) + f"""
+SELECT uid, sha256({_prompt_sql()}) AS prompt_sha256 FROM mail_text WHERE kind <> -1""")
 def completion_prompts(spark, sf_dir):
-    """Prompts for every mail the gate lets through."""
+    """The whole prompt (as digest) of every mail that the gate lets through."""
     prof = PR.load_profile("amazon")
     m = P.messages_p(spark, sf_dir).filter(prof.passes_keyword_gate())
-    p = CO.prompts(m, prof.llm_noun)
-    return p.select("uid", (F.contains("prompt", F.col("text")) & F.contains("prompt", F.col("subject")))
-                    .alias("has_body"))
+    return CO.prompts(m, prof.llm_noun).select("uid", F.sha2("prompt", 256).alias("prompt_sha256"))
 
 
 @query("check_items_json", with_(LINES_P) + """
@@ -69,28 +82,39 @@ def check_items_json(spark, sf_dir):
         "uid", F.col("item").cast("int").alias("item"), "violation")
 
 
-@query("cut_recommendations", MAIL + """
-SELECT uid, length(CASE WHEN kind = -1 THEN '' END) AS kept_chars FROM mail WHERE kind = -1""")
+# A suggestion block in the middle of every mail; order lines follow it.
+STRIP = "\n\nYou might also like:\nBlue lamp - $5.00\n2 x Trending now poster - $3.00\n\n2 x Desk lamp - $5.00\n"
+
+
+@query("cut_recommendations", with_(LINES_P, MAIL_ORDERS, MAIL_TEXTS) + """
+SELECT uid, sha256(text || chr(10) || chr(10) || chr(10) || '2 x Desk lamp - $5.00' || chr(10)) AS kept_sha256
+FROM mail_text""")
 def cut_recommendations(spark, sf_dir):
-    """The marketing mails start with a recommendation strip, so nothing
-    of them survives the cut."""
-    m = P.messages_p(spark, sf_dir).filter(F.col("uid").startswith("n"))
-    return m.select("uid", F.length(CO.cut_recommendations("text")).alias("kept_chars"))
+    """Every mail with a suggestion block put in: the block goes, the lines
+    before and after it and heading words inside a line stay."""
+    m = P.messages_p(spark, sf_dir).select("uid", F.concat("text", F.lit(STRIP)).alias("text"))
+    return m.select("uid", F.sha2(CO.cut_recommendations("text"), 256).alias("kept_sha256"))
+
+
+ACCOUNTING = ["Subtotal", "Total:", "Order total: $1,204.50", "Shipping $4.99", "Tax (8.25%)", "Gift card -$10.00",
+              "DISCOUNT", "Store credit applied"]
+PRODUCTS = ["Total War Box", "Tax Guide 2026 Edition", "Shipping Scale", "Discount Card Deck", "Gift Card Holder"]
 
 
-@query("drop_accounting_rows", with_(LINES_P) + """
-SELECT 'm' || CAST(l_orderkey AS VARCHAR) || '-1' AS uid, CAST(pos AS INTEGER) AS idx, title FROM lines_p""")
+@query("drop_accounting_rows", with_(LINES_P) + f"""
+SELECT 'm' || CAST(l_orderkey AS VARCHAR) || '-1' AS uid, CAST(pos AS INTEGER) AS idx, title FROM lines_p
+UNION ALL
+SELECT DISTINCT 'm' || CAST(l_orderkey AS VARCHAR) || '-1', -1, p
+FROM lines_p, (SELECT unnest({PRODUCTS}) AS p)""")
 def drop_accounting_rows(spark, sf_dir):
-    """Order lines plus a Subtotal and a Total row per order mail; the
-    accounting rows are dropped."""
+    """The order lines plus accounting rows, which go, and products whose
+    names begin with an accounting word, which stay."""
     lp = P.lines_p(spark, sf_dir)
-    rows = lp.select(F.concat(F.lit("m"), F.col("l_orderkey").cast("string"), F.lit("-1")).alias("uid"),
-                     F.col("pos").cast("int").alias("idx"), F.col("title"))
-    extra = lp.select(F.concat(F.lit("m"), F.col("l_orderkey").cast("string"), F.lit("-1")).alias("uid")).distinct()
-    acct = (extra.select("uid", F.lit(100).alias("idx"), F.lit("Subtotal").alias("title"))
-                 .unionByName(extra.select("uid", F.lit(101).alias("idx"), F.lit("Total").alias("title"))))
-    allr = rows.unionByName(acct)
-    return allr.filter(~CO.is_accounting_row("title"))
+    uid = F.concat(F.lit("m"), F.col("l_orderkey").cast("string"), F.lit("-1")).alias("uid")
+    rows = lp.select(uid, F.col("pos").cast("int").alias("idx"), F.col("title"))
+    more = lp.select(uid).distinct().select("uid", F.lit(-1).alias("idx"), F.explode(F.array(
+        *map(F.lit, ACCOUNTING + PRODUCTS))).alias("title"))
+    return rows.unionByName(more).filter(~CO.is_accounting_row("title"))
 
 
 @query("unit_price_from_total", with_(LINES_P) + """

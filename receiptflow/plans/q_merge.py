@@ -257,8 +257,6 @@ def apply_decisions(spark, sf_dir):
     return M.apply_decisions(items, resolved).select("seq", "key", "id", "old_state", "new_state")
 
 
-LEGACY_SCHEMA_COLS = ["id", "profile", "name", "maker", "price", "currency", "seller", "order_id",
-                      "purchased_at", "category"]
 TARGET = T.StructType([
     T.StructField("id", T.LongType()), T.StructField("name", T.StringType()),
     T.StructField("quantity", T.IntegerType()), T.StructField("delivered_at", T.DateType()),
@@ -266,11 +264,14 @@ TARGET = T.StructType([
 
 
 @query("migrate_columns", with_(LINES_P, ITEMS_P) + """
-SELECT id, name, 1 AS quantity, CAST(NULL AS DATE) AS delivered_at, CAST(NULL AS VARCHAR) AS return_state,
-       CAST(NULL AS VARCHAR) AS zone FROM items_p""")
+SELECT id, name, COALESCE(CASE WHEN quantity % 3 <> 0 THEN quantity END, 1) AS quantity,
+       CAST(NULL AS DATE) AS delivered_at, CAST(NULL AS VARCHAR) AS return_state,
+       CAST(NULL AS VARCHAR) AS zone, maker FROM items_p""")
 def migrate_columns(spark, sf_dir):
-    """M9: a catalogue written before quantity / lifecycle / zone columns."""
-    legacy = P.items_p(spark, sf_dir).select(*LEGACY_SCHEMA_COLS)
+    """M9: a catalogue with missing quantities, written before the lifecycle
+    and zone columns, and with a column that the layout doesn't name."""
+    legacy = P.items_p(spark, sf_dir).select(
+        "id", "name", "maker", F.when(F.col("quantity") % 3 != 0, F.col("quantity")).alias("quantity"))
     return M.migrate_columns(legacy, TARGET)
 
 
@@ -284,7 +285,7 @@ def remap_zone_ids(spark, sf_dir):
     legacy = routed.select("id", F.coalesce(back[F.col("zone")], F.col("zone")).alias("zone"),
                            F.coalesce(back[F.col("zone_secondary")], F.col("zone_secondary"))
                            .alias("zone_secondary"))
-    return M.remap_zone_ids(legacy)
+    return M.remap_zone_ids(legacy)[0]
 
 
 @query("catalog_counts", with_(*BASE, DEDUPED, MESSAGES_LOG_P) + """
@@ -296,3 +297,74 @@ def catalog_counts(spark, sf_dir):
     """A1: rows of the merged catalogue, the embedding index and the log."""
     items = M.merge_lifecycle(_deduped(spark, sf_dir), assign_ids=False)
     return V.catalog_counts(items, P.table(spark, sf_dir, "embeddings"), P.messages_log_p(spark, sf_dir))
+
+
+ITEM_REFUNDS_SQL = """item_refunds_p AS (
+  SELECT 'i' || CAST(l_orderkey AS VARCHAR) AS uid, l_orderkey * 8 + 5 AS seq, 'market' AS profile,
+         CAST(l_orderkey AS VARCHAR) AS order_id, p_name AS name
+  FROM lines_p WHERE l_linenumber = 2 AND l_orderkey % 4 = 0)"""
+
+# The catalogue of an earlier run: half of the delivery dates are not known yet.
+EXISTING_SQL = """existing_p AS (
+  SELECT * REPLACE (CASE WHEN id % 2 = 0 THEN delivered_at END AS delivered_at),
+         'note ' || CAST(id AS VARCHAR) AS note FROM snapshot_p)"""
+
+
+def existing_p(spark, sf_dir):
+    """A catalogue as an earlier run left it, with a column that no mail fills."""
+    return P.snapshot_p(spark, sf_dir).withColumn(
+        "delivered_at", F.when(F.col("id") % 2 == 0, F.col("delivered_at"))).withColumn(
+        "note", F.concat(F.lit("note "), F.col("id").cast("string")))
+
+
+def all_refunds_p(spark, sf_dir):
+    """Order-level refunds and refunds of single items."""
+    lp = P.lines_p(spark, sf_dir).filter((F.col("l_linenumber") == 2) & (F.col("l_orderkey") % 4 == 0))
+    order = F.col("l_orderkey").cast("string")
+    single = lp.select(F.concat(F.lit("i"), order).alias("uid"), (F.col("l_orderkey") * 8 + 5).alias("seq"),
+                       F.lit(P.PROFILE).alias("profile"), order.alias("order_id"), F.col("p_name").alias("name"))
+    return P.refunds_p(spark, sf_dir).select("uid", "seq", "profile", "order_id", "name").unionByName(single)
+
+
+@query("merge_into_existing", with_(*BASE, ITEMS_P, SNAPSHOT_P, DEDUPED, ITEM_REFUNDS_SQL, EXISTING_SQL) + """,
+old AS (SELECT id, profile, seller, order_id, name, maker, price, quantity, purchased_at, delivered_at, return_by,
+               return_state, owner, note, -1 AS seq, id AS pos FROM existing_p),
+fresh AS (
+  SELECT NULL AS id, profile, seller, order_id, name, maker, price, quantity, purchased_at, delivered_at, return_by,
+         NULL AS return_state, NULL AS owner, NULL AS note, seq, pos FROM dd),
+both_ AS (SELECT * FROM old UNION ALL SELECT * FROM fresh),
+firsts AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY order_id, name ORDER BY seq, pos) AS rn
+                          FROM both_) x WHERE rn = 1),
+dates AS (SELECT order_id, name, arg_min(delivered_at, (seq, pos)) FILTER (WHERE delivered_at IS NOT NULL) AS d,
+                 arg_min(return_by, (seq, pos)) FILTER (WHERE return_by IS NOT NULL) AS r
+          FROM both_ GROUP BY order_id, name),
+ref AS (SELECT order_id, MAX(seq) AS s FROM refunds_p GROUP BY order_id),
+iref AS (SELECT order_id, name, MAX(seq) AS s FROM item_refunds_p GROUP BY order_id, name),
+placed AS (SELECT f.*, d.d, d.r, greatest(coalesce(ref.s, -9), coalesce(iref.s, -9)) AS refund
+  FROM firsts f JOIN dates d USING (order_id, name) LEFT JOIN ref USING (order_id) LEFT JOIN iref USING (order_id, name))
+SELECT CASE WHEN seq < 0 THEN id ELSE (SELECT MAX(id) FROM old) + ROW_NUMBER() OVER (PARTITION BY seq < 0 ORDER BY seq, pos)
+            END AS id,
+       profile, seller, order_id, name, maker, price, quantity, purchased_at, d AS delivered_at, r AS return_by,
+       CASE WHEN refund > seq THEN 'returned' WHEN seq < 0 THEN return_state ELSE 'evaluate' END AS return_state,
+       owner, note, seq >= 0 AS added
+FROM placed""")
+def merge_into_existing(spark, sf_dir):
+    """M1 + M2 + S6 against a catalogue that is there already: its rows keep
+    ids, states, prices and their own columns, missing dates are filled,
+    refunds of orders and of single items flip old and new rows."""
+    m = M.merge_lifecycle(_deduped(spark, sf_dir), all_refunds_p(spark, sf_dir), existing_p(spark, sf_dir))
+    return m.select("id", "profile", "seller", "order_id", "name", "maker", "price", "quantity", "purchased_at",
+                    "delivered_at", "return_by", "return_state", "owner", "note", "added")
+
+
+@query("decided_catalogue", with_(LINES_P, ITEMS_P, SEARCH_KEYS_SQL, FIND_SQL, _DECISIONS_SQL) + """,
+res AS (SELECT f.id, arg_max(d.state, (d.seq, d.key)) AS state FROM found f JOIN dec d USING (key)
+        WHERE f.tier = f.best GROUP BY f.id)
+SELECT i.id, i.name, coalesce(res.state, i.return_state) AS return_state, i.price
+FROM items_p i LEFT JOIN res USING (id)""")
+def decided_catalogue(spark, sf_dir):
+    """M4: the whole catalogue after the manual decisions."""
+    items = P.items_p(spark, sf_dir)
+    dec = decisions_p(spark, sf_dir)
+    found = V.find_items(items, dec.select("key"), P.PROFILE).select("key", "id")
+    return M.decided_catalogue(items, found.join(dec, "key")).select("id", "name", "return_state", "price")

@@ -197,3 +197,27 @@ MAIL_FROM = """CASE kind WHEN -1 THEN 'deals@amazon.example' WHEN 1 THEN 'auto-c
   WHEN 2 THEN 'shipment-tracking@amazon.example' WHEN 3 THEN 'return@amazon.example'
   ELSE 'refund@amazon.example' END"""
 MAIL_DATE = """CASE WHEN kind IN (1, 0, 4) THEN o_day WHEN kind = 2 THEN f_day WHEN kind = 3 THEN a_day END"""
+
+# Plain text of the rendered order, delivery, return-window and refund mails.
+_PRICE = "format('{:,.2f}', p_retailprice)"
+_DAY = "strftime(%s, '%%B %%-d, %%Y')"
+MAIL_TEXTS = f"""mail_lines AS (
+  SELECT l_orderkey,
+    string_agg('* ' || title || chr(10) || '  Quantity: ' || CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) || chr(10) ||
+               '  ' || {_PRICE} || ' USD', chr(10) ORDER BY pos) AS blocks,
+    string_agg(CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) || ' x ' || title || ' - $' || {_PRICE},
+               chr(10) ORDER BY pos) AS plain,
+    string_agg('- ' || title, chr(10) ORDER BY pos) FILTER (WHERE l_linestatus = 'F') AS bare_f,
+    string_agg('- ' || title, chr(10) ORDER BY pos) FILTER (WHERE l_returnflag = 'A') AS bare_a
+  FROM lines_p GROUP BY l_orderkey),
+mail_text AS (
+  SELECT m.*, CASE kind
+    WHEN 1 THEN 'Order Confirmation' || chr(10) || 'Order #' || oid || chr(10) ||
+      CASE pri WHEN '2-HIGH' THEN blocks WHEN '3-MEDIUM' THEN '' ELSE plain END ||
+      CASE WHEN pri = '1-URGENT' THEN chr(10) || 'This order is a gift.' ELSE '' END ||
+      chr(10) || 'Thank you for shopping with us.'
+    WHEN 2 THEN 'Your package was delivered.' || chr(10) || 'Delivered on ' || {_DAY % 'f_day'} || chr(10) || bare_f
+    WHEN 3 THEN 'The return window closes on ' || {_DAY % "a_day + INTERVAL '14' DAY"} || ' for:' || chr(10) || bare_a
+    WHEN -1 THEN 'Recommended for you. Based on your order history.'
+    ELSE 'We issued your refund for order #' || oid || '.' END AS text
+  FROM mail m LEFT JOIN mail_lines USING (l_orderkey))"""
