@@ -46,8 +46,10 @@ def columns_of(batch: pa.RecordBatch) -> list[np.ndarray]:
 
 
 def dealt(rows: DataFrame) -> DataFrame:
-    """Rows of one name together, sorted by name, region and document."""
-    return rows.repartition("name").sortWithinPartitions("name", "h", "doc", "key", "p0")
+    """Rows of one name together, sorted by name, region and document; spans that are
+    decided already go anywhere."""
+    to = F.when(F.col("kind") == DECIDED, F.xxhash64("doc", "p0")).otherwise(F.col("name"))
+    return rows.repartition(to).sortWithinPartitions("name", "h", "doc", "key", "p0")
 
 
 def fold_smaller(name, h, doc):

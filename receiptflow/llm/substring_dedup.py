@@ -176,8 +176,16 @@ def _windows(batches, window: int):
         two = K.Rolling(words, SECOND).name(p, p + window, 7)
         doc, key = doc.to_numpy()[d], key.to_numpy()[d]
         stay = A.fold_smaller(one, two, doc)
-        kind = np.where(stay, A.SINGLE, A.DECIDED).astype(np.int8)
-        yield A.batch_of(one, two, doc, key, at, np.where(stay, at, at + window), kind)
+        yield A.batch_of(one[stay], two[stay], doc[stay], key[stay], at[stay], at[stay],
+                         np.full(stay.sum(), A.SINGLE))
+        # windows that a smaller document of the chunk has too: neighbours as one span
+        gone = np.flatnonzero(~stay)
+        new = np.ones(len(gone), bool)
+        new[1:] = (d[gone[1:]] != d[gone[:-1]]) | (at[gone[1:]] != at[gone[:-1]] + 1)
+        first = gone[new]
+        last = gone[np.append(np.flatnonzero(new)[1:], len(gone)) - 1] if len(gone) else gone
+        yield A.batch_of(one[first], two[first], doc[first], key[first], at[first], at[last] + window,
+                         np.full(len(first), A.DECIDED))
 
 
 def _cut(batches, with_text: bool):

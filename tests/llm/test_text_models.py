@@ -77,7 +77,7 @@ def _toxic_rows(n=600):
         if toxic:
             text[5:5] = list(rng.choice(["scum", "idiot", "trash"], 2))
         docs.append((d, " ".join(text)))
-        if d % 2 == 0:
+        if d % 5 < 3:
             labels.append((d, 1, int(toxic)))
     return docs, labels
 
