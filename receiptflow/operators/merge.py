@@ -109,6 +109,18 @@ def key_summary(sightings: DataFrame, existing: DataFrame | None = None) -> Data
              .withColumn("added", F.col("first_o.seq") >= 0))
 
 
+def known_items(sightings: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """sightings with ``known``, is their natural key in the catalogue."""
+    keys = catalogue.select(*key_cols()).distinct().withColumn("known", F.lit(True))
+    return sightings.select("*", *key_cols()).join(keys, K, "left").withColumn(
+        "known", F.coalesce("known", F.lit(False))).drop(*K)
+
+
+def distinct_keys(sightings: DataFrame) -> DataFrame:
+    """Distinct natural keys and messages, one row."""
+    return sightings.agg(F.count_distinct(*key_cols()).alias("n_keys"), F.count_distinct("uid").alias("n_uids"))
+
+
 def refund_max_seq(refunds: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Refund events reduced to their largest ``seq`` per (profile, order_id)
     (order-level) and per (profile, order_id, name) (item-level).  Refunds
@@ -236,21 +248,22 @@ def decided_catalogue(items: DataFrame, resolved: DataFrame) -> DataFrame:
 def dry_run_counts(sightings: DataFrame, refunds: DataFrame, snapshot: DataFrame) -> DataFrame:
     """M6: what a dry run reports against a catalogue snapshot.  It writes
     nothing, so every sighting is judged against the snapshot alone: unknown
-    key -> added (repeats too), known key with any date -> enriched, else
-    duplicate; refunds count the snapshot rows they would flip."""
+    key -> added (repeats too, without an image ``no_image`` as well), known key
+    with any date -> enriched, else duplicate; refunds count the snapshot rows
+    they would flip."""
     snap = snapshot.select(*key_cols()).distinct().withColumn("_known", F.lit(True))
-    s = sightings.select(*key_cols(), *[_blank_null(c).alias(c) for c in DATE_COLS])
+    image = F.col("image_url") if "image_url" in sightings.columns else F.lit(None)
+    s = sightings.select(*key_cols(), *[_blank_null(c).alias(c) for c in DATE_COLS], image.isNull().alias("_bare"))
     j = s.join(snap, K, "left")
     known = F.coalesce(F.col("_known"), F.lit(False))
     has_date = F.col("delivered_at").isNotNull() | F.col("return_by").isNotNull()
-    per_row = j.select((~known).cast("long").alias("a"), (known & has_date).cast("long").alias("e"),
-                       (known & ~has_date).cast("long").alias("d"), F.lit(0).cast("long").alias("r"))
+    names = ["added", "enriched", "duplicate_items", "no_image", "returned"]
+    zero = F.lit(0).cast("long")
+    per_row = j.select(*[c.cast("long").alias(n) for n, c in zip(names, (
+        ~known, known & has_date, known & ~has_date, ~known & F.col("_bare"), zero))])
     flips = refund_preview(snapshot, refunds).select(
-        F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("e"),
-        F.lit(0).cast("long").alias("d"), F.col("would_flip").cast("long").alias("r"))
-    u = per_row.unionByName(flips)
-    return u.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(n) for c, n in
-                   (("a", "added"), ("e", "enriched"), ("d", "duplicate_items"), ("r", "returned"))])
+        *[zero.alias(n) for n in names[:-1]], F.col("would_flip").cast("long").alias("returned"))
+    return per_row.unionByName(flips).agg(*[F.coalesce(F.sum(n), zero).alias(n) for n in names])
 
 
 #: Layout of a catalogue whose zone ids are the current ones.

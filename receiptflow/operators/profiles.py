@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -72,6 +72,8 @@ class CollectionProfile:
     classifier: Callable[[], Column] | None = None
     item_enricher: Callable[[DataFrame], DataFrame] | None = None
     llm_noun: str = "purchase"
+    # H5: noun -> prompt Column; None takes the library's prompt.
+    prompt_builder: Callable[[str], Column] | None = None
     # Per-message helper columns computed once before dispatch (name -> builder).
     message_columns: dict = field(default_factory=dict)
     # Columns staged after ``via`` is known (ordered; may read ``via`` and the
@@ -330,29 +332,48 @@ register(demo_profile())
 # --- the message -> sightings pipeline --------------------------------------------
 
 def parse_messages(messages: DataFrame, profile: CollectionProfile) -> DataFrame:
-    """Gate + dispatch: one row per message with ``gate_ok``, ``via`` and the
-    ``items`` array (empty when gated out)."""
+    """Gate + dispatch: one row per message with ``gate_ok``, ``via``,
+    ``msg_image`` and ``items`` (empty when gated out), an array of
+    (pos, row) in which each (seller, order_id, name) stands once (M7);
+    ``n_found`` counts the rows before that.
+
+    The cheap subject test comes first: the HTML is only stripped, and the
+    patterns only run, for messages that are still in."""
     via, items = profile.dispatch()
-    gated = messages.withColumn("gate_ok", profile.passes_keyword_gate())
+    body = X.combine_body(F.col("text"), X.html_to_text("html"))
+    d = messages.withColumn("text", F.when(profile.passes_subject_blocklist(), body).otherwise(F.col("text")))
+    d = d.withColumn("gate_ok", profile.passes_keyword_gate())
     for name, build in profile.message_columns.items():
-        gated = gated.withColumn(name, build())
-    d = gated.withColumn("via", F.when(F.col("gate_ok"), via).otherwise(F.lit("gate")))
+        d = d.withColumn(name, F.when(F.col("gate_ok"), build()))
+    d = d.withColumn("via", F.when(F.col("gate_ok"), via).otherwise(F.lit("gate")))
     for name, build in profile.stage_columns:
-        d = d.withColumn(name, build())
+        d = d.withColumn(name, F.when(F.col("gate_ok"), build()))
     d = d.withColumn("items", F.when(F.col("gate_ok"), items).otherwise(empty_rows()))
+    image = F.col("_img") if "_img" in profile.message_columns else X.first_product_image("html")
+    d = d.withColumn("msg_image", F.when(F.col("gate_ok"), image))
+    d = d.withColumn("n_found", F.size("items")).withColumn("items", first_of_each(F.col("items")))
     return d.drop(*profile.message_columns, *[n for n, _ in profile.stage_columns])
 
 
+def first_of_each(items: Column) -> Column:
+    """M7 inside a message: (pos, row) of the first row per (seller, order_id, name), a
+    NULL like any other value.  No window and no shuffle: a message is one row."""
+    keys = F.transform(items, lambda x: F.to_json(F.struct(x["seller"], x["order_id"], x["name"]),
+                                                  {"ignoreNullFields": "false"}))
+    placed = F.transform(items, lambda x, i: F.struct((i + 1).alias("pos"), x.alias("it")))
+    return F.filter(placed, lambda x: F.array_position(keys, F.get(keys, x["pos"] - 1)) == x["pos"])
+
+
+#: What the explode reads of a parsed message; bodies and HTML stay behind.
+PARSED = ["uid", "seq", "via", "msg_image", "items"]
+
+
 def explode_sightings(parsed: DataFrame, profile: CollectionProfile) -> DataFrame:
-    """posexplode + in-message dedupe (M7) + profile columns; keeps ``keep``
-    (F4) so callers can count ``non_item`` rows."""
-    x = parsed.select("uid", "seq", "via", "html", F.posexplode("items").alias("pos", "it"))
-    x = x.select("uid", "seq", "via", "html", (F.col("pos") + 1).alias("pos"), "it.*")
-    w = Window.partitionBy("uid", "seller", "order_id", "name").orderBy("pos")
-    x = x.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
-    x = x.withColumn("profile", F.lit(profile.name))
-    is_event = F.col("return_event").isNotNull()
-    return x.withColumn("keep", is_event | profile.is_item())
+    """One row per item with the profile's name; keeps ``keep`` (F4) so that
+    callers can count ``non_item`` rows."""
+    x = parsed.select("uid", "seq", "via", "msg_image", F.explode("items").alias("x"))
+    x = x.select("uid", "seq", "via", "msg_image", "x.pos", "x.it.*").withColumn("profile", F.lit(profile.name))
+    return x.withColumn("keep", F.col("return_event").isNotNull() | profile.is_item())
 
 
 def finish_items(sightings: DataFrame, profile: CollectionProfile) -> DataFrame:
@@ -361,11 +382,11 @@ def finish_items(sightings: DataFrame, profile: CollectionProfile) -> DataFrame:
 
 
 def finish_sightings(sightings: DataFrame, profile: CollectionProfile) -> DataFrame:
-    """Classifier + enricher + image fallback on every row (refund events
-    keep NULLs there); ``keep`` and ``return_event`` stay for the caller."""
+    """Classifier + enricher + the message's image as fallback on every row
+    (refund events keep NULLs there); ``keep`` and ``return_event`` stay for
+    the caller."""
     s = sightings.withColumn("category", profile.classifier() if profile.classifier
                              else F.lit(None).cast("string"))
     if profile.item_enricher:
         s = profile.item_enricher(s)
-    s = s.withColumn("image_url", F.coalesce(F.col("image_url"), X.first_product_image("html")))
-    return s.drop("html")
+    return s.withColumn("image_url", F.coalesce("image_url", "msg_image")).drop("msg_image")

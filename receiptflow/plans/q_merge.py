@@ -11,8 +11,8 @@ from . import proxies as P
 from .q_views import FIND_SQL, SEARCH_KEYS_SQL, search_keys
 from .registry import query
 from .sql_gen import route_ctes
-from .sql_proxies import (DEDUPED, ITEMS_P, LINES_P, MERGED, MESSAGES_LOG_P, PRIOR_LOG_P,
-                          REFUNDS_P, SIGHTINGS_P, SNAPSHOT_P, TITLED_P, with_)
+from .sql_proxies import (DEDUPED, ITEMS_P, LINES_P, MERGED, MESSAGES_LOG_P, REFUNDS_P, SIGHTINGS_P,
+                          SNAPSHOT_P, TITLED_P, with_)
 
 BASE = [LINES_P, SIGHTINGS_P, REFUNDS_P]
 
@@ -65,107 +65,6 @@ def refund_preview(spark, sf_dir):
     return M.refund_preview(P.snapshot_p(spark, sf_dir), P.refunds_p(spark, sf_dir))
 
 
-@query("ingest_preview", with_(*BASE, ITEMS_P, SNAPSHOT_P, DEDUPED, _PREVIEW_SQL) + """,
-known AS (SELECT DISTINCT COALESCE(profile, '') AS p, COALESCE(seller, '') AS s,
-                 COALESCE(order_id, '') AS o, COALESCE(name, '') AS n FROM snapshot_p),
-j AS (SELECT dd.*, k.p IS NOT NULL AS is_known FROM dd LEFT JOIN known k
-        ON COALESCE(dd.profile, '') = k.p AND COALESCE(dd.seller, '') = k.s
-       AND COALESCE(dd.order_id, '') = k.o AND COALESCE(dd.name, '') = k.n)
-SELECT COUNT(*) FILTER (WHERE NOT is_known) AS added,
-       COUNT(*) FILTER (WHERE is_known AND (delivered_at IS NOT NULL OR return_by IS NOT NULL)) AS enriched,
-       COUNT(*) FILTER (WHERE is_known AND delivered_at IS NULL AND return_by IS NULL) AS duplicate_items,
-       (SELECT CAST(COALESCE(SUM(would_flip), 0) AS BIGINT) FROM pv) AS returned
-FROM j""")
-def ingest_preview(spark, sf_dir):
-    return M.dry_run_counts(_deduped(spark, sf_dir), P.refunds_p(spark, sf_dir), P.snapshot_p(spark, sf_dir))
-
-
-_RUN_SQL = """new_msgs AS (SELECT * FROM messages_log_p WHERE uid NOT IN (SELECT email_uid FROM prior_log_p)),
-dd_all AS (SELECT * FROM dd),
-dd_run AS (SELECT * FROM dd_all WHERE uid IN (SELECT uid FROM new_msgs)),
-ref_run AS (SELECT * FROM refunds_p WHERE uid IN (SELECT uid FROM new_msgs))"""
-
-
-@query("new_messages_only", with_(*BASE, MESSAGES_LOG_P, PRIOR_LOG_P) + """
-SELECT uid, via FROM messages_log_p m WHERE NOT EXISTS (SELECT 1 FROM prior_log_p p WHERE p.email_uid = m.uid)""")
-def new_messages_only(spark, sf_dir):
-    msgs = P.messages_log_p(spark, sf_dir)
-    prior = P.prior_log_p(spark, sf_dir)
-    return msgs.join(prior, msgs.uid == prior.email_uid, "left_anti").select("uid", "via")
-
-
-def _first_uid_per_key(sightings):
-    """Which message inserted each natural key (min (seq, pos))."""
-    k = sightings.select("uid", *M.key_cols(), F.struct("seq", "pos").alias("_o"))
-    return k.groupBy(*M.K).agg(F.min_by("uid", "_o").alias("uid"))
-
-
-@query("ingest_log_status", with_(*BASE, DEDUPED, MESSAGES_LOG_P) + """,
-ks AS (SELECT *, COALESCE(profile, '') AS a, COALESCE(seller, '') AS b, COALESCE(order_id, '') AS c,
-              COALESCE(name, '') AS d, seq * 1000 + pos AS o FROM dd),
-ins AS (SELECT arg_min(uid, o) AS uid FROM ks GROUP BY a, b, c, d),
-per_uid AS (SELECT uid, COUNT(*) AS n FROM ins GROUP BY uid)
-SELECT m.uid AS email_uid, CASE WHEN COALESCE(p.n, 0) > 0 THEN 'added' ELSE 'skipped' END AS status,
-       'template:' || m.via AS parsed_via, CAST(COALESCE(p.n, 0) AS INTEGER) AS items_found
-FROM messages_log_p m LEFT JOIN per_uid p USING (uid)""")
-def ingest_log_status(spark, sf_dir):
-    """M8: one log row per message: ``added`` when it inserted a row, else
-    ``skipped`` (enrichments, duplicates and refunds insert nothing)."""
-    s = _deduped(spark, sf_dir)
-    per_uid = _first_uid_per_key(s).groupBy("uid").agg(F.count(F.lit(1)).alias("n"))
-    msgs = P.messages_log_p(spark, sf_dir)
-    j = msgs.join(per_uid, "uid", "left")
-    n = F.coalesce(F.col("n"), F.lit(0))
-    return j.select(F.col("uid").alias("email_uid"),
-                    F.when(n > 0, "added").otherwise("skipped").alias("status"),
-                    F.concat(F.lit("template:"), F.col("via")).alias("parsed_via"),
-                    n.cast("int").alias("items_found"))
-
-
-@query("ingest_summary", with_(*BASE, MESSAGES_LOG_P, PRIOR_LOG_P, _RUN_SQL.replace("dd_all AS (SELECT * FROM dd),\n", ""), DEDUPED.replace("FROM sightings_p", "FROM sightings_p WHERE uid IN (SELECT uid FROM new_msgs)"),
-                                MERGED.replace("FROM refunds_p WHERE", "FROM ref_run WHERE")).replace("dd_run AS (SELECT * FROM dd_all WHERE uid IN (SELECT uid FROM new_msgs)),\n", "") + """
-SELECT (SELECT COUNT(*) FROM messages_log_p) AS candidates,
-       (SELECT COUNT(*) FROM messages_log_p WHERE uid IN (SELECT email_uid FROM prior_log_p)) AS already_done,
-       COUNT(*) AS added, CAST(SUM(n_enriched) AS BIGINT) AS enriched,
-       COUNT(*) FILTER (WHERE flipped) AS returned,
-       CAST(SUM(n_sightings - 1 - n_enriched) AS BIGINT) AS duplicate_items,
-       CAST(0 AS BIGINT) AS non_item, COUNT(*) FILTER (WHERE image_url IS NULL) AS no_image,
-       CAST(0 AS BIGINT) AS no_parse, CAST(0 AS BIGINT) AS errors
-FROM merged""")
-def ingest_summary(spark, sf_dir):
-    """A2: the apply-run counters, one row (messages already in the prior log
-    are skipped; nothing here fails to parse or is filtered)."""
-    msgs = P.messages_log_p(spark, sf_dir)
-    prior = P.prior_log_p(spark, sf_dir)
-    new = msgs.join(prior, msgs.uid == prior.email_uid, "left_anti").select("uid")
-    s = M.dedupe_in_message(P.sightings_p(spark, sf_dir).join(new, "uid", "left_semi"))
-    r = P.refunds_p(spark, sf_dir).join(new, "uid", "left_semi")
-    m = M.merge_lifecycle(s, r, assign_ids=False)
-    seen = msgs.join(prior, msgs.uid == prior.email_uid, "left").select(
-        F.lit(1).alias("c"), F.col("email_uid").isNotNull().cast("int").alias("d"))
-    rows = m.select(F.col("added").cast("int").alias("a"), F.col("n_enriched").alias("e"),
-                    F.col("flipped").cast("int").alias("r"), F.col("n_duplicate").alias("u"),
-                    (F.col("added") & F.col("image_url").isNull()).cast("int").alias("i"))
-    u = (seen.select("c", "d", *[F.lit(0).alias(x) for x in "aerui"])
-             .unionByName(rows.select(F.lit(0).alias("c"), F.lit(0).alias("d"), "a", "e", "r", "u", "i")))
-    z = F.lit(0).cast("long")
-    return u.agg(F.sum("c").cast("long").alias("candidates"), F.sum("d").cast("long").alias("already_done"),
-                 F.sum("a").cast("long").alias("added"), F.sum("e").cast("long").alias("enriched"),
-                 F.sum("r").cast("long").alias("returned"), F.sum("u").cast("long").alias("duplicate_items"),
-                 z.alias("non_item"), F.sum("i").cast("long").alias("no_image"),
-                 z.alias("no_parse"), z.alias("errors"))
-
-
-@query("via_counts", with_(*BASE, MESSAGES_LOG_P) + """
-SELECT 'template:' || via AS via, COUNT(*) AS n FROM messages_log_p GROUP BY 1""")
-def via_counts(spark, sf_dir):
-    """A3: messages with at least one kept item per template (refund mails
-    count: their return event is a kept item)."""
-    return (P.messages_log_p(spark, sf_dir)
-            .groupBy(F.concat(F.lit("template:"), F.col("via")).alias("via"))
-            .agg(F.count(F.lit(1)).alias("n")))
-
-
 @query("known_items", with_(*BASE, ITEMS_P, SNAPSHOT_P, DEDUPED) + """,
 known AS (SELECT DISTINCT COALESCE(profile, '') AS p, COALESCE(seller, '') AS s,
                  COALESCE(order_id, '') AS o, COALESCE(name, '') AS n FROM snapshot_p)
@@ -174,10 +73,7 @@ SELECT uid, pos, k.p IS NOT NULL AS known FROM dd LEFT JOIN known k
  AND COALESCE(dd.order_id, '') = k.o AND COALESCE(dd.name, '') = k.n""")
 def known_items(spark, sf_dir):
     """does each sighting's natural key already exist in the catalogue."""
-    s = _deduped(spark, sf_dir).select("uid", "pos", *M.key_cols())
-    snap = P.snapshot_p(spark, sf_dir).select(*M.key_cols()).distinct().withColumn("known", F.lit(True))
-    return (s.join(snap, M.K, "left")
-             .select("uid", "pos", F.coalesce(F.col("known"), F.lit(False)).alias("known")))
+    return M.known_items(_deduped(spark, sf_dir), P.snapshot_p(spark, sf_dir)).select("uid", "pos", "known")
 
 
 @query("distinct_order_lines", with_(*BASE) + """
@@ -187,9 +83,7 @@ SELECT COUNT(DISTINCT (COALESCE(profile, ''), COALESCE(seller, ''), COALESCE(ord
 FROM sightings_p""")
 def distinct_order_lines(spark, sf_dir):
     """Distinct natural keys and distinct message ids among the sightings."""
-    s = P.sightings_p(spark, sf_dir)
-    return s.agg(F.count_distinct(*M.key_cols()).alias("n_keys"),
-                 F.count_distinct("uid").alias("n_uids"))
+    return M.distinct_keys(P.sightings_p(spark, sf_dir))
 
 
 @query("catalog_insert", with_(*BASE, ITEMS_P, SNAPSHOT_P, DEDUPED) + """,

@@ -78,8 +78,8 @@ _N_ITEMS = ("CASE WHEN kind = -1 THEN 0 WHEN kind = 1 AND pri = '3-MEDIUM' THEN
 def dispatch_templates(spark, sf_dir):
     """X19 + F2: gate, then the first matching template and its raw item count."""
     prof = PR.load_profile("amazon")
-    p = PR.parse_messages(_body(_msgs(spark, sf_dir)), prof)
-    return p.select("uid", "via", F.size("items").alias("n_items"))
+    p = PR.parse_messages(_msgs(spark, sf_dir), prof)
+    return p.select("uid", "via", F.col("n_found").alias("n_items"))
 
 
 # --- extractors ------------------------------------------------------------------

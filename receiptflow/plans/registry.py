@@ -25,4 +25,4 @@ def query(key: str, sql: str | None = None):
 def load_all() -> None:
     """Import every query module so the registry is complete."""
     from . import (q_views, q_zones, q_merge, q_text, q_vectors,  # noqa: F401
-                   q_completions, q_sources, q_stream)
+                   q_completions, q_sources, q_ingest, q_stream)
