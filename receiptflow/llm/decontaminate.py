@@ -182,7 +182,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text",
                              F.col(item_text).cast("string").alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // PATTERN_BYTES) or 1
-    docs, schema = K.fields(docs, SCHEMA)
+    docs, schema = K.fields(K.bounded(docs), SCHEMA)
 
     def scan(rows: list) -> DataFrame:
         patterns = Patterns([tuple(r) for r in rows], window)

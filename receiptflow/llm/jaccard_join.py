@@ -282,7 +282,7 @@ def _join(batches, size: int, percent: int):
 def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE,
                    percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and row_key (of the text) of every row."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc"), row_key(F.col(text)).alias("key"),
+    rows = K.bounded(docs).select(F.col(doc_id).cast("long").alias("doc"), row_key(F.col(text)).alias("key"),
                        F.col(text).cast("string").alias("text"))
     classes = materialize(rows.mapInArrow(lambda b: _classes(b, size), "doc long, key int, n long, c long"), "classes")
     reps = classes.filter("n > 0").groupBy("c").agg(F.min("doc").alias("rep"))

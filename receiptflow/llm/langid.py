@@ -297,7 +297,7 @@ def _predict(batches, model: Model, text: str):
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Every row of ``docs`` with ``lang_pred`` and ``score`` (columns of these names give way)."""
-    docs, schema = K.fields(docs, "lang_pred string, score double")
+    docs, schema = K.fields(K.bounded(docs), "lang_pred string, score double")
     return docs.mapInArrow(lambda b: _predict(b, model, text), schema)
 
 

@@ -370,7 +370,7 @@ def scan_secrets(docs: DataFrame, text: str = "text", field: Crf | None = None,
     text, ``spans_list`` as array and, if asked for, the ``redacted`` text.
     Columns of the same names give way."""
     field = field or fit_field(docs, text)
-    docs, schema = K.fields(docs, "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, "
+    docs, schema = K.fields(K.bounded(docs), "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, "
                             "spans_list array<struct<kind:string,start:int,end:int>>"
                             + (", redacted string" if redact else ""))
     return docs.mapInArrow(lambda batches: _scan(batches, text, field, redact), schema)

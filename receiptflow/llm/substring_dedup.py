@@ -221,7 +221,7 @@ def _cut(batches, with_text: bool):
 def dedup_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW,
                 with_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and (with_text) kept_text of every row."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc"), A.row_key(F.col(text)).alias("key"),
+    rows = K.bounded(docs).select(F.col(doc_id).cast("long").alias("doc"), A.row_key(F.col(text)).alias("key"),
                        F.col(text).cast("string").alias("text"))
     known = rows.filter("doc is not null")
     regions = known.mapInArrow(lambda b: _regions(b, window), A.ROW)

@@ -251,7 +251,7 @@ def dedup_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", win
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and (with_bytes) kept_bytes of every row."""
     gram = gram or max(1, window * GRAM // WINDOW)
     own = F.col(doc_id).cast("long")
-    rows = docs.select(own.alias("doc_id"), F.coalesce(own, F.lit(NO_ID)).alias("doc"),
+    rows = K.bounded(docs).select(own.alias("doc_id"), F.coalesce(own, F.lit(NO_ID)).alias("doc"),
                        A.row_key(F.col(text)).alias("key"), F.col(text).cast("string").alias("text"))
     texts = rows.select("doc", "key", "text")
     found = texts.mapInArrow(lambda b: _regions(b, window, gram), A.ROW)

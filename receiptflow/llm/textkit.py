@@ -16,7 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Bytes of text that are worked on at once; a longer text is its own chunk.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
+
+#: Bytes of an Arrow batch between Spark and a task's Python.
+BATCH_BYTES = 8 << 20
 
 U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C15 | 1)
@@ -174,3 +177,10 @@ def fields(docs: DataFrame, fresh: str) -> tuple[DataFrame, T.StructType]:
     taken = {f.name.lower() for f in new}
     kept = [T.StructField(f.name, f.dataType, True) for f in docs.schema.fields if f.name.lower() not in taken]
     return docs.select(*[f"`{f.name}`" for f in kept]), T.StructType(kept + new)
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches are bounded in bytes, not only in rows:
+    texts may be very long."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df

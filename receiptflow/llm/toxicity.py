@@ -139,7 +139,7 @@ def _score(batches, scorer: Scorer, text: str, threshold: float):
 
 def score_toxicity(docs: DataFrame, scorer: Scorer, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Every row of ``docs`` with ``score`` and ``predicted`` (columns of these names give way)."""
-    docs, schema = K.fields(docs, "score double, predicted int")
+    docs, schema = K.fields(K.bounded(docs), "score double, predicted int")
     return docs.mapInArrow(lambda b: _score(b, scorer, text, threshold), schema)
 
 
