@@ -1,8 +1,11 @@
 """Session helpers: one place for the configuration every job relies on."""
 from __future__ import annotations
 
-import os
+import atexit
+import re
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -36,8 +39,9 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; only when nothing is
-    configured (local tests) fall back to a fresh scratch folder."""
+    """The cluster's shared ``spark.checkpoint.dir``.  Only a local master, whose
+    executors share the driver's disk, may do without: it gets a scratch folder
+    that goes with the process.  Elsewhere a missing setting is an error."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -45,18 +49,36 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="receiptflow-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        configured = tempfile.mkdtemp(prefix="receiptflow-ckpt-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
+_WRITTEN: dict[int, list[str]] = {}
+
+
 def materialize(df, name: str = "stage"):
     """Write ``df`` once as parquet under the shared checkpoint folder and read
     it back: the lineage is cut, the data survives executor loss, and (unlike
-    ``checkpoint()`` without a cache) the plan runs only once."""
-    import uuid
+    ``checkpoint()`` without a cache) the plan runs only once.  The files stay
+    until :func:`drop_scratch` (or the checkpoint folder) goes."""
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/{name}-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
+    _WRITTEN.setdefault(id(spark.sparkContext), []).append(path)
     return spark.read.parquet(path)
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete everything :func:`materialize` wrote in this session so far; for a
+    long-lived session, once the results that read it are written."""
+    paths = _WRITTEN.pop(id(spark.sparkContext), [])
+    jvm = spark.sparkContext._jvm
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
