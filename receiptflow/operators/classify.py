@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .joins import MAX_BROADCAST_ROWS, chunked_match
+from .joins import substring_join
 
 # The marketplace profile's coarse categories (name only, no default).
 MARKET_CATEGORY_SIGNALS = [
@@ -64,14 +64,14 @@ def demo_category(name="name", maker="maker") -> Column:
 
 
 def rules_join_classify(items: DataFrame, rules: DataFrame, hay_col: str = "name",
-                        key: str = "id", max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+                        key: str = "id") -> DataFrame:
     """``rules(label, priority, pattern)``; every item gets the label of its
     lowest-priority matching rule (substring of the lower-cased text), NULL if
-    none.  Rules are broadcast in size-checked chunks; the reduction is a
+    none.  Items and rules meet by their rare grams, and the reduction is a
     group-by on the item key (unique, so no hot group)."""
     r = rules.select("label", "priority", F.lower("pattern").alias("_pat"))
     it = items.select(key, F.lower(F.coalesce(F.col(hay_col), F.lit(""))).alias("_hay"))
-    matched = chunked_match(it, r, lambda a, b: F.contains(a["_hay"], b["_pat"]), max_rows)
+    matched = substring_join(it, r, "_hay", "_pat", id_col=key, literal=True)
     best = matched.groupBy(key).agg(F.min_by(F.struct("priority", "label"),
                                              F.struct("priority", "label"))["label"].alias("label"))
     return items.select(key).join(best, key, "left")

@@ -42,10 +42,10 @@ def global_position(df: DataFrame, order_cols: list[Column], name: str = "positi
 
 def position_within(df: DataFrame, group_col: str, order_cols: list[Column],
                     name: str = "rank") -> DataFrame:
-    """1-based position inside ``group_col`` for few, possibly huge groups
-    (report sections): a global position minus each group's first position."""
+    """1-based position inside ``group_col``, also for huge groups: a global
+    position minus each group's first position."""
     g = global_position(df, [F.col(group_col)] + list(order_cols), name="_gpos")
     firsts = g.groupBy(group_col).agg(F.min("_gpos").alias("_first"))
-    return (g.join(F.broadcast(firsts), group_col)
+    return (g.join(firsts, group_col)
              .withColumn(name, F.col("_gpos") - F.col("_first") + 1)
              .drop("_gpos", "_first"))

@@ -8,13 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .joins import checked_broadcast
-
 # Similarity bands (tuned for the default image model).
 HIGH_BAND = 0.85
 MEDIUM_BAND = 0.75
 DEFAULT_TOP_K = 5
-MAX_QUERY_BLOCK = 4096
+INDEX_BLOCK = 50_000
+QUERY_BLOCK = 2_000
 
 
 def confidence(score: Column) -> Column:
@@ -47,66 +46,44 @@ def knn_topk(index: DataFrame, query: list[float], k: int = DEFAULT_TOP_K,
                   .withColumn("confidence", confidence(F.col("score"))))
 
 
-def _block_topk(k: int, queries: np.ndarray, qids: list, vec_col: str, id_col: str):
-    qmat = queries.astype(np.float64)           # (q, d)
-
-    def fn(batches):
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            mat = np.vstack(pdf[vec_col].to_numpy()).astype(np.float64)   # (n, d)
-            sims = mat @ qmat.T                                            # (n, q)
-            ids = pdf[id_col].to_numpy()
-            kk = min(k, len(ids))
-            out = []
-            for j, qid in enumerate(qids):
-                col = sims[:, j]
-                # top-k by (-score, id): argpartition on score, exact ordering after
-                part = np.argpartition(-col, kk - 1)[:kk] if kk < len(col) else np.arange(len(col))
-                # include ties at the k-th score so the global merge stays exact
-                kth = col[part].min()
-                sel = np.nonzero(col >= kth)[0]
-                out.append(pd.DataFrame({"query_id": qid, id_col: ids[sel], "score": col[sel]}))
-            yield pd.concat(out, ignore_index=True)
-    return fn
+def _best_of_block(k: int, id_col: str, vec_col: str):
+    """Top k (and ties with the k-th) of an index block for each of a block of queries."""
+    def best(queries: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
+        out = {"query_id": [], id_col: [], "score": []}
+        if len(queries) and len(index):
+            sims = np.vstack(queries["_q"].to_numpy()).astype(np.float64) @ \
+                np.vstack(index[vec_col].to_numpy()).astype(np.float64).T
+            n = min(k, sims.shape[1])
+            least = np.partition(sims, sims.shape[1] - n, axis=1)[:, sims.shape[1] - n]
+            q, i = np.nonzero(sims >= least[:, None])
+            out = {"query_id": queries["query_id"].to_numpy()[q], id_col: index[id_col].to_numpy()[i],
+                   "score": sims[q, i]}
+        return pd.DataFrame(out)
+    return best
 
 
 def knn_batch(index: DataFrame, queries: DataFrame, k: int = DEFAULT_TOP_K,
               vec_col: str = "vector", id_col: str = "item_id",
               qid_col: str = "query_id", qvec_col: str = "query_vector") -> DataFrame:
-    """V2: exact top-k for a block of query vectors.
-
-    The query block is size-checked and shipped with the task closure; every
-    index partition does one matrix product with Arrow batches and keeps only
-    its own top-k per query (plus ties), so the shuffle carries at most
-    ``k x partitions`` rows per query and the final per-query ranking is small."""
-    q = queries.select(qid_col, qvec_col)
-    n = q.count()
-    if n == 0:
-        return index.sparkSession.createDataFrame(
-            [], f"query_id {queries.schema[qid_col].dataType.simpleString()}, "
-                f"{id_col} {index.schema[id_col].dataType.simpleString()}, score DOUBLE, "
-                "rank INT, confidence STRING")
-    # Beyond the block bound the queries are processed block by block (each
-    # block is again bounded), never shipped whole.
-    n_blocks = -(-n // MAX_QUERY_BLOCK)
-    id_type = index.schema[id_col].dataType
-    qid_type = queries.schema[qid_col].dataType
-    schema = T.StructType([T.StructField("query_id", qid_type), T.StructField(id_col, id_type),
+    """V2: exact top-k for a table of query vectors.
+
+    Index and queries are numbered by blocks of about ``INDEX_BLOCK`` and
+    ``QUERY_BLOCK`` vectors; every pair of blocks meets in a cogroup (an
+    equi-join on both numbers) and is one matrix product, of which only the top
+    k per query (plus ties) go on.  Neither table passes through the driver,
+    and the plan is the same for every size."""
+    blocks = [max(1, -(-df.count() // n)) for df, n in ((index, INDEX_BLOCK), (queries, QUERY_BLOCK))]
+    def numbered(df, key, own, other):
+        mine = F.pmod(F.xxhash64(key), F.lit(blocks[own])).cast("int")
+        theirs = F.explode(F.sequence(F.lit(0), F.lit(blocks[other] - 1)))
+        return df.withColumn("_b0", mine if own == 0 else theirs).withColumn("_b1", theirs if own == 0 else mine)
+    left = numbered(queries.select(F.col(qid_col).alias("query_id"), F.col(qvec_col).alias("_q")), "query_id", 1, 0)
+    right = numbered(index.select(id_col, vec_col), id_col, 0, 1)
+    schema = T.StructType([T.StructField("query_id", queries.schema[qid_col].dataType),
+                           T.StructField(id_col, index.schema[id_col].dataType),
                            T.StructField("score", T.DoubleType())])
-    parts = []
-    for b in range(n_blocks):
-        blk = q if n_blocks == 1 else q.filter(F.pmod(F.xxhash64(qid_col), F.lit(n_blocks)) == b)
-        rows = checked_broadcast(blk, MAX_QUERY_BLOCK * 2).collect()
-        if not rows:
-            continue
-        qids = [r[0] for r in rows]
-        qmat = np.array([list(r[1]) for r in rows], dtype=np.float64)
-        parts.append(index.select(id_col, vec_col)
-                          .mapInPandas(_block_topk(k, qmat, qids, vec_col, id_col), schema))
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
+    cand = left.groupBy("_b0", "_b1").cogroup(right.groupBy("_b0", "_b1")).applyInPandas(
+        _best_of_block(k, id_col, vec_col), schema)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(id_col))
     return (cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
                 .withColumn("confidence", confidence(F.col("score"))))
@@ -147,6 +124,19 @@ def reindex_plan(items: DataFrame, emb: DataFrame, force: bool = False, id_col:
     return items_missing_embedding(items, emb, id_col)
 
 
+def reindex(items: DataFrame, emb: DataFrame, predict, force: bool = False,
+            id_col: str = "id") -> tuple[DataFrame, DataFrame]:
+    """V3 + A10 as a job: (the index afterwards, embedded / skipped / failed).
+    ``predict`` (H8) maps the planned rows to rows (item_id, vector), a NULL
+    vector for a failure; what it embeds replaces the stored vector."""
+    plan = reindex_plan(items, emb, force, id_col)
+    made = predict(plan)
+    new = made.filter(F.col("vector").isNotNull()).select("item_id", "vector")
+    kept = emb.select("item_id", "vector").join(new.select("item_id"), "item_id", "left_anti")
+    considered = items if force else items.join(emb, items[id_col] == emb.item_id, "left_anti")
+    return kept.unionByName(new), reindex_stats(considered, made, id_col)
+
+
 def reindex_stats(plan: DataFrame, embedded: DataFrame, id_col: str = "id") -> DataFrame:
     """A10: embedded / skipped / failed after the embedding job, where
     ``embedded(item_id, vector)`` is the job's output (NULL vector = failure)."""

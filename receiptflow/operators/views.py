@@ -107,8 +107,8 @@ def find_items(items: DataFrame, keys: DataFrame, profile: str) -> DataFrame:
     tier 3 case-insensitive name substring; per key only the best non-empty tier.
 
     Tiers 1 and 2 are equi-joins; tier 3 is a substring match, run only for the
-    keys that found nothing in tiers 1-2, as an exact gram-index equi-join
-    (no key x item comparison)."""
+    keys that found nothing in tiers 1-2, as an equi-join on their rare grams
+    (no key x item comparison).  Digits beyond a BIGINT are no id."""
     it = items_for_profile(items, profile)
     k = keys.select("key")
     k_id = k.filter(F.col("key").rlike("^[0-9]+$")).withColumn("_kid", F.col("key").try_cast("long"))
@@ -129,15 +129,17 @@ def find_items(items: DataFrame, keys: DataFrame, profile: str) -> DataFrame:
 
 # --- export -------------------------------------------------------------------
 
-EXPORT_FIELDS = ["id", "profile", "name", "maker", "price", "currency", "quantity",
-                 "seller", "order_id", "purchased_at", "category", "delivered_at",
-                 "return_by", "return_state"]
+# Fixed value: the stored columns of a catalogue row, in their order.
+EXPORT_FIELDS = ["id", "profile", "name", "maker", "price", "currency", "quantity", "seller", "order_id",
+                 "purchased_at", "category", "image_path", "image_sha", "source", "delivered_at", "return_by",
+                 "return_state", "zone", "zone_secondary", "zone_signal", "zone_confidence", "created_at"]
 
 
 def export_json(items: DataFrame, today, policy_days: int = POLICY_WINDOW_DAYS,
                 fields=EXPORT_FIELDS) -> DataFrame:
-    """One JSON object per item, stored fields plus ``return_window``
-    (status ``returned`` outranks the window); NULL fields are kept."""
+    """One JSON object per item, every stored field (NULL where the table
+    hasn't got the column) plus ``return_window`` (status ``returned`` outranks
+    the window); NULL fields are kept."""
     w = with_return_window(items, today, policy_days)
     rw = F.struct(
         F.col("window_return_by").cast("string").alias("return_by"),
@@ -145,8 +147,11 @@ def export_json(items: DataFrame, today, policy_days: int = POLICY_WINDOW_DAYS,
         F.when(F.col("return_state") == "returned", "returned")
          .otherwise(F.col("window_status")).alias("status"),
         F.col("basis").alias("basis"))
-    obj = F.struct(*[F.col(c).cast("string").alias(c) if c.endswith("_at") or c == "return_by"
-                     else F.col(c) for c in fields], rw.alias("return_window"))
+    def value(c):
+        if c not in w.columns:
+            return F.lit(None).cast("string").alias(c)
+        return F.col(c).cast("string").alias(c) if c.endswith("_at") or c == "return_by" else F.col(c)
+    obj = F.struct(*map(value, fields), rw.alias("return_window"))
     return w.select("id", F.to_json(obj, {"ignoreNullFields": "false"}).alias("json"))
 
 
@@ -233,9 +238,9 @@ def spend_by_category(items: DataFrame) -> DataFrame:
 
 def receipt_search(items: DataFrame, terms: DataFrame) -> DataFrame:
     """Rows whose name, maker, seller or order id holds the term (any case),
-    via the gram-index substring join."""
+    by the rare grams of the terms."""
     with_hay = items.withColumn("_hay", F.concat_ws("\u0001", "name", "maker", "seller", "order_id"))
-    return substring_join(with_hay, terms, "_hay", "term").drop("_hay")
+    return substring_join(with_hay, terms, "_hay", "term", id_col="id").drop("_hay")
 
 
 def repeat_purchases(items: DataFrame) -> DataFrame:
@@ -270,7 +275,7 @@ def report_returns_lines(items: DataFrame, today, policy_days: int = POLICY_WIND
     """The returns report as rows (section_rank, rank, line): a title
     (section 0), one heading per section (rank 0), the item lines in report
     order, '(none)' for empty sections and the evaluate note under the open
-    section."""
+    section.  The layout cuts names in ``line``; ``name`` has them whole."""
     r = returns_report(items, today, policy_days)
     show_clock = F.col("section").isin("open", "expired")
     flag = F.when(F.col("state") == DEFAULT_STATE,
@@ -279,7 +284,7 @@ def report_returns_lines(items: DataFrame, today, policy_days: int = POLICY_WIND
         F.format_string("  [%3s] %-40.40s %-9s %14s", F.coalesce(F.col("id").cast("string"), F.lit("-")),
                         F.coalesce(F.col("name"), F.lit("(unnamed)")), F.col("state"), price_text()),
         F.when(show_clock, F.concat(F.lit("   ⏳ "), clock_text())).otherwise(F.lit("")), flag)
-    body = r.select("section_rank", F.col("rank").cast("long").alias("rank"), line.alias("line"))
+    body = r.select("section_rank", F.col("rank").cast("long").alias("rank"), line.alias("line"), "name")
     counts = r.groupBy("section_rank").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("state") == DEFAULT_STATE).alias("n_eval"))
@@ -302,7 +307,8 @@ def report_returns_lines(items: DataFrame, today, policy_days: int = POLICY_WIND
         F.format_string("  (%d item(s) flagged `evaluate` — these need a decision)", F.col("n_eval")).alias("line"))
     title = spark.range(1).select(F.lit(0).alias("section_rank"), F.lit(0).cast("long").alias("rank"),
                                   F.lit(f"==== Returns — {today} (policy window {policy_days}d) ====").alias("line"))
-    return title.unionByName(heads).unionByName(body).unionByName(nones).unionByName(note)
+    rest = title.unionByName(heads).unionByName(nones).unionByName(note)
+    return rest.withColumn("name", F.lit(None).cast("string")).unionByName(body)
 
 
 def triage_clock_text() -> Column:

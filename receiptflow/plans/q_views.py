@@ -112,8 +112,10 @@ def find_items(spark, sf_dir):
 SELECT id, json_object('id', id, 'profile', profile, 'name', name, 'maker', maker, 'price', price,
   'currency', currency, 'quantity', quantity, 'seller', seller, 'order_id', order_id,
   'purchased_at', CAST(purchased_at AS VARCHAR), 'category', category,
+  'image_path', NULL, 'image_sha', NULL, 'source', NULL,
   'delivered_at', CAST(delivered_at AS VARCHAR), 'return_by', CAST(return_by AS VARCHAR),
-  'return_state', return_state,
+  'return_state', return_state, 'zone', NULL, 'zone_secondary', NULL, 'zone_signal', NULL, 'zone_confidence', NULL,
+  'created_at', NULL,
   'return_window', json_object('return_by', CAST(window_return_by AS VARCHAR), 'days_left', days_left,
      'status', CASE WHEN return_state = 'returned' THEN 'returned' ELSE window_status END,
      'basis', basis))::VARCHAR AS json
@@ -211,19 +213,19 @@ _RET_LINE_SQL = """
 body AS (
   SELECT section_rank, CAST(ROW_NUMBER() OVER (PARTITION BY section_rank ORDER BY
            CASE section WHEN 'open' THEN days_left WHEN 'expired' THEN -days_left ELSE 0 END, id) AS BIGINT) AS rank,
-         {_RET_LINE_SQL} AS line FROM sec),
+         {_RET_LINE_SQL} AS line, name FROM sec),
 secs AS (SELECT * FROM (VALUES (1, 'open'), (2, 'unknown'), (3, 'expired'), (4, 'returned')) t(section_rank, section)),
 cnt AS (SELECT s.section_rank, s.section, COUNT(x.id) AS n,
                COUNT(x.id) FILTER (WHERE x.state = 'evaluate') AS n_eval
         FROM secs s LEFT JOIN sec x USING (section_rank) GROUP BY ALL)
-SELECT 0 AS section_rank, CAST(0 AS BIGINT) AS rank, '==== Returns — 2001-07-01 (policy window 30d) ====' AS line
+SELECT 0 AS section_rank, CAST(0 AS BIGINT) AS rank, '==== Returns — 2001-07-01 (policy window 30d) ====' AS line, CAST(NULL AS VARCHAR) AS name
 UNION ALL
 SELECT section_rank, 0, CASE section WHEN 'open' THEN 'Still returnable (' || n || ') — most urgent first:'
   WHEN 'unknown' THEN 'Window unknown (' || n || ') — no usable dates:' WHEN 'expired' THEN 'Expired (' || n || '):'
-  ELSE 'Already returned (' || n || '):' END FROM cnt WHERE section <> 'unknown' OR n > 0
+  ELSE 'Already returned (' || n || '):' END, NULL FROM cnt WHERE section <> 'unknown' OR n > 0
 UNION ALL SELECT * FROM body
-UNION ALL SELECT section_rank, 1, '  (none)' FROM cnt WHERE n = 0 AND section <> 'unknown'
-UNION ALL SELECT section_rank, n + 1, '  (' || n_eval || ' item(s) flagged `evaluate` — these need a decision)'
+UNION ALL SELECT section_rank, 1, '  (none)', NULL FROM cnt WHERE n = 0 AND section <> 'unknown'
+UNION ALL SELECT section_rank, n + 1, '  (' || n_eval || ' item(s) flagged `evaluate` — these need a decision)', NULL
   FROM cnt WHERE section = 'open' AND n_eval > 0""")
 def report_returns_lines(spark, sf_dir):
     return V.report_returns_lines(_items(spark, sf_dir).select(*REPORT_COLS), P.TODAY, P.POLICY_DAYS)
