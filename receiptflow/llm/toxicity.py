@@ -28,7 +28,7 @@ from .langid import held_out
 
 BITS = 20
 SAMPLE_POSITIVE = 4_000
-SAMPLE_UNLABELLED = 30_000
+SAMPLE_UNLABELLED = 20_000
 MIN_DF = 8
 THRESHOLD = 0.7
 STEPS = 600
