@@ -2,10 +2,12 @@
 from __future__ import annotations
 
 import atexit
+import os
 import re
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -38,6 +40,22 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, for clusters where it isn't installed there
+    (the Python stages import it by name)."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="receiptflow-pkg-")
+    archive = os.path.join(folder, "receiptflow.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for top, _, names in os.walk(os.path.join(root, "receiptflow")):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(top, name)
+                    z.write(full, os.path.relpath(full, root))
+    spark.sparkContext.addPyFile(archive)
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared ``spark.checkpoint.dir``.  Only a local master, whose
     executors share the driver's disk, may do without: it gets a scratch folder
