@@ -28,19 +28,18 @@ EOL = "\r\n"
 HTTP = "HTTP/1.1 200 OK"
 MIME = "text/html; charset=utf-8"
 
-#: Replacements that turn markup into text, in this order (Java and RE2 agree on them).
+#: Replacements that turn markup into text, in this order (Java and RE2 agree on the
+#: patterns); a step without a pattern is a list of plain strings.
 STEPS = [
-    (r"(?s)<!--.*?(-->|\z)", " "),
-    (r"(?is)<script\b.*?(</script[^>]*>|\z)", " "),
-    (r"(?is)<style\b.*?(</style[^>]*>|\z)", " "),
-    (r"(?is)<title\b.*?(</title[^>]*>|\z)", " "),
+    (r"(?is)<!--.*?(-->|\z)|<script\b.*?(</script[^>]*>|\z)|<style\b.*?(</style[^>]*>|\z)"
+     r"|<title\b.*?(</title[^>]*>|\z)", " "),
     (r"[\x00-\x20]+", " "),
-    (r"(?i)<(/?)(p|br|div|li|ul|ol|h[1-6]|tr|td|th|table|article|section|nav|header|footer|main|aside|body)\b[^>]*>",
+    (r"(?i)</?(p|br|div|li|ul|ol|h[1-6]|tr|td|th|table|article|section|nav|header|footer|main|aside|body)\b[^>]*>",
      "\n"),
     (r"<[^>]*(>|\z)", ""),
-    (r"&nbsp;|&#160;", " "), (r"&lt;|&#60;", "<"), (r"&gt;|&#62;", ">"),
-    (r"&quot;|&#34;", "\""), (r"&apos;|&#39;", "'"), (r"&amp;|&#38;", "&"),
-    (r"[ \n]*\n[ \n]*", "\n"), (r" +", " "),
+    (None, [("&nbsp;", " "), ("&#160;", " "), ("&lt;", "<"), ("&#60;", "<"), ("&gt;", ">"), ("&#62;", ">"),
+            ("&quot;", "\""), ("&#34;", "\""), ("&apos;", "'"), ("&#39;", "'"), ("&#38;", "&"), ("&amp;", "&")]),
+    (r" *\n[ \n]*", "\n"), (r"  +", " "),
 ]
 TITLE = r"(?is)<title\b[^>]*>(.*?)</title"
 LINK = r"(?i)<a\s[^>]*href"
@@ -49,7 +48,11 @@ CONTROL = r"[\x00-\x20]+"
 
 def plain_text(html: Column) -> Column:
     for pattern, by in STEPS:
-        html = F.regexp_replace(html, pattern, by)
+        if pattern:
+            html = F.regexp_replace(html, pattern, by)
+        else:
+            for entity, sign in by:
+                html = F.replace(html, F.lit(entity), F.lit(sign))
     return F.trim(F.regexp_replace(html, r"\A\n|\n\z", ""))
 
 
@@ -156,7 +159,11 @@ def oracle() -> str:
     line = f"trim(regexp_replace(%s, {_sql(CONTROL)}, ' ', 'g'))"
     text = "payload"
     for pattern, by in STEPS:
-        text = f"regexp_replace({text}, {_sql(pattern)}, {_sql(by)}, 'g')"
+        if pattern:
+            text = f"regexp_replace({text}, {_sql(pattern)}, {_sql(by)}, 'g')"
+        else:
+            for entity, sign in by:
+                text = f"replace({text}, {_sql(entity)}, {_sql(sign)})"
     text = f"trim(regexp_replace({text}, {_sql(chr(92) + 'A' + chr(92) + 'n|' + chr(92) + 'n' + chr(92) + 'z')}, '', 'g'))"
 
     def id_(kind):
