@@ -36,6 +36,8 @@ WINDOW = 50
 ROUNDS = 9
 #: Words that a symbol stands for at most.
 LONGEST = 24
+#: Keeps names of runs apart from other names.
+RUN = np.uint64(0xD1B54A32D192ED03)
 SECOND = K.Powers(0xDA942042E4DD58B5)
 
 
@@ -64,7 +66,7 @@ def runs(x: Level, words: np.ndarray, first: np.ndarray, last: np.ndarray) -> Le
     right = np.where((e < hi[head]) & (words[after] == words[x.s[tail]]),
                      np.maximum(x.ce[tail], x.ce[nxt]), np.maximum(x.ce[tail], e + 1))
     joined = (size > 1) & (e - s <= LONGEST)
-    name = np.where(joined, K.mix(x.name[head] * np.uint64(5) + size.astype(np.uint64)), x.name[head])
+    name = np.where(joined, K.mix(x.name[head] * np.uint64(5) + size.astype(np.uint64) * RUN), x.name[head])
     copies = np.where(joined, 1, size)
     at = np.repeat(head, copies) + K.ranges(np.zeros_like(copies), copies)
     one = np.repeat(joined, copies)

@@ -85,7 +85,7 @@ def test_equal_windows_share_their_anchor():
 
 def test_symbols_stand_for_their_words():
     rng = np.random.default_rng(4)
-    words = K.mix(rng.integers(0, 3, 3000).astype(np.uint64))
+    words = K.mix(rng.integers(7, 10, 3000).astype(np.uint64))
     for level in S.levels(words, np.array([0, 1000, 3000])):
         assert level.s[0] == 0 and level.e[-1] == 3000 and (level.s[1:] == level.e[:-1]).all()
         said = {}
