@@ -2,6 +2,7 @@
 import gzip
 import itertools
 import re
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -31,13 +32,14 @@ def leaks_by_hand(docs, items, window=10):
         m = min(window, len(w))
         for k in range(len(w) - m + 1 if m else 0):
             patterns.setdefault(tuple(w[k:k + m]), set()).add(str(i))
+    sizes = {len(p) for p in patterns}
     out = []
     for d, t in docs:
         w, hit, found = _words(t), set(), set()
-        for p, who in patterns.items():
-            for k in range(len(w) - len(p) + 1):
-                if tuple(w[k:k + len(p)]) == p:
-                    hit.update(range(k, k + len(p)))
+        for m in sizes:
+            for k in range(len(w) - m + 1):
+                if who := patterns.get(tuple(w[k:k + m])):
+                    hit.update(range(k, k + m))
                     found |= who
         out.append((d, len(w), len(hit), sorted(found)))
     return sorted(out, key=str)
@@ -81,9 +83,13 @@ def groups_by_hand(docs, size, percent):
         while root[x] != x:
             x = root[x]
         return x
-    for a, b in itertools.combinations(sorted(sets), 2):
-        k = len(sets[a] & sets[b])
-        if k and 100 * k >= percent * len(sets[a] | sets[b]):
+    holders = {}
+    for d in sorted(sets):
+        for x in sets[d]:
+            holders.setdefault(x, []).append(d)
+    common = Counter(pair for ds in holders.values() for pair in itertools.combinations(ds, 2))
+    for (a, b), k in common.items():
+        if 100 * k >= percent * (len(sets[a]) + len(sets[b]) - k):
             x, y = sorted((find(a), find(b)))
             root[y] = x
     return {d: (len(sets[d]), find(d)) for d in sets}
