@@ -9,17 +9,19 @@ are made in two steps, both exact.
    m > h some part is equal in both; parts that are empty or hold nothing but
    very common shingles may be left out as long as h + 1 others remain, else
    all of a set's parts are used (if either set has h + 1 others, one of them
-   is equal in both).  Equal parts, dealt by their name, chain documents into
-   regions.  Which shingles count as common is taken from a bounded sample and
-   has no influence on the result.
+   is equal in both).  Equal parts are dealt by their name; each sends its sets
+   to the region of the least one among them, so two sets with an equal part
+   meet in a region, and regions don't grow along chains.  Which shingles count
+   as common is taken from a bounded sample and has no influence on the result.
 2. Pivots inside a region.  The first document without a pivot becomes one;
-   distances of all the region's documents to it are computed.  Its cell are
+   distances of the region's documents that share a shingle with it are computed
+   (through an inverted index, the others are 1 apart).  Its cell are
    the documents within t (nearest pivot first), all linked to it, hence one
    component; its window are those within 2t, which by the triangle inequality
    holds every link that leaves the cell.  Only window documents of another
    component are compared, and only with the cell's documents whose distance
-   to the pivot differs by at most t; the cells so join recursively, until
-   their components don't change.
+   to the pivot differs by at most t; the cells so join until their components
+   don't change.  The links of all regions make the components.
 
 Equal sets are one class before anything is dealt; copies never meet in pairs.
 
@@ -178,6 +180,9 @@ def link(sets: list[np.ndarray], percent: int) -> np.ndarray:
     ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
     mark = np.zeros(int(ids.max()) + 1, bool)
     doc = np.repeat(np.arange(n), size)
+    holders = doc[np.argsort(ids, kind="stable")]     # documents by element
+    held = np.bincount(ids)
+    begin = np.cumsum(held) - held
 
     def root(x):
         while parent[x] != x:
@@ -191,14 +196,14 @@ def link(sets: list[np.ndarray], percent: int) -> np.ndarray:
             parent[max(x, y)] = min(x, y)
 
     def shared(x, others):
-        """Elements that x has in common with each of the others."""
-        mark[ids[first[x]:first[x + 1]]] = True
+        """Elements that x has in common with each of the others (or with all)."""
+        own = ids[first[x]:first[x + 1]]
         if others is None:
-            got = np.bincount(doc[mark[ids]], minlength=n)
-        else:
-            at = K.ranges(first[others], size[others])
-            got = np.bincount(np.repeat(np.arange(len(others)), size[others])[mark[ids[at]]], minlength=len(others))
-        mark[ids[first[x]:first[x + 1]]] = False
+            return np.bincount(holders[K.ranges(begin[own], held[own])], minlength=n)
+        mark[own] = True
+        at = K.ranges(first[others], size[others])
+        got = np.bincount(np.repeat(np.arange(len(others)), size[others])[mark[ids[at]]], minlength=len(others))
+        mark[own] = False
         return got
 
     t = (100 - percent) / 100 + 1e-9
@@ -235,11 +240,11 @@ def link(sets: list[np.ndarray], percent: int) -> np.ndarray:
 
 
 def _join(batches, size: int, percent: int):
-    """Rows (region, rep, c, text), sorted by region -> c and the least rep of its component."""
+    """Rows (region, rep, c, text), sorted by region -> links between reps, a star for each
+    component of a region."""
     held: list[pa.RecordBatch] = []
 
     def work(table: pa.Table):
-        found: dict[int, tuple[int, int, np.ndarray]] = {}
         group, reps = table.column("region").to_numpy(), table.column("rep").to_numpy()
         wanted = table.column("c").to_numpy()
         row = 0
@@ -253,19 +258,18 @@ def _join(batches, size: int, percent: int):
                     cs.append(wanted[row])
                     region.append(group[row])
                 row += 1
-        del found
         region = np.array(region)
         edges = np.flatnonzero(np.concatenate([[True], region[1:] != region[:-1], [True]])) if len(region) else [0]
-        out_c, out_r = [], []
+        out_a, out_b = [], []
         for a, b in zip(edges[:-1], edges[1:]):
             a, b = int(a), int(b)
             ids, at = np.unique(np.array(cs[a:b]), return_index=True)   # a class once
             at = at[np.argsort(np.array(rep[a:b])[at], kind="stable")] + a
             root = link([sets[k] for k in at], percent)
-            for k, r in zip(at, root):
-                out_c.append(cs[k])
-                out_r.append(rep[at[r]])
-        yield pa.RecordBatch.from_arrays([pa.array(out_c, pa.int64()), pa.array(out_r, pa.int64())], ["c", "component"])
+            far = np.flatnonzero(root != np.arange(len(root)))
+            out_a += [rep[at[r]] for r in root[far]]
+            out_b += [rep[at[k]] for k in far]
+        yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
     for batch in batches:
         held.append(batch)
@@ -296,14 +300,16 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     packed = np.packbits(common)
     signed = rows.select("text").mapInArrow(
         lambda b: _signatures(b, size, np.unpackbits(packed).astype(bool), percent), "sig long, c long")
-    edges = signed.repartition("sig").sortWithinPartitions("sig", "c").mapInArrow(_stars, "a long, b long")
-    regions = components(edges)
-    members = regions.select(F.col("node").alias("c"), F.col("component").alias("region")).join(reps, "c")
-    near = members.filter("rep is not null").join(rows, F.col("rep") == F.col("doc")).select(
-        "region", "rep", "c", "text")
-    joined = near.repartition("region").sortWithinPartitions("region", "rep").mapInArrow(
-        lambda b: _join(b, size, percent), "c long, component long")
-    found = materialize(reps.join(joined, "c", "left").select(
+    edges = materialize(signed.repartition("sig").sortWithinPartitions("sig", "c").mapInArrow(
+        _stars, "a long, b long").distinct(), "regions")
+    members = edges.select(F.col("a").alias("region"), F.col("b").alias("c")).union(
+        edges.select("a", "a").distinct())
+    placed = members.join(reps.filter("rep is not null"), "c")
+    near = placed.join(rows, F.col("rep") == F.col("doc")).select("region", "rep", "c", "text")
+    links = near.repartition("region").sortWithinPartitions("region", "rep").mapInArrow(
+        lambda b: _join(b, size, percent), "a long, b long")
+    comps = components(links)
+    found = materialize(reps.join(comps, reps.rep == comps.node, "left").select(
         "c", F.coalesce("component", "rep").alias("component")), "components")
     own = F.when(F.col("n") > 0, F.coalesce("component", "doc")).otherwise(F.col("doc"))
     return classes.join(found, "c", "left").select(
