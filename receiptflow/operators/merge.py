@@ -48,6 +48,10 @@ LEGACY_ZONE_MAP = {
 }
 
 
+#: What a merge adds to its rows about the run; no part of a catalogue that comes in.
+RUN_COLS = ["first_seq", "first_pos", "added", "n_enriched", "n_duplicate", "flipped"]
+
+
 def key_cols() -> list[Column]:
     """Natural key with NULL == '' (never ``<=>``)."""
     return [F.coalesce(F.col(c), F.lit("")).alias(f"k_{c}") for c in KEY_COLS]
@@ -88,7 +92,7 @@ def key_summary(sightings: DataFrame, existing: DataFrame | None = None) -> Data
     types = {c: sightings.schema[c].dataType for c in [*KEY_COLS, *ROW_FIELDS] if c in sightings.columns}
     if existing is not None:
         types |= {f.name: f.dataType for f in existing.schema.fields
-                  if f.name not in DATE_COLS and f.name != "id"}
+                  if f.name not in {*DATE_COLS, *K, *RUN_COLS, "id"}}
     fields = [c for c in types if c not in KEY_COLS]
     s = _rows(sightings, types, F.col("seq"), F.col("pos"), F.lit(None))
     if existing is not None:
