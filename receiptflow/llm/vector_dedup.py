@@ -1,7 +1,7 @@
 """Embedding near-dedup over a robust-pruned flat graph.
 
 Equal vectors are one class first.  Centroids come from a bounded sample; each
-class goes to its ``OVERLAP`` nearest centroids, so cluster shards overlap.  In
+class goes to its ``OVERLAPS`` nearest centroids, so cluster shards overlap.  In
 a shard every vector's candidate neighbours are robust-pruned: the nearest is
 kept, and candidates that are ``ALPHA`` times nearer to it than to the vector
 go.  The adjacency lists of all shards are united per vector: one flat graph.
@@ -10,9 +10,18 @@ Every vector is searched for, in each shard that holds it: a greedy walk on
 the united lists from the shard's medoid (and from the vector itself, which
 is a node) with a beam, then a range expansion that opens every vector found within
 the radius less a margin until none is left.  Hits are verified by cosine in
-double precision.  Recall is audited by brute force for a bounded sample of
-vectors against all; below ``RECALL`` the search is run again with a wider
-beam, and at the last beam the operator raises.
+double precision, and each shard gives a forest of them.
+
+The search only has to connect a group, not to find its every link: a group of
+many times ``SHARD`` near copies is itself cut into many shards, and most of its
+pairs share none.  So the forests of all shards make components, and within a
+component all pairs are compared: its vectors are salted into blocks of about
+``SHARD``, every pair of blocks is a group of bounded size, and only counts leave
+it.  A link is missed only if the search connects its ends by no path.
+
+Recall is audited by brute force for a bounded sample of vectors against all;
+below ``RECALL`` the search is run again with a wider beam and more shards for
+each vector, and at the last width the operator raises.
 
 Defined results: vectors that are null, empty, zero, of another length than
 most, or hold null or non-finite components link with nothing; null ids are
@@ -30,9 +39,8 @@ from ..session import materialize
 from .graph import components
 
 RADIUS = 0.95
-#: Vectors of a shard, about (before the overlap).
+#: Vectors of a shard (before the overlap) and of a component's block, about.
 SHARD = 1_000
-OVERLAP = 3
 MAX_CENTROIDS = 4_096
 #: Bound of the sample that the centroids are fitted on.
 SAMPLE = 20_000
@@ -40,7 +48,9 @@ ROUNDS = 6
 CANDIDATES = 48
 DEGREE = 24
 ALPHA = 1.2
+#: Widths of the search, tried in order: the beam, and the shards of each vector.
 BEAMS = (16, 48, 128)
+OVERLAPS = (3, 6, 12)
 #: How far under the radius a vector may lie and still be opened.
 MARGIN = 0.04
 AUDIT = 200
@@ -71,8 +81,8 @@ def _vectors(column) -> np.ndarray:
     return unit(flat.reshape(len(column), -1)) if len(column) else np.zeros((0, 1))
 
 
-def _assign(batches, c: np.ndarray):
-    near = min(OVERLAP, len(c))
+def _assign(batches, c: np.ndarray, overlap: int):
+    near = min(overlap, len(c))
     for batch in batches:
         for at in range(0, batch.num_rows, 4096):
             part = batch.slice(at, 4096)
@@ -84,19 +94,23 @@ def _assign(batches, c: np.ndarray):
                  part.column(1).take(pa.array(pick))], ["shard", "vec_id", "embedding"])
 
 
-def _by_shard(batches):
-    """Whole shards of a partition sorted by shard."""
+def _by_shard(batches, keys: tuple[str, ...] = ("shard",)):
+    """Whole shards (runs of equal keys) of a partition sorted by them."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
+        if not batch.num_rows:
+            continue
         held.append(batch)
-        shard = pa.chunked_array([b.column(b.schema.names.index("shard")) for b in held]).to_numpy()
-        if len(shard) and shard[0] != shard[-1]:
-            table = pa.Table.from_batches(held)
-            edge = np.flatnonzero(np.diff(shard)) + 1
+        table = pa.Table.from_batches(held)
+        new = np.zeros(table.num_rows - 1, bool)
+        for k in keys:
+            new |= np.diff(table.column(k).to_numpy()) != 0
+        if new.any():
+            edge = np.flatnonzero(new) + 1
             for a, b in zip([0, *edge[:-1]], edge):
                 yield table.slice(a, b - a).combine_chunks()
             held = table.slice(edge[-1]).combine_chunks().to_batches()
-    if held and sum(b.num_rows for b in held):
+    if held:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
@@ -175,7 +189,19 @@ def search(x: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: int, be
     return np.nonzero(sim >= radius - 1e-3)
 
 
+def join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins the ends of links; ``label`` holds each one's least connected place."""
+    while True:
+        x, y = label[a], label[b]
+        if (x == y).all():
+            return
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label[:] = label[label]
+
+
 def _find(batches, beam: int, radius: float):
+    """Links of each shard's forest: from the least vector to each one connected with it."""
     for table in _by_shard(batches):
         ids = table.column("vec_id").to_numpy()
         exact = _vectors(table.column("embedding").combine_chunks())
@@ -195,6 +221,7 @@ def _find(batches, beam: int, radius: float):
         links[owner, np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)] = local
         medoid = int((x @ unit(x.sum(0, keepdims=True) + 1e-12)[0]).argmax())
         step = max(16, STEP_FLOATS // max(len(ids) * 2, links.shape[1] * x.shape[1]))
+        label = np.arange(len(ids))
         for a in range(0, len(ids), step):
             queries = np.arange(a, min(a + step, len(ids)))
             r, to = search(x, links, queries, medoid, beam, radius)
@@ -202,20 +229,41 @@ def _find(batches, beam: int, radius: float):
             ok = (r != to)
             r, to = r[ok], to[ok]
             ok = np.einsum("nd,nd->n", exact[r], exact[to]) >= radius
-            r, to = r[ok], to[ok]
-            lo, hi = np.minimum(ids[r], ids[to]), np.maximum(ids[r], ids[to])
-            yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], ["a", "b"])
+            join(label, r[ok], to[ok])
+        far = np.flatnonzero(label != np.arange(len(ids)))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[label[far]]), pa.array(ids[far])], ["a", "b"])
+
+
+def _tally(batches, radius: float):
+    """Pairs of a component's blocks -> for each vector the vectors and rows it links with there."""
+    for table in _by_shard(batches, ("component", "low", "high")):
+        ids, n = table.column("vec_id").to_numpy(), table.column("n").to_numpy()
+        x = _vectors(table.column("embedding").combine_chunks())
+        block = table.column("block").to_numpy()
+        one = np.flatnonzero(block == table.column("low")[0].as_py())
+        two = np.flatnonzero(block == table.column("high")[0].as_py())
+        found, far = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+        same = table.column("low")[0] == table.column("high")[0]
+        for a in range(0, len(one), 512):
+            part = one[a:a + 512]
+            near = (x[part] @ x[two].T >= radius) & (ids[part][:, None] != ids[two])
+            found[part] += near.sum(1)
+            far[part] += near @ n[two]
+            if not same:
+                found[two] += near.sum(0)
+                far[two] += n[part] @ near
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(found), pa.array(far)], ["vec_id", "found", "far"])
 
 
 def _brute(batches, ids: np.ndarray, x: np.ndarray, radius: float):
+    """How many vectors of these batches each audited one links with."""
+    true = np.zeros(len(ids), np.int64)
     for batch in batches:
-        for at in range(0, batch.num_rows, 4096):
-            part = batch.slice(at, 4096)
-            r, k = np.nonzero(_vectors(part.column(1)) @ x.T >= radius)
-            a, b = part.column(0).to_numpy()[r], ids[k]
-            keep = a != b
-            a, b = a[keep], b[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        for at in range(0, batch.num_rows, 1024):
+            part = batch.slice(at, 1024)
+            near = _vectors(part.column(1)) @ x.T >= radius
+            true += (near & (part.column(0).to_numpy()[:, None] != ids)).sum(0)
+    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(true)], ["vec_id", "true"])
 
 
 def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding",
@@ -232,17 +280,13 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     rows = rows.withColumn("fine", F.col("fine") & (F.size("e") == width))
     classes = materialize(rows.filter("fine").groupBy("e").agg(
         F.min("vec_id").alias("vec_id"), F.count("*").alias("n")), "vectors")
-    nodes = classes.select("vec_id", F.col("e").alias("embedding"))
+    nodes = classes.select("vec_id", F.col("e").alias("embedding"), "n")
     total = nodes.count()
     members = classes.select("vec_id", "e", "n").join(
         rows.filter("fine").select(F.col("vec_id").alias("id"), "e"), "e").select("id", "vec_id", "n")
     if total:
-        pairs, recall = _pairs(nodes, total, radius)
-        both = pairs.select("a", "b").union(pairs.select("b", "a"))
-        links = both.join(classes.select(F.col("vec_id").alias("b"), "n"), "b").groupBy("a").agg(F.sum("n").alias("far"))
-        comps = components(pairs)
-        members = members.join(links, members.vec_id == links.a, "left").join(
-            comps, members.vec_id == comps.node, "left").select(
+        counts, recall = _counts(nodes, total, radius)
+        members = members.join(counts, "vec_id", "left").select(
             "id", (F.col("n") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"),
             F.coalesce("component", "vec_id").alias("component_id"))
     else:
@@ -256,31 +300,57 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
         F.lit(recall).alias("recall"))
 
 
-def _pairs(nodes: DataFrame, total: int, radius: float) -> tuple[DataFrame, float]:
+def _counts(nodes: DataFrame, total: int, radius: float) -> tuple[DataFrame, float]:
+    """vec_id, component, found (vectors linked with), far (their rows) of vectors with links; recall."""
     draw = F.pmod(F.xxhash64("vec_id"), F.lit(total))
     taught = _vectors(nodes.filter(draw < SAMPLE).limit(2 * SAMPLE).toArrow()["embedding"].combine_chunks())
     if not len(taught):
         taught = _vectors(nodes.limit(1).toArrow()["embedding"].combine_chunks())
     k = max(1, min(-(-total // SHARD), MAX_CENTROIDS, len(taught)))
     c = centroids(taught, k)
-    shards = materialize(nodes.mapInArrow(lambda b: _assign(b, c), "shard int, vec_id long, embedding array<double>"),
-                         "shards")
-    graph = shards.repartition("shard").sortWithinPartitions("shard", "vec_id").mapInArrow(
-        _build, "vec_id long, to long").groupBy("vec_id").agg(F.collect_set("to").alias("links"))
-    placed = materialize(shards.join(graph, "vec_id", "left"), "graph")
     asked = nodes.filter(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(total)) < AUDIT).limit(2 * AUDIT).toArrow()
     ids, x = asked["vec_id"].to_numpy(), _vectors(asked["embedding"].combine_chunks())
-    true = materialize(nodes.mapInArrow(lambda b: _brute(b, ids, x, radius), "a long, b long").distinct(), "audit")
-    n_true = true.count()
-    for beam in BEAMS:
-        pairs = materialize(placed.repartition("shard").sortWithinPartitions("shard", "vec_id").mapInArrow(
-            lambda b: _find(b, beam, radius), "a long, b long").distinct(), "pairs")
-        recall = true.join(pairs, ["a", "b"], "left_semi").count() / n_true if n_true else 1.0
+    true = materialize(nodes.mapInArrow(lambda b: _brute(b, ids, x, radius), "vec_id long, true long").groupBy(
+        "vec_id").agg(F.sum("true").alias("true")), "audit")
+    n_true = true.agg(F.sum("true")).first()[0] or 0
+    for beam, overlap in zip(BEAMS, OVERLAPS):
+        counts = _within(nodes, components(_forest(nodes, c, beam, overlap, radius)), radius)
+        found = true.join(counts, "vec_id").agg(F.sum(F.least("found", "true"))).first()[0] or 0
+        recall = found / n_true if n_true else 1.0
         if recall >= RECALL:
-            return pairs, recall
+            return counts, recall
     if recall < 0.9:
         raise RuntimeError(f"the graph search finds {recall:.3f} of the audited links")
-    return pairs, recall
+    return counts, recall
+
+
+def _forest(nodes: DataFrame, c: np.ndarray, beam: int, overlap: int, radius: float) -> DataFrame:
+    """Links that connect what the search connects."""
+    shards = materialize(nodes.mapInArrow(lambda b: _assign(b, c, overlap),
+                                          "shard int, vec_id long, embedding array<double>"), "shards")
+    graph = shards.repartition("shard").sortWithinPartitions("shard", "vec_id").mapInArrow(
+        _build, "vec_id long, to long").groupBy("vec_id").agg(F.collect_set("to").alias("links"))
+    placed = materialize(shards.join(graph, "vec_id", "left"), "graph")
+    return placed.repartition("shard").sortWithinPartitions("shard", "vec_id").mapInArrow(
+        lambda b: _find(b, beam, radius), "a long, b long")
+
+
+def _within(nodes: DataFrame, comps: DataFrame, radius: float) -> DataFrame:
+    """Every link within a component, counted by pairs of its blocks."""
+    comps = materialize(comps, "components")
+    block = SHARD
+    large = comps.groupBy("component").count().filter(F.col("count") > block).select(
+        "component", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+    rows = nodes.join(comps, nodes.vec_id == comps.node).drop("node").join(
+        F.broadcast(large), "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn(
+        "block", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("blocks")).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = rows.select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+                        "block", "vec_id", "embedding", "n")
+    got = dealt.repartition("component", "low", "high").sortWithinPartitions("component", "low", "high").mapInArrow(
+        lambda b: _tally(b, radius), "vec_id long, found long, far long")
+    return materialize(got.groupBy("vec_id").agg(F.sum("found").alias("found"), F.sum("far").alias("far")).join(
+        comps.withColumnRenamed("node", "vec_id"), "vec_id"), "links")
 
 
 def op8_vector_dedup(spark, sf_dir):

@@ -172,6 +172,23 @@ def test_vectors_match_brute_force(spark, monkeypatch):
     assert V.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_group_of_many_shards_has_all_links(spark, monkeypatch):
+    monkeypatch.setattr(V, "SHARD", 40)
+    rng = np.random.default_rng(18)
+    x = rng.normal(size=(1500, 16))
+    x[:1200] = x[0] + rng.normal(size=(1200, 16)) * 0.06 * np.linalg.norm(x[0]) / 4
+    for k in range(1300, 1400, 2):
+        x[k + 1] = x[k] + rng.normal(size=16) * 0.05
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    assert near[:1200, :1200].mean() > 0.99
+    got = V.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)],
+                                               "vec_id long, embedding array<double>")).collect()
+    by = {r.vec_id: r for r in got}
+    assert [by[i].n_links for i in range(1500)] == (near.sum(1) - 1).tolist()
+    assert all(by[i].component_id == 0 for i in range(1200))
+
+
 def _water_level(sizes, weights, cap):
     """Targets by resharing the excess until none is above."""
     total, target, open_ = sum(sizes), [0.0] * len(sizes), set(range(len(sizes)))
