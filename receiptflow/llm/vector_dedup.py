@@ -19,9 +19,13 @@ component all pairs are compared: its vectors are salted into blocks of about
 ``SHARD``, every pair of blocks is a group of bounded size, and only counts leave
 it.  A link is missed only if the search connects its ends by no path.
 
-Recall is audited by brute force for a bounded sample of vectors against all;
-below ``RECALL`` the search is run again with a wider beam and more shards for
-each vector, and at the last width the operator raises.
+Recall is audited by brute force for a sample of vectors against all, which grows
+until ``AUDIT_LINKED`` of them have a link, but few (up to ``AUDIT_MOST`` vectors).
+It is the mean of each vector's share of links found, over all vectors with links
+or over those with few, whichever is less, so a hot group can't outweigh the sparse
+pairs.  Below ``RECALL`` the search is run again with a wider beam and more shards
+for each vector, and at the last width the operator raises.  Where the sample held
+no link recall is null; only if it was the whole table, no link is a recall of 1.
 
 Defined results: vectors that are null, empty, zero, of another length than
 most, or hold null or non-finite components link with nothing; null ids are
@@ -53,7 +57,11 @@ BEAMS = (16, 48, 128)
 OVERLAPS = (3, 6, 12)
 #: How far under the radius a vector may lie and still be opened.
 MARGIN = 0.04
+#: Vectors audited first and at most; how many of them shall have links, but no more than FEW.
 AUDIT = 200
+AUDIT_MOST = 6_400
+AUDIT_LINKED = 50
+FEW = 8
 RECALL = 0.97
 #: Numbers gathered at once in a search step.
 STEP_FLOATS = 8 << 20
@@ -263,7 +271,7 @@ def _brute(batches, ids: np.ndarray, x: np.ndarray, radius: float):
             part = batch.slice(at, 1024)
             near = _vectors(part.column(1)) @ x.T >= radius
             true += (near & (part.column(0).to_numpy()[:, None] != ids)).sum(0)
-    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(true)], ["vec_id", "true"])
+    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(true)], ["vec_id", "links"])
 
 
 def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding",
@@ -290,17 +298,17 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
             "id", (F.col("n") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"),
             F.coalesce("component", "vec_id").alias("component_id"))
     else:
-        recall = 1.0
+        recall = None
         members = members.select("id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     alone = rows.filter("not fine").select(F.col("vec_id").alias("id"), F.lit(0).cast("long").alias("n_links"),
                                            F.col("vec_id").alias("component_id"))
     return members.unionByName(alone).select(
         F.col("id").alias("vec_id"), F.col("n_links").cast("long").alias("n_links"),
         F.col("component_id"), F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"),
-        F.lit(recall).alias("recall"))
+        F.lit(recall).cast("double").alias("recall"))
 
 
-def _counts(nodes: DataFrame, total: int, radius: float) -> tuple[DataFrame, float]:
+def _counts(nodes: DataFrame, total: int, radius: float) -> tuple[DataFrame, float | None]:
     """vec_id, component, found (vectors linked with), far (their rows) of vectors with links; recall."""
     draw = F.pmod(F.xxhash64("vec_id"), F.lit(total))
     taught = _vectors(nodes.filter(draw < SAMPLE).limit(2 * SAMPLE).toArrow()["embedding"].combine_chunks())
@@ -308,15 +316,14 @@ def _counts(nodes: DataFrame, total: int, radius: float) -> tuple[DataFrame, flo
         taught = _vectors(nodes.limit(1).toArrow()["embedding"].combine_chunks())
     k = max(1, min(-(-total // SHARD), MAX_CENTROIDS, len(taught)))
     c = centroids(taught, k)
-    asked = nodes.filter(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(total)) < AUDIT).limit(2 * AUDIT).toArrow()
-    ids, x = asked["vec_id"].to_numpy(), _vectors(asked["embedding"].combine_chunks())
-    true = materialize(nodes.mapInArrow(lambda b: _brute(b, ids, x, radius), "vec_id long, true long").groupBy(
-        "vec_id").agg(F.sum("true").alias("true")), "audit")
-    n_true = true.agg(F.sum("true")).first()[0] or 0
+    true, whole = _audit(nodes, total, radius)
     for beam, overlap in zip(BEAMS, OVERLAPS):
         counts = _within(nodes, components(_forest(nodes, c, beam, overlap, radius)), radius)
-        found = true.join(counts, "vec_id").agg(F.sum(F.least("found", "true"))).first()[0] or 0
-        recall = found / n_true if n_true else 1.0
+        share = F.least(F.coalesce("found", F.lit(0)), "links") / F.col("links")
+        recall = true.filter("links > 0").join(counts, "vec_id", "left").agg(F.least(
+            F.avg(share), F.avg(F.when(F.col("links") <= FEW, share)))).first()[0]
+        if recall is None:
+            return counts, 1.0 if whole else None
         if recall >= RECALL:
             return counts, recall
     if recall < 0.9:
@@ -324,6 +331,20 @@ def _counts(nodes: DataFrame, total: int, radius: float) -> tuple[DataFrame, flo
     return counts, recall
 
 
+def _audit(nodes: DataFrame, total: int, radius: float) -> tuple[DataFrame, bool]:
+    """vec_id and true number of links of the audited vectors; whether these are all."""
+    draw = F.pmod(F.xxhash64("vec_id", "embedding", F.lit(1)), F.lit(total))
+    size = AUDIT
+    while True:
+        asked = nodes.filter(draw < size).toArrow()
+        ids, x = asked["vec_id"].to_numpy(), _vectors(asked["embedding"].combine_chunks())
+        true = materialize(nodes.mapInArrow(lambda b: _brute(b, ids, x, radius), "vec_id long, links long").groupBy(
+            "vec_id").agg(F.sum("links").alias("links")), "audit")
+        if size >= min(total, AUDIT_MOST) or true.filter(F.col("links").between(1, FEW)).count() >= AUDIT_LINKED:
+            return true, size >= total
+        size = min(4 * size, AUDIT_MOST)
+
+
 def _forest(nodes: DataFrame, c: np.ndarray, beam: int, overlap: int, radius: float) -> DataFrame:
     """Links that connect what the search connects."""
     shards = materialize(nodes.mapInArrow(lambda b: _assign(b, c, overlap),

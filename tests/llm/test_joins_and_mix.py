@@ -189,6 +189,24 @@ def test_group_of_many_shards_has_all_links(spark, monkeypatch):
     assert all(by[i].component_id == 0 for i in range(1200))
 
 
+def test_audit_is_per_vector_and_needs_evidence(spark, monkeypatch):
+    rng = np.random.default_rng(19)
+    x = rng.normal(size=(900, 16))
+    x[:400] = x[0] + rng.normal(size=(400, 16)) * 0.05
+    for k in range(400, 700, 2):
+        x[k + 1] = x[k] + rng.normal(size=16) * 0.05
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    with monkeypatch.context() as m:   # the pairs are missed, the group is found
+        m.setattr(V, "_forest", lambda *a: spark.createDataFrame([(0, i) for i in range(1, 400)], "a long, b long"))
+        with pytest.raises(RuntimeError):
+            V.near_vectors(table)
+    lonely = table.filter("vec_id >= 700")
+    assert {r.recall for r in V.near_vectors(lonely).collect()} == {1.0}    # all were audited
+    monkeypatch.setattr(V, "AUDIT", 5)
+    monkeypatch.setattr(V, "AUDIT_MOST", 20, raising=False)
+    assert {r.recall for r in V.near_vectors(lonely).collect()} == {None}
+
+
 def _water_level(sizes, weights, cap):
     """Targets by resharing the excess until none is above."""
     total, target, open_ = sum(sizes), [0.0] * len(sizes), set(range(len(sizes)))
