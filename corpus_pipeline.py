@@ -7,22 +7,22 @@ reads them again for the next.  All stages but the last return the columns of
 
 1. language_id        rows predicted ``und`` (null text, or no letter) go
 2. jaccard_groups     of each group of near copies (five-word shingles, 80 %)
-                      the row with the smallest doc_id stays
+                      one row stays, that with the smallest doc_id
 3. decontaminate      rows that hold a benchmark window go
 4. secret_scan        every span found is replaced by ``[SECRET]``; n_chars follows
 5. mix_sources        the copies that each row has in the mix
 
 Defined results: null and empty texts leave in stage 1, so that no later stage
-has them; equal rows are near copies and leave in stage 2; rows without a
-doc_id can't stand for a group and stay only where no row of their group has
-one; an empty table gives empty stages.
+has them; equal rows are near copies and leave in stage 2; a row without a
+doc_id stays only where no row of its group has one, and one of them does;
+an empty table gives empty stages.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from receiptflow.llm import anchors, decontaminate, jaccard_join, langid, mixing, secrets
+from receiptflow.llm import decontaminate, jaccard_join, langid, mixing, secrets
 from receiptflow.session import materialize
 
 #: Of SQL the learned stages (language ID, secret scan) and the random one have no equivalent.
@@ -44,9 +44,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def jaccard_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = jaccard_join.jaccard_groups(docs, size=SHINGLE, percent=PERCENT)
-    stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("id"), F.col("row_key").alias("key")).distinct()
-    rows = _wrapped(docs, "doc_id").withColumn("key", anchors.row_key(F.col("row.text")))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row_key").alias("key"))
+    linked = groups.filter("group_key is not null").groupBy("group_key").agg(F.min(row).alias("first"))
+    stay = linked.select("first.id", "first.key").union(groups.filter("group_key is null").select(
+        "doc_id", "row_key").distinct())
+    rows = _wrapped(docs, "doc_id").withColumn("key", jaccard_join.row_key(F.col("row.text")))
     kept = rows.alias("r").join(stay.alias("s"), F.col("r.doc_id").eqNullSafe(F.col("s.id")) & (
         F.col("r.key") == F.col("s.key")), "left_semi")
     # rows that share id and text are copies of each other

@@ -24,23 +24,24 @@ are made in two steps, both exact.
    don't change.  The links of all regions make the components.
 
 Equal sets are one class before anything is dealt; copies never meet in pairs.
+Classes are placed, linked and connected by their own name, whatever rows hold
+them; a component's id is the least doc_id of its classes.
 
 Defined results: null or empty texts (no words) have an empty set and link
 with nothing; with fewer words than the shingle, the whole sequence is one
 shingle; a null doc_id links like any other but is no component id unless the
-whole component is null; repeated rows are copies; an empty table gives no
-rows.
+whole component is null; different texts under one doc_id link each for
+itself; repeated rows are copies; an empty table gives no rows.
 """
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
 from . import textkit as K
-from .anchors import row_key
 from .graph import components
 
 SHINGLE = 4
@@ -79,6 +80,11 @@ class Sets:
         self.name = self.roll.name(self.first[:-1], self.first[1:], 11)
 
 
+def row_key(text: Column) -> Column:
+    """Tells rows of one doc_id (or of none) apart by their text."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def differ(x, y, percent: int):
     """Elements that sets of sizes x and y within the threshold may differ in."""
     return (100 - percent) * (x + y) // (100 + percent)
@@ -154,6 +160,15 @@ def _signatures(batches, size: int, common: np.ndarray, percent: int):
         yield pa.RecordBatch.from_arrays([K.signed(sig), K.signed(sets.name[doc])], ["sig", "c"])
 
 
+def _texts(batches, size: int):
+    """Class and text, one of each class of a chunk."""
+    for batch in K.chunks(batches, "text"):
+        sets = Sets(batch.column(0), size)
+        at = np.unique(sets.name, return_index=True)[1]
+        at = np.sort(at[sets.n[at] > 0])
+        yield pa.RecordBatch.from_arrays([K.signed(sets.name[at]), batch.column(0).take(pa.array(at))], ["c", "text"])
+
+
 def _stars(batches):
     """Rows sorted by (sig, c) -> edges from each class to the least class of its signature."""
     sig0 = lead0 = None
@@ -240,35 +255,24 @@ def link(sets: list[np.ndarray], percent: int) -> np.ndarray:
 
 
 def _join(batches, size: int, percent: int):
-    """Rows (region, rep, c, text), sorted by region -> links between reps, a star for each
-    component of a region."""
+    """Rows (region, c, text), sorted by region and class -> links between classes, a star for
+    each component of a region."""
     held: list[pa.RecordBatch] = []
 
     def work(table: pa.Table):
-        group, reps = table.column("region").to_numpy(), table.column("rep").to_numpy()
-        wanted = table.column("c").to_numpy()
-        row = 0
-        sets, rep, cs, region = [], [], [], []
+        region, c = table.column("region").to_numpy(), table.column("c").to_numpy()
+        sets = []
         for part in K.chunks(table.combine_chunks().to_batches(), "text"):
             s = Sets(part.column(part.schema.names.index("text")), size)
-            for d in range(part.num_rows):
-                if s.name[d].astype(np.int64) == wanted[row]:   # else another text of a repeated id
-                    sets.append(s.h[s.first[d]:s.first[d + 1]])
-                    rep.append(reps[row])
-                    cs.append(wanted[row])
-                    region.append(group[row])
-                row += 1
-        region = np.array(region)
+            sets += [s.h[s.first[d]:s.first[d + 1]] for d in range(part.num_rows)]
         edges = np.flatnonzero(np.concatenate([[True], region[1:] != region[:-1], [True]])) if len(region) else [0]
         out_a, out_b = [], []
         for a, b in zip(edges[:-1], edges[1:]):
             a, b = int(a), int(b)
-            ids, at = np.unique(np.array(cs[a:b]), return_index=True)   # a class once
-            at = at[np.argsort(np.array(rep[a:b])[at], kind="stable")] + a
-            root = link([sets[k] for k in at], percent)
+            root = link(sets[a:b], percent)
             far = np.flatnonzero(root != np.arange(len(root)))
-            out_a += [rep[at[r]] for r in root[far]]
-            out_b += [rep[at[k]] for k in far]
+            out_a += c[a + root[far]].tolist()
+            out_b += c[a + far].tolist()
         yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
     for batch in batches:
@@ -285,10 +289,11 @@ def _join(batches, size: int, percent: int):
 
 def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE,
                    percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id and row_key (of the text) of every row."""
+    """doc_id, n_shingles, component_id, row_key (of the text) and group_key (of the component, also
+    where no row of it has a doc_id; null where nothing can link) of every row."""
     rows = K.bounded(docs).select(F.col(doc_id).cast("long").alias("doc"), row_key(F.col(text)).alias("key"),
                        F.col(text).cast("string").alias("text"))
-    classes = materialize(rows.mapInArrow(lambda b: _classes(b, size), "doc long, key int, n long, c long"), "classes")
+    classes = materialize(rows.mapInArrow(lambda b: _classes(b, size), "doc long, key long, n long, c long"), "classes")
     reps = classes.filter("n > 0").groupBy("c").agg(F.min("doc").alias("rep"))
     total = classes.count()
     sample = rows.filter(F.pmod(F.xxhash64("text", F.lit(9)), F.lit(max(total, 1))) < SAMPLE_DOCS) \
@@ -304,18 +309,21 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         _stars, "a long, b long").distinct(), "regions")
     members = edges.select(F.col("a").alias("region"), F.col("b").alias("c")).union(
         edges.select("a", "a").distinct())
-    placed = members.join(reps.filter("rep is not null"), "c")
-    near = placed.join(rows, F.col("rep") == F.col("doc")).select("region", "rep", "c", "text")
-    links = near.repartition("region").sortWithinPartitions("region", "rep").mapInArrow(
+    texts = rows.select("text").mapInArrow(lambda b: _texts(b, size), "c long, text string").join(
+        members.select("c").distinct(), "c", "left_semi").groupBy("c").agg(F.min("text").alias("text"))
+    near = members.join(texts, "c").select("region", "c", "text")
+    links = near.repartition("region").sortWithinPartitions("region", "c").mapInArrow(
         lambda b: _join(b, size, percent), "a long, b long")
     comps = components(links)
-    found = materialize(reps.join(comps, reps.rep == comps.node, "left").select(
-        "c", F.coalesce("component", "rep").alias("component")), "components")
-    own = F.when(F.col("n") > 0, F.coalesce("component", "doc")).otherwise(F.col("doc"))
+    grouped = materialize(reps.join(comps, reps.c == comps.node, "left").select(
+        "c", "rep", F.coalesce("component", "c").alias("group")), "components")
+    found = grouped.join(grouped.groupBy("group").agg(F.min("rep").alias("component")), "group").select(
+        "c", "group", "component")
+    own = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc"))
     return classes.join(found, "c", "left").select(
         F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id"),
-        F.col("key").alias("row_key"))
+        F.col("key").alias("row_key"), F.col("group").alias("group_key"))
 
 
 def op6_jaccard_join(spark, sf_dir):
-    return jaccard_groups(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row_key")
+    return jaccard_groups(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row_key", "group_key")

@@ -141,6 +141,32 @@ def test_group_edges(spark):
     assert J.jaccard_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_groups_go_by_class_not_by_id(spark):
+    base = [f"a{k}" for k in range(40)]
+    one, mid, nine = base, ["x0", "x1"] + base[2:], ["x0", "x1", "x2", "x3"] + base[4:]   # 1 - null - 9, not 1 - 9
+    alone = [f"n{k}" for k in range(40)]
+    other = [f"b{k}" for k in range(40)]
+    rows = [(1, one), (None, mid), (9, nine), (None, alone), (None, ["y"] + alone[1:]), (3, other),
+            (5, ["z"] + other[1:]), (5, [f"c{k}" for k in range(40)])]
+    rows = [(d, " ".join(w)) for d, w in rows]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = J.jaccard_groups(table, size=1).collect()
+    assert sorted(((r.doc_id, r.component_id) for r in got), key=str) == sorted(
+        [(1, 1), (None, 1), (9, 1), (None, None), (None, None), (3, 3), (5, 3), (5, 5)], key=str)
+    assert len({r.group_key for r in got}) == 4
+
+
+def test_pipeline_keeps_one_row_of_a_group(spark):
+    def words(x, last):
+        return " ".join([f"{x}{k}" for k in range(99)] + [last])
+    rows = [(None, words("n", "p")), (None, words("n", "q")), (None, words("n", "q")), (5, words("a", "p")),
+            (3, words("a", "q")), (5, words("b", "p")), (7, words("d", "p")), (7, words("d", "q")),
+            (None, words("b", "q")), (None, words("e", "p"))]
+    kept = C.jaccard_groups(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(((r.doc_id, r.text[0]) for r in kept), key=str) == sorted(
+        [(None, "n"), (3, "a"), (5, "b"), (7, "d"), (None, "e")], key=str)
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 50), (50, 60), (7, 7), (None, 3)]
     got = {r.node: r.component for r in G.components(spark.createDataFrame(edges, "a long, b long")).collect()}
