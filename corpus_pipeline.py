@@ -5,7 +5,8 @@ kept; ``run`` writes each stage's rows as Parquet in the shared folder and
 reads them again for the next.  All stages but the last return the columns of
 ``docs``, in order, whatever these are besides doc_id, text, lang and source.
 
-1. language_id        rows predicted ``und`` (null text, or no letter) go
+1. language_id        rows with a null text or no letter in it go, whatever the
+                      languages learned
 2. jaccard_groups     of each group of near copies (five-word shingles, 80 %)
                       one row stays, that with the smallest doc_id
 3. decontaminate      rows that hold a benchmark window go
@@ -39,7 +40,8 @@ def _wrapped(docs: DataFrame, *names: str) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = langid.identify(_wrapped(docs, "doc_id", "text", "lang"))
-    return out.filter("lang_pred <> 'und'").select("row.*")
+    # without a language to learn from every text is und, and only the letters tell
+    return out.filter((F.col("lang_pred") != "und") | F.col("row.text").rlike(r"\p{L}")).select("row.*")
 
 
 def jaccard_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

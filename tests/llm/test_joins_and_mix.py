@@ -167,6 +167,12 @@ def test_pipeline_keeps_one_row_of_a_group(spark):
         [(None, "n"), (3, "a"), (5, "b"), (7, "d"), (None, "e")], key=str)
 
 
+def test_pipeline_keeps_letters_without_languages(spark):
+    docs = spark.createDataFrame([(1, "some words", None), (2, "12 34", None), (3, None, None), (4, "", None),
+                                  (5, "\u00e9t\u00e9", None), (None, "a\nb", None)], "doc_id long, text string, lang string")
+    assert {r.doc_id for r in C.language_id(spark, docs, "").collect()} == {1, 5, None}
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 50), (50, 60), (7, 7), (None, 3)]
     got = {r.node: r.component for r in G.components(spark.createDataFrame(edges, "a long, b long")).collect()}
