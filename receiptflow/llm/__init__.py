@@ -1 +1 @@
-"""Operators for training-data pipelines (ten operators and their queries)."""
+"""Operators for training-data pipelines (thirteen operators and their queries)."""

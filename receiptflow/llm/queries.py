@@ -1,10 +1,13 @@
 """One query for each operator, over its whole table, and DuckDB SQL where it can say the same."""
 from __future__ import annotations
 
-from . import warc
+from . import divergence, filter_audit, warc
 from .decontaminate import op2_decontaminate
+from .divergence import op13_source_divergence
+from .filter_audit import op12_filter_audit
 from .jaccard_join import op6_jaccard_join
 from .langid import op5_language_id
+from .licenses import op11_license_scan
 from .mixing import op3_mix_sources
 from .secrets import op9_secret_scan
 from .substring_dedup import op1_substring_dedup
@@ -15,13 +18,16 @@ from .warc import op10_warc_derivatives
 
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_decontaminate, op3_mix_sources, op4_toxicity, op5_language_id,
-    op6_jaccard_join, op7_suffix_dedup, op8_vector_dedup, op9_secret_scan, op10_warc_derivatives)}
+    op6_jaccard_join, op7_suffix_dedup, op8_vector_dedup, op9_secret_scan, op10_warc_derivatives,
+    op11_license_scan, op12_filter_audit, op13_source_divergence)}
 
 _WORDS2 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', " \
     r"'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLES = {
     "op10_warc_derivatives": warc.oracle(),
+    "op12_filter_audit": filter_audit.ORACLE,
+    "op13_source_divergence": divergence.ORACLE,
     "op6_jaccard_join": r"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
