@@ -89,6 +89,12 @@ def key_summary(sightings: DataFrame, existing: DataFrame | None = None) -> Data
     ``existing`` catalogue rows take part with ``seq = -1`` (they were there
     first) and keep every column they have, also those that no sighting has;
     they are never counted as added."""
+    return judged(key_partials(sightings, existing))
+
+
+def key_partials(sightings: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """The aggregates behind :func:`key_summary`; partials of several sets of sightings
+    add up to those of all (:func:`combine_partials`)."""
     types = {c: sightings.schema[c].dataType for c in [*KEY_COLS, *ROW_FIELDS] if c in sightings.columns}
     if existing is not None:
         types |= {f.name: f.dataType for f in existing.schema.fields
@@ -103,7 +109,19 @@ def key_summary(sightings: DataFrame, existing: DataFrame | None = None) -> Data
     for c in DATE_COLS:
         aggs.append(F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("_o"))).alias(c))
         aggs.append(F.min(F.when(F.col(c).isNotNull(), F.col("_o"))).alias(f"{c}_o"))
-    g = s.groupBy(*K).agg(*aggs)
+    return s.groupBy(*K).agg(*aggs)
+
+
+def combine_partials(partials: DataFrame, keys: list[str] = K, also: tuple[Column, ...] = ()) -> DataFrame:
+    """Partials of the same key added up."""
+    dates = [a for c in DATE_COLS for a in (F.min_by(c, f"{c}_o").alias(c), F.min(f"{c}_o").alias(f"{c}_o"))]
+    return partials.groupBy(*keys).agg(
+        F.min("first_o").alias("first_o"), F.sum("n_sightings").alias("n_sightings"),
+        F.min_by("row", "first_o").alias("row"), *dates, *also)
+
+
+def judged(g: DataFrame) -> DataFrame:
+    """What came of a key's sightings, told by its partials."""
     fill_d = F.col("delivered_at_o").isNotNull() & (F.col("delivered_at_o") != F.col("first_o"))
     fill_r = F.col("return_by_o").isNotNull() & (F.col("return_by_o") != F.col("first_o"))
     both_same = fill_d & fill_r & (F.col("delivered_at_o") == F.col("return_by_o"))
@@ -148,7 +166,12 @@ def merge_lifecycle(sightings: DataFrame, refunds: DataFrame | None = None,
     the largest existing id; quantity defaults to 1, source to ``template``,
     state to ``evaluate``.  Existing rows keep id, state and every other
     column; only missing dates are filled and refunds flip the state."""
-    g = key_summary(sightings, existing)
+    out = catalogue_rows(key_summary(sightings, existing), None if refunds is None else refund_max_seq(refunds))
+    return assign_item_ids(out, existing) if assign_ids else out
+
+
+def catalogue_rows(g: DataFrame, refunded: tuple[DataFrame, DataFrame] | None) -> DataFrame:
+    """The catalogue's rows from one row per key and the refunds of :func:`refund_max_seq`."""
     fields = [c for c in g.schema["row"].dataType.fieldNames() if c not in KEY_COLS]
     out = g.select(
         *[F.col(f"row.{c}").alias(c) for c in [*KEY_COLS, *fields]],
@@ -165,19 +188,16 @@ def merge_lifecycle(sightings: DataFrame, refunds: DataFrame | None = None,
         out = out.withColumn("source", fresh("source", "string", lambda x: x))
     out = out.withColumn("return_state", fresh("return_state", "string", lambda x: x))
     flipped = F.lit(False)
-    if refunds is not None:
-        order_lvl, item_lvl = refund_max_seq(refunds)
+    if refunded is not None:
+        order_lvl, item_lvl = refunded
         out = (out.join(order_lvl, ["k_profile", "k_order_id"], "left")
                   .join(item_lvl, ["k_profile", "k_order_id", "k_name"], "left"))
         last_refund = F.greatest(F.col("refund_seq_order"), F.col("refund_seq_item"))
         flipped = F.coalesce((last_refund > F.col("first_seq"))
                              & (F.coalesce("return_state", F.lit(DEFAULT_STATE)) != "returned"), F.lit(False))
-    out = out.withColumn("flipped", flipped).withColumn(
+    return out.withColumn("flipped", flipped).withColumn(
         "return_state", F.when(F.col("flipped"), "returned").otherwise(F.col("return_state"))).drop(
         "refund_seq_order", "refund_seq_item")
-    if assign_ids:
-        out = assign_item_ids(out, existing)
-    return out
 
 
 def assign_item_ids(merged: DataFrame, existing: DataFrame | None) -> DataFrame:

@@ -12,6 +12,9 @@ import datetime as _dt
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranking import global_position
+from ..session import materialize
+
 # Fixed values the proxy questions are asked with (oracle parity needs them pinned).
 TODAY = _dt.date(2001, 7, 1)
 POLICY_DAYS = 30
@@ -112,8 +115,8 @@ def rules_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = (part.select(F.element_at(F.split("p_name", " "), 1).alias("pattern"))
                  .union(part.select(F.element_at(F.split("p_name", " "), -1).alias("pattern")))
                  .distinct())
-    return words.select(F.concat(F.lit("kw:"), "pattern").alias("label"), "pattern",
-                        F.dense_rank().over(Window.orderBy("pattern")).alias("priority"))
+    return global_position(words, [F.col("pattern")], "priority").select(
+        F.concat(F.lit("kw:"), "pattern").alias("label"), "pattern", F.col("priority").cast("int").alias("priority"))
 
 
 def purchases_p(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -349,6 +352,12 @@ def completions_p(spark: SparkSession, sf_dir: str) -> DataFrame:
                     wrapped.alias("response_json"), F.lit("small-model").alias("model"))
 
 
+def landed(mail: DataFrame) -> DataFrame:
+    """Mail as it lies in a source: written once, in as many files as keep all cores busy
+    (decoding is work by message; few small files would leave it to one task)."""
+    return materialize(mail.repartition(2 * mail.sparkSession.sparkContext.defaultParallelism), "raw-mail")
+
+
 def raw_messages_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``messages_p`` rendered to RFC 822 bytes (multipart/alternative,
     8bit parts, Message-ID from the uid): (uid, seq, raw)."""
