@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ROW = "name long, h long, doc long, key int, p0 int, p1 int, kind byte, place int"
+ROW = "name long, h long, doc long, key long, p0 int, p1 int, kind byte, place int"
 FIELDS = ["name", "h", "doc", "key", "p0", "p1", "kind", "place"]
 #: Values of ``kind``: a span already decided, a region, a region that stands for several.
 DECIDED, SINGLE, SEVERAL = 0, 1, 2
@@ -27,7 +27,7 @@ DECIDED, SINGLE, SEVERAL = 0, 1, 2
 
 def row_key(text: Column) -> Column:
     """Tells rows of one doc_id apart by their text."""
-    return F.hash(F.coalesce(text, F.lit("")))
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def batch_of(name, h, doc, key, p0, p1, kind, place=None) -> pa.RecordBatch:
@@ -35,7 +35,7 @@ def batch_of(name, h, doc, key, p0, p1, kind, place=None) -> pa.RecordBatch:
     place = np.zeros(len(name)) if place is None else place
     return pa.RecordBatch.from_arrays(
         [pa.array(np.asarray(name).view(np.int64)), pa.array(np.asarray(h).view(np.int64)),
-         pa.array(np.asarray(doc, np.int64)), pa.array(np.asarray(key, np.int32)),
+         pa.array(np.asarray(doc, np.int64)), pa.array(np.asarray(key, np.int64)),
          pa.array(np.asarray(p0, np.int32)), pa.array(np.asarray(p1, np.int32)),
          pa.array(np.asarray(kind, np.int8)),
          pa.array(np.asarray(place, np.int32))], FIELDS)

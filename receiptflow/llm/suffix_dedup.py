@@ -229,7 +229,10 @@ def _cut(batches, with_bytes: bool):
         sizes = np.nan_to_num(cut.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
         flat = cut.flatten()
         shift = np.repeat(offsets[:-1], sizes)
-        gone = K.covered(len(raw), flat.field("p0").to_numpy() + shift, flat.field("p1").to_numpy() + shift)
+        # no span reaches into the next text, whatever the key
+        end = np.repeat(offsets[1:], sizes)
+        p0, p1 = (np.minimum(flat.field(x).to_numpy() + shift, end) for x in ("p0", "p1"))
+        gone = K.covered(len(raw), p0, p1)
         first = gone.copy()
         first[1:] &= ~gone[:-1]
         inner = offsets[:-1][(offsets[:-1] > 0) & (offsets[:-1] < len(raw))]
@@ -261,9 +264,9 @@ def dedup_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", win
         F.collect_set(F.struct("name", "p0", "p1", "kind", "place")).alias("asked"))
     strings = texts.join(asked, ["doc", "key"]).mapInArrow(
         lambda b: _strings(b, window),
-        "name long, doc long, key int, p0 int, left int, kind byte, data binary")
+        "name long, doc long, key long, p0 int, left int, kind byte, data binary")
     more = materialize(strings.repartition("name").sortWithinPartitions("name", "doc", "key", "p0").mapInArrow(
-        lambda b: _construct(b, window), "doc long, key int, p0 int, p1 int"), "repeats")
+        lambda b: _construct(b, window), "doc long, key long, p0 int, p1 int"), "repeats")
     cuts = A.spans_by_row(met.filter(F.col("kind") == A.DECIDED).select("doc", "key", "p0", "p1").unionByName(more))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (
         ", kept_bytes binary" if with_bytes else "")

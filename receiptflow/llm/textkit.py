@@ -21,6 +21,9 @@ CHUNK_BYTES = 1 << 20
 #: Bytes of an Arrow batch between Spark and a task's Python.
 BATCH_BYTES = 8 << 20
 
+#: Longest word that is named by a polynomial.
+POLYNOMIAL_BYTES = 255
+
 U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C15 | 1)
 
@@ -140,7 +143,13 @@ class Words:
         return len(self.start)
 
     def names(self, salt: int = 0) -> np.ndarray:
-        return Rolling(BYTE_VALUES[self.raw]).name(self.start, self.end, salt)
+        """Names of the words.  Polynomials modulo 2**64 can be made to agree on words of a
+        thousand bytes, so long words are named by a hash of another kind."""
+        out = Rolling(BYTE_VALUES[self.raw]).name(self.start, self.end, salt)
+        for k in np.flatnonzero(self.end - self.start > POLYNOMIAL_BYTES).tolist():
+            word = self.raw[self.start[k]:self.end[k]].tobytes()
+            out[k] = int.from_bytes(hashlib.blake2b(word, digest_size=8, salt=salt.to_bytes(8, "little")).digest(), "little")
+        return out
 
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.offsets) - 1), np.diff(self.first))
