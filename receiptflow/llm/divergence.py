@@ -3,11 +3,12 @@ the language's other sources.
 
 Terms are runs of letters (A-Z lower-cased, any non-ASCII character is a letter).  A
 task reads a shard of documents as one Arrow buffer, points at every term's first
-byte and sorts the pointers by multikey quicksort: all open slices are split three
-ways around a pivot at once, a symbol being eight bytes; the middle part moves on to
-the next symbol, and a middle part whose terms end is a run of equal terms.  A run
-tells the term's occurrences and documents by source.  Spark adds the shards up; a
-language keeps the terms that enough of its documents hold.
+byte and sorts the pointers by multikey quicksort, a symbol being eight bytes: all open
+slices are split by their pointers' next symbol at once (numpy's sort puts every pivot
+in place where the textbook puts one), a slice of one symbol moves on to the next, and
+one whose terms end is a run of equal terms.  A run tells the term's occurrences and
+documents by source.  Spark adds the shards up; a language keeps the terms that enough
+of its documents hold.
 
 A group's share of a term is p = 1 + floor(SCALE * (count + 1) / (N + V)) of its N
 kept occurrences and the language's V kept terms, all in integers.  The divergence
@@ -41,7 +42,7 @@ from ..session import materialize
 from . import textkit as K
 
 #: Bytes of text whose pointers are sorted together; a longer text is its own shard.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 8 << 20
 #: Documents of a language that keep a term, whole of a distribution, ranks of terms.
 LEAST_DOCS, SCALE, TOP = 3, 1_000_000_000, 200
 #: Terms that agree in so many bytes are told apart by comparing the rest at once.
@@ -69,50 +70,22 @@ def sort_pointers(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[
     n = len(start)
     data = np.concatenate([raw, np.zeros(16, np.uint8)])
     order, run = np.empty(n, np.int64), np.empty(n, np.int64)
-    idx, seg, at = np.arange(n), np.zeros(n, np.int64), start.astype(np.int64)
-    key = _symbols(data, at, end)
+    # open slices: pointers, first places of their slices, own places
+    idx, seg, place, depth = np.arange(n), np.zeros(n, np.int64), np.arange(n), 0
     while len(idx):
-        first = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]]))
-        size = np.diff(np.concatenate([first, [len(seg)]]))
-        of = np.repeat(np.arange(len(first)), size)
-        a, b, c = (key[first + size * k // 4] for k in (1, 2, 3))
-        pivot = np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))[of]
-        low, same = key < pivot, key == pivot
-        # stable three-way split of all slices
-        n_low, n_same = (np.add.reduceat(x.astype(np.int64), first) for x in (low, same))
-        part = np.where(low, 0, np.where(same, 1, 2))
-        base = np.stack([np.zeros(len(first), np.int64), n_low, n_low + n_same])
-        rank = np.empty(len(idx), np.int64)
-        for p in range(3):
-            own = part == p
-            seen = np.cumsum(own)
-            rank[own] = (seen - (seen[first] - own[first])[of])[own] - 1
-        shift = base[part, of]
-        to = first[of] + shift + rank
-        begin = seg + shift
-        cols = [idx, begin, at, key, same, begin + rank]
-        moved = []
-        for x in cols:
-            y = np.empty_like(x)
-            y[to] = x
-            moved.append(y)
-        idx, seg, at, key, same, place = moved
-        ended = same & ((key & np.uint64(255)) == 0)
-        fresh = np.concatenate([[True], seg[1:] != seg[:-1]])
-        alone = fresh & np.concatenate([fresh[1:], [True]])
-        done = ended | alone
-        order[place[done]] = idx[done]
-        run[place[done]] = seg[done]
-        go = ~done
-        at = np.where(same, at + 8, at)
-        deep = go & (at - start[idx] >= DEEP)
-        if deep.any():
-            # whole slices, since all of an equal part are equally deep
-            _by_rest(data, idx[deep], seg[deep], at[deep], end, order, run)
-            go &= ~deep
-        idx, seg, at, key, same = idx[go], seg[go], at[go], key[go], same[go]
-        if same.any():
-            key[same] = _symbols(data, at[same], end[idx[same]])
+        key = _symbols(data, start[idx] + depth, end[idx])
+        by = np.lexsort((key, seg)) if depth else np.argsort(key, kind="stable")
+        idx, key = idx[by], key[by]
+        new = np.ones(len(idx), bool)
+        new[1:] = (seg[1:] != seg[:-1]) | (key[1:] != key[:-1])
+        seg = place[new][np.cumsum(new) - 1]
+        alone = new & np.append(new[1:], True)
+        done = alone | ((key & np.uint64(255)) == 0)
+        order[place[done]], run[place[done]] = idx[done], seg[done]
+        idx, seg, place, depth = idx[~done], seg[~done], place[~done], depth + 8
+        if depth >= DEEP and len(idx):
+            _by_rest(data, idx, seg, start[idx] + depth, end, order, run)
+            break
     return order, run
 
 
@@ -185,9 +158,11 @@ def kept_terms(docs: DataFrame, least: int = LEAST_DOCS, **columns: str) -> Data
 
 
 def share(count: Column, total: Column, terms: Column) -> Column:
-    """1 + floor(SCALE * (count + 1) / (total + terms)), exact beyond 64 bits."""
-    return F.lit(1) + F.call_function("div", F.lit(SCALE).cast("decimal(10,0)") * (count + 1).cast("decimal(20,0)"),
-                                      (total + terms).cast("decimal(20,0)"))
+    """1 + floor(SCALE * (count + 1) / (total + terms)); in decimals where 64 bits don't hold it."""
+    small = F.call_function("div", F.lit(SCALE).cast("long") * (count + 1), total + terms)
+    large = F.call_function("div", F.lit(SCALE).cast("decimal(10,0)") * (count + 1).cast("decimal(20,0)"),
+                            (total + terms).cast("decimal(20,0)"))
+    return F.lit(1) + F.when(count < 9 * 10**18 // SCALE - 1, small).otherwise(large)
 
 
 def divergence(p: Column, q: Column) -> Column:
