@@ -107,7 +107,6 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     known = labels.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))) \
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     stats = known.agg(F.count("toxic").alias("n"), F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("p")).first()
-    n_docs = docs.count()
     if not stats.p:
         return Scorer()
     prior = stats.p / stats.n if prior is None else prior
@@ -116,12 +115,14 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     draw = F.xxhash64("doc_id", F.lit(3))
     positive = known.filter((F.col("toxic") == 1) & (F.pmod(draw, F.lit(stats.p)) < SAMPLE_POSITIVE)).select(
         "doc_id", F.lit(1).alias("toxic"))
-    # texts of the positives come by a join on the ids, the others by hash of the id alone
-    first = rows.join(positive, "doc_id").select("toxic", "text").limit(2 * SAMPLE_POSITIVE)
-    other = rows.filter(F.pmod(draw, F.lit(max(n_docs, 1))) < SAMPLE_UNLABELLED).select(
-        F.lit(0).alias("toxic"), "text").limit(2 * SAMPLE_UNLABELLED)
-    got = [first.mapInArrow(lambda b: _featurise(b, "text"), "toxic int, x binary").toArrow(),
-           other.mapInArrow(lambda b: _featurise(b, "text"), "toxic int, x binary").toArrow()]
+    # the drawn ids go to the texts, as long as the draw is as small as it should be
+    few = positive.count() <= 2 * SAMPLE_POSITIVE
+    first = rows.join(F.broadcast(positive) if few else positive, "doc_id").select("toxic", "text")
+    other = rows.filter(F.pmod(draw, F.lit(max(rows.count(), 1))) < SAMPLE_UNLABELLED).select(
+        F.lit(0).alias("toxic"), "text")
+    # an id may have many rows: the bound keeps the same ones in every run
+    got = [drawn.mapInArrow(lambda b: _featurise(b, "text"), "toxic int, x binary").orderBy("x").limit(2 * bound).toArrow()
+           for drawn, bound in ((first, SAMPLE_POSITIVE), (other, SAMPLE_UNLABELLED))]
     p, u = ([np.frombuffer(x, np.int32) for x in t["x"].to_pylist()] for t in got)
     return Scorer().fit(p, u, prior)
 
