@@ -1,4 +1,5 @@
 """License scan, filter interaction audit and source divergence audit against brute force."""
+import hashlib
 import re
 from collections import Counter, defaultdict
 from itertools import permutations
@@ -187,20 +188,27 @@ def test_filter_audit_equals_brute_force(spark):
     assert len(rows) == 600 * 4 and set(rows) == filters_by_hand(docs, labels)
 
 
-def test_matrix_has_each_word_under_one_number(spark):
+def test_matrix_has_each_word_under_one_number(spark, monkeypatch):
+    monkeypatch.setattr(A, "BUCKET_WORDS", 50)
     docs, _ = filter_rows()
     shards = A.document_term_matrix(spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(4)).collect()
-    local = {r["shard"]: r for r in shards}
-    assert len(local) == len(shards) > 1
-    cells, total = set(), 0
+    assert len({r["shard"] for r in shards}) == len(shards) > 1
+    text = dict(enumerate(t or "" for _, t, _ in docs))
+    digests = {hashlib.sha256(t.encode()).digest(): Counter(SPACED.findall(t)) for t in text.values()}
+    rows, columns = 0, defaultdict(Counter)
     for r in shards:
-        assert r["ids"] is None or len(set(r["ids"])) == len(r["ids"])
-        for d in range(len(r["docs"])):
-            for k in range(r["indptr"][d], r["indptr"][d + 1]):
-                cells.add(r["ids"][r["indices"][k]])
-                total += r["data"][k]
-    words = [w for _, t, _ in docs for w in SPACED.findall(t or "")]
-    assert total == len(words) and cells == set(range(len(set(words))))
+        for d, row in enumerate(r["docs"]):
+            own = slice(r["indptr"][d], r["indptr"][d + 1])
+            words = digests[bytes(row["digest"])]
+            assert sorted(r["data"][own]) == sorted(words.values())
+            assert r["indices"][own] == sorted(set(r["indices"][own]))
+            rows += 1
+            for column, n in zip(r["indices"][own], r["data"][own]):
+                columns[column][d, r["shard"]] += n
+    assert rows == len(docs)
+    # a column's counts over all documents are those of one word
+    of_words = Counter(w for t in text.values() for w in SPACED.findall(t))
+    assert sorted(sum(c.values()) for c in columns.values()) == sorted(of_words.values())
 
 
 def test_filter_audit_of_nothing(spark):
