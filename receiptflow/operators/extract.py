@@ -19,9 +19,10 @@ LINE_RE = (r"(?mdU)^\s*(\d+)\s*[x×]\s*(.+?)\s*[—\-:]\s*([$£€])?(\d[\d,]*(?
            r"(?:\s*(?:each|/ea))?\s*$")
 # Same line shape without the end anchor (the demo shop's variant).
 LINE_OPEN_RE = r"(?mdU)^\s*(\d+)\s*[x×]\s*(.+?)\s*[—\-:]\s*([$£€])?(\d[\d,]*(?:\.\d{2})?)"
-BARE_LINE_RE = r"(?mdU)^\s*[-•]\s+([^\n]{3,100})\s*$"
-BLOCK_RE = (r"(?mdU)^\s*\*\s*([^\n]{4,300}?)\s*\n\s*Quantity:\s*(\d+)\s*\n?"
-            r"(?:\s*(\d[\d,]*(?:\.\d{2})?)\s*(USD|EUR|GBP|CAD|AUD|JPY)\b)?")
+# ``{longest}``: the most characters of a title; empty for any length.
+BARE_LINE_RE = r"(?mdU)^\s*[-•]\s+([^\n]{{3,{longest}}})\s*$"
+BLOCK_RE = (r"(?mdU)^\s*\*\s*([^\n]{{4,{longest}}}?)\s*\n\s*Quantity:\s*(\d+)\s*\n?"
+            r"(?:\s*(\d[\d,]*(?:\.\d{{2}})?)\s*(USD|EUR|GBP|CAD|AUD|JPY)\b)?")
 SUBJ_ITEM_RE = (r"(?iU)(?:ordered|shipped|delivered|out for delivery|arriving[^:]*):\s*"
                 r"[\"“](.+?)(?:\.\.\.|…)?[\"”]")
 
@@ -65,23 +66,26 @@ def line_items(text: Column, pattern: str = LINE_RE) -> Column:
     return _gated(text, pattern, F.filter(rows, lambda r: r["title"].isNotNull()), ITEM_TYPE)
 
 
-def block_items(text: Column) -> Column:
+def block_items(text: Column, longest: int | None = None) -> Column:
     """``* Name / Quantity: n / 8.98 USD`` blocks; titles holding an
-    order id are skipped."""
-    m = _zip(_groups(text, BLOCK_RE, 4), ["title", "qty", "amt", "cur"])
+    order id are skipped, and those of more than ``longest`` characters."""
+    pattern = BLOCK_RE.format(longest=longest or "")
+    m = _zip(_groups(text, pattern, 4), ["title", "qty", "amt", "cur"])
     rows = F.transform(m, lambda r: _item(
         clean_text(r["title"]), to_quantity(r["qty"]),
         F.when(r["amt"] != "", to_amount(r["amt"])), F.nullif(r["cur"], F.lit(""))))
-    return _gated(text, BLOCK_RE, F.filter(rows, lambda r: r["title"].isNotNull()
+    return _gated(text, pattern, F.filter(rows, lambda r: r["title"].isNotNull()
                                            & ~r["title"].rlike(MARKET_ORDER_RE)), ITEM_TYPE)
 
 
-def bare_items(text: Column) -> Column:
-    """``- Name`` lines (no price); titles holding an order id skipped."""
-    titles = _groups(text, BARE_LINE_RE, 1)[0]
+def bare_items(text: Column, longest: int | None = None) -> Column:
+    """``- Name`` lines (no price); titles holding an order id skipped, and
+    those of more than ``longest`` characters."""
+    pattern = BARE_LINE_RE.format(longest=longest or "")
+    titles = _groups(text, pattern, 1)[0]
     rows = F.transform(titles, lambda t: _item(clean_text(t), F.lit(1), F.lit(None).cast("double"),
                                                F.lit(None).cast("string")))
-    return _gated(text, BARE_LINE_RE, F.filter(rows, lambda r: r["title"].isNotNull()
+    return _gated(text, pattern, F.filter(rows, lambda r: r["title"].isNotNull()
                                                & ~r["title"].rlike(MARKET_ORDER_RE)), ITEM_TYPE)
 
 

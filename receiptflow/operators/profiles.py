@@ -1,7 +1,7 @@
 """Collection profiles: gates, templates, item predicate, classifier, enricher.
 
 A profile is driver-side configuration that *builds Column expressions*; it
-never runs per row in Python.  A template is ``(name, matches, items)`` where
+never runs per row in Python, but for messages that a ``PythonTemplate`` claims.  A template is ``(name, matches, items)`` where
 ``matches`` is a boolean Column and ``items`` an ARRAY<STRUCT> Column over the
 message columns (uid, seq, from_addr, subject, msg_date, text, html).
 Dispatch is one CASE (first matching template wins, and only the winning
@@ -12,8 +12,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as X
 from ..functions.dates import DEFAULT_STATE
@@ -59,6 +62,48 @@ class Template:
     items: Callable[[], Column]
 
 
+@dataclass
+class PythonTemplate(Template):
+    """H7: a template whose rows come from Python.  ``read`` gets a message as a dict (uid,
+    from_addr, subject, msg_date, text) and gives dicts of row fields; it must be importable
+    on the workers or a closure.  It runs on the messages that ``matches`` claims, in Arrow
+    batches; all other mail stays in the JVM.  A message on which it fails has no rows."""
+    items: Callable[[], Column] = empty_rows
+    read: Callable[[dict], list[dict]] = lambda message: []
+
+
+READ_FIELDS = ["uid", "from_addr", "subject", "msg_date", "text"]
+
+
+def _rows_type() -> T.DataType:
+    return T.StructType.fromDDL(f"items {ROW_TYPE}")[0].dataType
+
+
+def _read_batches(batches, readers: dict, names: list[str], kind: pa.DataType):
+    fields = [f.name for f in kind.value_type]
+    for batch in batches:
+        told = batch.select([*READ_FIELDS, "via"]).to_pylist()
+        out = []
+        for message in told:
+            try:
+                rows = [{"source": "template"} | r for r in readers[message.pop("via")](message)]
+                out.append(pa.array([[{f: r.get(f) for f in fields} for r in rows]], kind).to_pylist()[0])
+            except Exception:  # noqa: BLE001 - one bad mail must not fail the job
+                out.append([])
+        kept = [batch.column(n) for n in names]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(out, kind)], [*names, "items"])
+
+
+def _with_python_rows(parsed: DataFrame, readers: dict) -> DataFrame:
+    """``parsed`` with the rows of the messages that Python templates have claimed."""
+    claimed = F.col("via").isin(*readers)
+    names = [c for c in parsed.columns if c != "items"]
+    schema = T.StructType([parsed.schema[c] for c in names]).add("items", _rows_type())
+    kind = to_arrow_type(_rows_type())
+    read = parsed.filter(claimed).select(*names).mapInArrow(lambda b: _read_batches(b, readers, names, kind), schema)
+    return parsed.filter(~claimed).select(*names, "items").unionByName(read)
+
+
 @dataclass
 class CollectionProfile:
     name: str
@@ -351,6 +396,8 @@ def parse_messages(messages: DataFrame, profile: CollectionProfile) -> DataFrame
     d = d.withColumn("items", F.when(F.col("gate_ok"), items).otherwise(empty_rows()))
     image = F.col("_img") if "_img" in profile.message_columns else X.first_product_image("html")
     d = d.withColumn("msg_image", F.when(F.col("gate_ok"), image))
+    if readers := {f"template:{t.name}": t.read for t in profile.templates if isinstance(t, PythonTemplate)}:
+        d = _with_python_rows(d, readers)
     d = d.withColumn("n_found", F.size("items")).withColumn("items", first_of_each(F.col("items")))
     return d.drop(*profile.message_columns, *[n for n, _ in profile.stage_columns])
 

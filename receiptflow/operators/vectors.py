@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,18 +47,29 @@ def knn_topk(index: DataFrame, query: list[float], k: int = DEFAULT_TOP_K,
                   .withColumn("confidence", confidence(F.col("score"))))
 
 
+#: Index vectors that are compared with a block of queries at once.
+SLICE = 4096
+
+
 def _best_of_block(k: int, id_col: str, vec_col: str):
     """Top k (and ties with the k-th) of an index block for each of a block of queries."""
     def best(queries: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], id_col: [], "score": []}
         if len(queries) and len(index):
-            sims = np.vstack(queries["_q"].to_numpy()).astype(np.float64) @ \
-                np.vstack(index[vec_col].to_numpy()).astype(np.float64).T
-            n = min(k, sims.shape[1])
-            least = np.partition(sims, sims.shape[1] - n, axis=1)[:, sims.shape[1] - n]
-            q, i = np.nonzero(sims >= least[:, None])
-            out = {"query_id": queries["query_id"].to_numpy()[q], id_col: index[id_col].to_numpy()[i],
-                   "score": sims[q, i]}
+            q = np.vstack(queries["_q"].to_numpy()).astype(np.float64)
+            top, found = np.empty((len(q), 0)), []
+            for at in range(0, len(index), SLICE):
+                part = index.iloc[at:at + SLICE]
+                sims = q @ np.vstack(part[vec_col].to_numpy()).astype(np.float64).T
+                top = np.hstack([top, sims])
+                n = min(k, top.shape[1])
+                top = np.partition(top, top.shape[1] - n, axis=1)[:, top.shape[1] - n:]
+                row, col = np.nonzero(sims >= top.min(axis=1)[:, None])
+                found.append((row, at + col, sims[row, col]))
+            row, col, score = (np.concatenate(x) for x in zip(*found))
+            stay = score >= top.min(axis=1)[row]
+            out = {"query_id": queries["query_id"].to_numpy()[row[stay]], id_col: index[id_col].to_numpy()[col[stay]],
+                   "score": score[stay]}
         return pd.DataFrame(out)
     return best
 
@@ -144,3 +156,35 @@ def reindex_stats(plan: DataFrame, embedded: DataFrame, id_col: str = "id") -> D
     return j.agg(F.count_if(F.col("image_path").isNotNull() & F.col("vector").isNotNull()).alias("embedded"),
                  F.count_if(F.col("image_path").isNull()).alias("skipped"),
                  F.count_if(F.col("image_path").isNotNull() & F.col("vector").isNull()).alias("failed"))
+
+
+def batched_model(make_model, *columns: str, batch_size: int = 256, id_col: str = "id"):
+    """H8: a ``predict`` for :func:`reindex` from a model on numpy arrays.  ``make_model()``
+    runs once on each worker and gives a function of a batch of ``columns`` that returns a
+    vector for each row.  Where a batch fails its rows are tried one by one, and a row that
+    fails, or gives a number that isn't finite, has the vector NULL."""
+    def make():
+        model = make_model()
+
+        def rows(*batch):
+            try:
+                return np.asarray(model(*batch), np.float32)
+            except Exception:  # noqa: BLE001 - found row by row below
+                if len(batch[0]) == 1:
+                    return None
+            made = [rows(*[c[k:k + 1] for c in batch]) for k in range(len(batch[0]))]
+            width = next((m.shape[1] for m in made if m is not None), 1)
+            return np.vstack([np.full((1, width), np.nan, np.float32) if m is None else m for m in made])
+
+        def predict(*batch):
+            made = rows(*batch)
+            return np.full((len(batch[0]), 1), np.nan, np.float32) if made is None else made
+        return predict
+
+    embed = predict_batch_udf(make, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
+    finite = lambda v: ~F.exists(v, lambda x: F.isnan(x) | (F.abs(x) == float("inf")))
+
+    def predict(plan: DataFrame) -> DataFrame:
+        made = plan.select(F.col(id_col).alias("item_id"), embed(*columns).alias("vector"))
+        return made.withColumn("vector", F.when(finite(F.col("vector")), F.col("vector")))
+    return predict
