@@ -7,9 +7,11 @@ them: with the right odds either the first or the second becomes 0 or 1, so
 that their expected copies stay and so do their summed words.  A bucket of
 documents is folded this way in one pass (an ``aggregate`` over its array); it
 leaves one fractional document, and buckets of those are folded again, up a
-tree with a fan-in of ``FAN_IN``; a last chain leaves one short document for
-each source, which takes the nearer integer.  So a source misses its target by
-half of that document at most.
+tree with a fan-in of ``FAN_IN``; a last chain leaves one document for each
+source, which is taken or not.  The words that this costs or adds go to other
+documents of the last chain, largest first, in whole copies (0 to ``CAP`` each).
+So a source misses its target by half of the shortest of them at most, unless
+all their copies together can't make up for it.
 Buckets are numbered by a hash, hence a source with a third of all rows is many
 small groups.  Draws are hashes of the row and the seed: reruns agree.
 
@@ -102,13 +104,40 @@ def _fold(groups, kind: str, seed: int) -> DataFrame:
     return materialize(folded, "pivotal")
 
 
-def round_copies(rows: DataFrame, seed: int = 11) -> DataFrame:
+def _settle(state: Column, cap: int) -> Column:
+    """The last open document is taken or not, whichever the settled ones can better make up for
+    (then the nearer); its error goes to them, largest first."""
+    a, others = state["open"], state["done"]
+
+    def words(copies):
+        return F.aggregate(others, F.lit(0.0), lambda s, x: s + copies(x["whole"] + x["p"]) * x["size"])
+
+    over = F.greatest(F.lit(0.0), (1 - a["p"]) * a["size"] - words(lambda have: have))
+    under = F.greatest(F.lit(0.0), a["p"] * a["size"] - words(lambda have: cap - have))
+    rounded = F.when(over < under, 1.0).when(over > under, 0.0).otherwise(F.round(a["p"]))
+    error = F.when(a["p"].isNull(), F.lit(0.0)).otherwise((a["p"] - rounded) * a["size"])
+
+    def pass_on(s, x):
+        have = x["whole"] + x["p"]
+        change = F.greatest(-have, F.least(cap - have, F.round(s["error"] / x["size"])))
+        return F.struct((s["error"] - change * x["size"]).alias("error"),
+                        F.concat(s["done"], F.array(x.withField("p", x["p"] + change))).alias("done"))
+
+    start = F.struct(error.alias("error"), F.filter(others, lambda x: F.lit(False)).alias("done"))
+    passed = F.aggregate(F.sort_array(others), start, pass_on)["done"]
+    return F.when(a["key"].isNull(), others).otherwise(
+        F.concat(passed, F.array(a.withField("p", rounded))))
+
+
+def round_copies(rows: DataFrame, seed: int = 11, cap: int = CAP) -> DataFrame:
     """Rows (source, key, doc_id, size, whole, p, slots) with 0 < p < 1 and size > 0
     -> the same rows with p rounded to 0 or 1, words kept per source.
 
     About ``RESERVE`` rows of a source (one of ``slots``, by hash) stay out of
     the tree: the tree's residuals, mostly long documents, go down a last chain
-    with them, largest first, so that what is left open at its end is short."""
+    with them, largest first.  A document longer than all others' open words stays
+    open there; it is rounded, and a few of the chain's documents (p then from
+    -whole to cap - whole) make up for that."""
     kind = "struct<order:bigint,key:bigint,doc_id:" + \
         rows.schema["doc_id"].dataType.simpleString() + ",size:bigint,whole:bigint,p:double>"
     columns = ["source", "key", "doc_id", "size", "whole", "p"]
@@ -122,14 +151,15 @@ def round_copies(rows: DataFrame, seed: int = 11) -> DataFrame:
         groups = rows.unionByName(reserve).groupBy("source") if last else rows.groupBy(
             "source", F.pmod(F.xxhash64("key", F.lit(seed + level)), F.lit(-(-most // FAN_IN))).alias("bucket"))
         folded = _fold(groups, kind, seed + level)
+        if last:
+            done.append(folded.select("source", F.inline(_settle(F.col("state"), cap))).select(columns))
+            break
         done.append(folded.select("source", F.inline("state.done")).select(columns))
         left = folded.select("source", "state.open.*").filter("key is not null").select(columns)
         done.append(left.filter(settled))
         rows, level = left.filter(~settled), level + 1
-        if last:
-            break
-    out = rows.withColumn("p", F.round("p"))
-    for part in done:
+    out = done[0]
+    for part in done[1:]:
         out = out.unionByName(part)
     return out
 
@@ -152,7 +182,7 @@ def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", doc
         F.coalesce(F.col("t.target") / F.nullif("t.source_size", F.lit(0)), F.lit(0.0)).alias("rate"))
     rows = rows.withColumn("whole", F.floor("rate")).withColumn("p", F.col("rate") - F.col("whole"))
     open_ = (F.col("p") > 1e-12) & (F.col("p") < 1 - 1e-12) & (F.col("size") > 0)
-    rounded = round_copies(rows.filter(open_).drop("rate"), seed)
+    rounded = round_copies(rows.filter(open_).drop("rate"), seed, cap)
     fixed = rows.filter(~open_).select("source", "key", "doc_id", "size", "whole",
                                        F.round("p").alias("p"))
     out = rounded.unionByName(fixed).alias("r").join(

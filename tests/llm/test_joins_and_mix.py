@@ -256,6 +256,18 @@ def _water_level(sizes, weights, cap):
         open_ -= over
 
 
+def test_bits_of_classes(spark):
+    from receiptflow.llm import jaccard_join as J
+
+    names = np.array([0, 1, 7, 8, 32767, 32768, (1 << 26) - 1, 1 << 26, -1, -(1 << 40) + 5], np.int64)
+    bits = J.member_bits(spark.createDataFrame([(int(c),) for c in names], "c long"))
+    place = names & ((1 << 26) - 1)
+    want = np.zeros(1 << 26, np.uint8)
+    want[place] = 1
+    assert np.array_equal(np.unpackbits(bits, bitorder="little"), want)
+    assert J.member_bits(spark.createDataFrame([], "c long")).sum() == 0
+
+
 def test_mix(spark):
     rng = np.random.default_rng(9)
     source = ["a", "b", "c", "d", None, "é"]
@@ -278,6 +290,18 @@ def test_mix(spark):
     assert M.mix_sources(docs.limit(0)).count() == 0
 
 
+def test_mix_with_one_document_longer_than_the_rest(spark):
+    rng = np.random.default_rng(10)
+    rows = [(i, "w " * int(rng.integers(20, 60)), "abc"[i % 3]) for i in range(240)]
+    rows += [(900 + i, "w " * n, "abc"[i]) for i, n in enumerate((4_000, 2_500, 6_000))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = M.mix_sources(docs).collect()
+    assert all(0 <= r.copies <= 3 and r.taken == r.copies * r.size for r in got) and len(got) == len(rows)
+    for s in "abc":
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= min(r.size for r in own) / 2
+
+
 def test_mix_keeps_expected_copies(spark):
     rows = [(i, " ".join(["w"] * (1 + i % 7)), "a" if i < 700 else "b") for i in range(1400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
