@@ -51,6 +51,8 @@ SAMPLE_DOCS = 4_096
 #: A shingle is common if so many documents of the sample hold it.
 COMMON = 6
 BUCKET_BITS = 22
+#: Bits (as a power of 2) of the table of classes that are in a region: 8 MB whatever the input.
+MEMBER_BITS = 26
 
 
 class Sets:
@@ -160,12 +162,27 @@ def _signatures(batches, size: int, common: np.ndarray, percent: int):
         yield pa.RecordBatch.from_arrays([K.signed(sig), K.signed(sets.name[doc])], ["sig", "c"])
 
 
-def _texts(batches, size: int):
-    """Class and text, one of each class of a chunk."""
+def member_bits(members: DataFrame) -> np.ndarray:
+    """Bits of all classes ``c`` (by their low bits), packed.  A class that isn't in ``members``
+    may have its bit set, none of ``members`` lacks it."""
+    place = (F.pmod("c", F.lit(1 << MEMBER_BITS)) + 1).alias("place")
+    got = members.select(place).distinct().select(
+        F.bitmap_bucket_number("place").alias("bucket"), F.bitmap_bit_position("place").alias("bit")).repartition(
+        "bucket").groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).toArrow()
+    out = np.zeros((1 << MEMBER_BITS) >> 3, np.uint8)
+    for bucket, bits in zip(got["bucket"].to_pylist(), got["bits"].to_pylist()):
+        out[(bucket - 1) * len(bits):bucket * len(bits)] = np.frombuffer(bits, np.uint8)
+    return out
+
+
+def _texts(batches, size: int, members: np.ndarray):
+    """Class and text, one of each class of a chunk that has its bit in ``members``."""
     for batch in K.chunks(batches, "text"):
         sets = Sets(batch.column(0), size)
+        place = (sets.name & np.uint64((1 << MEMBER_BITS) - 1)).astype(np.int64)
+        asked = (members[place >> 3] >> (place & 7).astype(np.uint8)) & 1
         at = np.unique(sets.name, return_index=True)[1]
-        at = np.sort(at[sets.n[at] > 0])
+        at = np.sort(at[(sets.n[at] > 0) & (asked[at] == 1)])
         yield pa.RecordBatch.from_arrays([K.signed(sets.name[at]), batch.column(0).take(pa.array(at))], ["c", "text"])
 
 
@@ -309,8 +326,9 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         _stars, "a long, b long").distinct(), "regions")
     members = edges.select(F.col("a").alias("region"), F.col("b").alias("c")).union(
         edges.select("a", "a").distinct())
-    texts = rows.select("text").mapInArrow(lambda b: _texts(b, size), "c long, text string").join(
-        members.select("c").distinct(), "c", "left_semi").groupBy("c").agg(F.min("text").alias("text"))
+    asked = member_bits(members)
+    texts = rows.select("text").mapInArrow(lambda b: _texts(b, size, asked), "c long, text string").groupBy("c").agg(
+        F.min("text").alias("text"))
     near = members.join(texts, "c").select("region", "c", "text")
     links = near.repartition("region").sortWithinPartitions("region", "c").mapInArrow(
         lambda b: _join(b, size, percent), "a long, b long")
