@@ -15,9 +15,9 @@ is one map over the documents; each distinct word of a chunk is scored once.
 
 Defined results: null texts and texts without a letter are ``und`` with score
 0, as is everything when no row teaches a language; an equal posterior goes to
-the smaller language name; runs of more than ``MAX_WORD`` bytes are scored in
-parts of that length, none left out; a null doc_id is neither held out nor
-learned from; repeated rows each get a row.
+the smaller language name; runs of any length are scored over all their
+segmentations (learning takes runs in parts of ``RUN`` bytes); a null doc_id is
+neither held out nor learned from; repeated rows each get a row.
 """
 from __future__ import annotations
 
@@ -35,9 +35,14 @@ SAMPLE_PER_LANG = 3_000
 #: Most languages that are learned; more distinct values are refused.
 MAX_LANGS = 1_000
 ROUNDS = 3
-MAX_WORD = 48
-MAX_PIECE = 16
 SMOOTH = 0.02
+#: Bytes of a segment that is scored beside others (longer ones alone), and of a word with
+#: its space in learning.
+RUN = 512
+#: Bytes of a word that is searched for segments at all, and of a block of a longer one.
+LONG_WORD = 1 << 16
+#: Bytes of words by languages that are scored together.
+GROUP = 4 << 20
 
 LETTER = np.zeros(256, bool)
 LETTER[0x41:0x5B] = LETTER[0x61:0x7B] = LETTER[0x80:] = True
@@ -56,8 +61,7 @@ def load_pieces(path: str = VOCABULARY) -> list[bytes]:
     for k in range(model.get_piece_size()):
         if not (model.is_control(k) or model.is_unknown(k) or model.is_byte(k) or model.is_unused(k)):
             piece = K.LOWER[np.frombuffer(model.id_to_piece(k).replace("▁", " ").encode(), np.uint8)]
-            if len(piece) <= MAX_PIECE:
-                pieces.add(piece.tobytes())
+            pieces.add(piece.tobytes())
     return sorted(pieces, key=lambda p: (len(p), p))
 
 
@@ -69,6 +73,7 @@ class Pieces:
     def __init__(self, pieces: list[bytes]):
         data = np.frombuffer(b"".join(pieces), np.uint8)
         ends = np.cumsum([len(p) for p in pieces])
+        self.sizes = sorted({len(p) for p in pieces})
         self.names = K.Rolling(K.BYTE_VALUES[data]).name(ends - [len(p) for p in pieces], ends)
         mask = np.uint64((1 << self.BITS) - 1)
         self.tables = [np.zeros(1 << self.BITS, np.int32) for _ in range(3)]
@@ -93,13 +98,14 @@ class Pieces:
 
 
 def word_parts(raw: np.ndarray, offsets: np.ndarray):
-    """(lower-cased bytes, starts, ends, document) of a chunk's letter runs, long ones cut."""
+    """(lower-cased bytes, starts, ends, document) of a chunk's letter runs, in parts that
+    have RUN bytes with their space."""
     w = K.Words(raw, offsets, LETTER)
     size = w.end - w.start
-    parts = -(-size // MAX_WORD)
+    parts = -(-size // (RUN - 1))
     which = np.repeat(np.arange(len(size)), parts)
-    start = w.start[which] + MAX_WORD * K.ranges(np.zeros_like(parts), parts)
-    return K.LOWER[raw], start, np.minimum(start + MAX_WORD, w.end[which]), w.doc()[which]
+    start = w.start[which] + (RUN - 1) * K.ranges(np.zeros_like(parts), parts)
+    return K.LOWER[raw], start, np.minimum(start + RUN - 1, w.end[which]), w.doc()[which]
 
 
 def gather(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,72 +117,120 @@ def gather(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return data, at
 
 
+def piece_ids(data: np.ndarray, left: np.ndarray, pieces: Pieces) -> np.ndarray:
+    """For every size of piece and byte the piece that begins there, -1 if none;
+    ``left`` are the bytes up to the end of the word."""
+    roll = K.Rolling(K.BYTE_VALUES[data])
+    ids = np.full((len(pieces.sizes), len(left)), -1, np.int32)
+    for j, k in enumerate(pieces.sizes):
+        pos = np.flatnonzero(left >= k)
+        ids[j, pos] = pieces(roll.name(pos, pos + k))
+    return ids
+
+
 class Lattice:
-    """All cuts of a set of words into pieces: for every byte and length the piece that
-    begins there.  Words are handled longest first, so that a step's words are a prefix."""
+    """All cuts of a set of words into pieces.  Where no piece crosses a position, what is
+    before and after it are independent: words are taken apart there, exactly.  These
+    segments are handled longest first, so that a step's segments are a prefix; ``rest`` are
+    those over ``RUN`` bytes, which are left to :func:`run_forward`."""
 
     def __init__(self, data: np.ndarray, at: np.ndarray, pieces: Pieces):
-        self.order = np.argsort(-(at[1:] - at[:-1]), kind="stable")
-        self.start = at[:-1][self.order]
-        self.size = (at[1:] - at[:-1])[self.order]
-        roll = K.Rolling(K.BYTE_VALUES[data])
-        left = np.repeat(at[1:], np.diff(at)) - np.arange(len(data))
-        self.ids = np.full((MAX_PIECE, len(data)), -1, np.int32)
-        for k in range(1, MAX_PIECE + 1):
-            pos = np.flatnonzero(left >= k)
-            self.ids[k - 1, pos] = pieces(roll.name(pos, pos + k))
-        self.longest = int(self.size[0]) if len(self.size) else 0
-        # words that still have a byte t, for t = 0, 1, ...
+        self.sizes = pieces.sizes
+        self.ids = piece_ids(data, np.repeat(at[1:], np.diff(at)) - np.arange(len(data)), pieces)
+        reach = np.arange(len(data))
+        for j, k in enumerate(self.sizes):
+            on = np.flatnonzero(self.ids[j] >= 0)
+            reach[on] = on + k
+        apart = np.concatenate([[0], np.flatnonzero(np.maximum.accumulate(reach)[:-1] <= np.arange(1, len(data))) + 1])
+        size = np.diff(np.append(apart, len(data)))
+        owner = np.searchsorted(at, apart, "right") - 1
+        self.rest = [(int(owner[k]), int(apart[k]), int(apart[k] + size[k])) for k in np.flatnonzero(size > RUN)]
+        order = np.argsort(-size, kind="stable")[len(self.rest):]
+        self.start, self.size, self.owner = apart[order], size[order], owner[order]
+        self.longest = int(self.size[0]) if len(order) else 0
+        # segments that still have a byte t, for t = 0, 1, ...
         self.alive = np.searchsorted(-self.size, -np.arange(self.longest + 1), "right")
 
-    def forward(self, prob: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-        """prob: pieces (and a last row of zeros) by languages.  Scaled forward sums by
-        position, and the words' log-probabilities (in the order given)."""
-        n, langs = len(self.order), prob.shape[1]
-        alpha = [np.ones((n, langs))]
-        scale = np.zeros((n, langs))
-        self.scales = [scale]
+    def forward(self, prob: np.ndarray) -> np.ndarray:
+        """Log-probabilities of the segments; ``scales`` keeps the sums by position."""
+        n, langs = len(self.size), prob.shape[1]
+        self.scales = [np.zeros((n, langs))]
+        out = np.zeros((n, langs))
         for t in range(1, self.longest + 1):
             live = int(self.alive[t])
             total = np.zeros((live, langs))
-            for k in range(1, min(t, MAX_PIECE) + 1):
-                ids = self.ids[k - 1, self.start[:live] + t - k]
+            for j, k in enumerate(self.sizes):
+                if k > t:
+                    break
+                ids = self.ids[j, self.start[:live] + t - k]
                 on = np.flatnonzero(ids >= 0)
                 if len(on):
-                    # sums are kept relative to the scale of their position
-                    total[on] += alpha[t - k][on] * prob[ids[on]] * np.exp(
-                        self.scales[t - k][on] - self.scales[t - 1][on])
-            new = self.scales[t - 1][:live] + np.log(total)
-            self.scales.append(new)
-            alpha.append(np.ones((live, langs)))
-        out = np.zeros((n, langs))
-        for t in range(1, self.longest + 1):
-            ends = slice(int(self.alive[t + 1]) if t < self.longest else 0, int(self.alive[t]))
+                    # sums are kept relative to the scale of the position before
+                    total[on] += prob[ids[on]] * np.exp(self.scales[t - k][on] - self.scales[t - 1][on])
+            self.scales.append(self.scales[t - 1][:live] + np.log(total))
+            ends = slice(int(self.alive[t + 1]) if t < self.longest else 0, live)
             out[ends] = self.scales[t][ends]
-        back = np.empty_like(out)
-        back[self.order] = out
-        return alpha, back
+        return out
+
+
+def run_forward(data: np.ndarray, pieces: Pieces, prob: np.ndarray) -> np.ndarray:
+    """Log-probabilities of one long word or segment by language: one step for each byte,
+    with the sums of the last positions that a piece can reach back to."""
+    back, sizes = pieces.sizes[-1], np.array(pieces.sizes)
+    some = np.concatenate([prob, np.zeros((1, prob.shape[1]))])  # the last row stands for no piece
+    log = np.zeros(prob.shape[1])
+    sums = np.zeros((back, prob.shape[1]))
+    sums[-1] = 1.0
+    block = max(1024, LONG_WORD // max(1, prob.shape[1]))
+    for lo in range(0, len(data), block):
+        hi = min(lo + block, len(data))
+        first = max(lo - back, 0)
+        ids = piece_ids(data[first:hi], hi - np.arange(first, hi), pieces)
+        ends = np.arange(lo + 1, hi + 1)[:, None] - sizes - first  # where a piece that ends here begins
+        found = np.where(ends >= 0, ids[np.arange(len(sizes)), np.maximum(ends, 0)], -1)
+        window = np.concatenate([sums, np.zeros((hi - lo, prob.shape[1]))])
+        for t in range(hi - lo):
+            now = (window[back + t - sizes] * some[found[t]]).sum(0)
+            window[back + t] = now
+            if t % 8 == 7:
+                log += np.log(now)
+                window[t:back + t + 1] /= now
+        sums = window[-back:]
+    return log + np.log(sums[-1])
 
 
 def log_forward(data, at, pieces: Pieces, prob: np.ndarray) -> np.ndarray:
-    return Lattice(data, at, pieces).forward(prob)[1] if len(at) > 1 else np.zeros((0, prob.shape[1]))
+    """Log-probabilities of words (end to end in ``data``, at the offsets ``at``) by language."""
+    out = np.zeros((len(at) - 1, prob.shape[1]))
+    size = np.diff(at)
+    for w in np.flatnonzero(size > LONG_WORD).tolist():
+        out[w] = run_forward(data[at[w]:at[w + 1]], pieces, prob)
+    short = np.flatnonzero(size <= LONG_WORD)
+    group = np.cumsum(size[short]) * prob.shape[1] // GROUP
+    for words in np.split(short, np.flatnonzero(np.diff(group)) + 1) if len(short) else []:
+        part = data[K.ranges(at[words], size[words])]
+        lat = Lattice(part, np.concatenate([[0], np.cumsum(size[words])]), pieces)
+        np.add.at(out, words[lat.owner], lat.forward(prob))
+        for w, s, e in lat.rest:
+            out[words[w]] += run_forward(part[s:e], pieces, prob)
+    return out
 
 
 def expected(data, at, counts: np.ndarray, pieces: Pieces, prob: np.ndarray) -> np.ndarray:
-    """Expected uses of each piece by language, words weighted by ``counts``."""
+    """Expected uses of each piece by language, words of at most RUN bytes weighted by ``counts``."""
     out = np.zeros((len(prob), prob.shape[1]))
     if len(at) < 2:
         return out
     lat = Lattice(data, at, pieces)
-    _, whole = lat.forward(prob)
-    whole, counts = whole[lat.order], counts[lat.order]
+    whole, counts = lat.forward(prob), counts[lat.owner]
     beta: dict[int, np.ndarray] = {}
     for t in range(lat.longest - 1, -1, -1):
-        live = int(lat.alive[t + 1])
-        total = np.full((live, prob.shape[1]), -np.inf)
-        for k in range(1, min(lat.longest - t, MAX_PIECE) + 1):
+        total = np.full((int(lat.alive[t + 1]), prob.shape[1]), -np.inf)
+        for j, k in enumerate(lat.sizes):
+            if k > lat.longest - t:
+                break
             reach = int(lat.alive[t + k])
-            ids = lat.ids[k - 1, lat.start[:reach] + t]
+            ids = lat.ids[j, lat.start[:reach] + t]
             on = np.flatnonzero(ids >= 0)
             if not len(on):
                 continue
@@ -187,7 +241,7 @@ def expected(data, at, counts: np.ndarray, pieces: Pieces, prob: np.ndarray) ->
                 out[:, lang] += np.bincount(ids[on], use[:, lang], len(prob))
             total[on] = np.logaddexp(total[on], step)
         beta[t] = total
-        beta.pop(t + MAX_PIECE + 1, None)
+        beta.pop(t + lat.sizes[-1] + 1, None)
     return out
 
 
@@ -269,13 +323,13 @@ def _predict(batches, model: Model, text: str):
     for batch in K.chunks(batches, text):
         column = batch.column(batch.schema.names.index(text))
         raw, offsets = K.utf8(column)
-        low, start, end, doc = word_parts(raw, offsets)
+        words = K.Words(K.LOWER[raw], offsets, LETTER)
         n, langs = batch.num_rows, len(model.langs)
         total = np.zeros((n, langs))
-        if len(start) and langs:
-            name = K.Rolling(K.BYTE_VALUES[low]).name(start, end)
-            _, first, back = np.unique(name, return_index=True, return_inverse=True)
-            score = log_forward(*gather(low, start[first], end[first]), model.pieces, model.prob)
+        if len(words) and langs:
+            doc = words.doc()
+            _, first, back = np.unique(words.names(), return_index=True, return_inverse=True)
+            score = log_forward(*gather(words.raw, words.start[first], words.end[first]), model.pieces, model.prob)
             for k in range(langs):
                 total[:, k] = np.bincount(doc, score[back, k], n)
         known = np.concatenate([[0], np.cumsum(ASCII_LETTER[raw])])

@@ -41,6 +41,35 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(L.expected(data, at, counts, table, prob), uses)
 
 
+def test_forward_over_runs_of_any_length(monkeypatch):
+    """Segments, runs alone and runs in blocks give the plain sum, position by position."""
+    rng = np.random.default_rng(1)
+    names = [bytes([b]) for b in range(97, 101)] + [b" ", b"ab", b"bab", b"abab", b"ccc", b"d" * 25]
+    prob = rng.random((len(names), 3)) / 4
+    pieces = L.Pieces(names)
+    words = [b" " + bytes(rng.choice(list(b"abcd"), n).tolist()) for n in (1, 40, 700, 5_000)]
+    words += [b" " + b"ab" * 1_500, b" " + b"d" * 2_000, b" a"]
+    at = np.concatenate([[0], np.cumsum([len(w) for w in words])])
+    data = np.frombuffer(b"".join(words), np.uint8)
+    number = {p: k for k, p in enumerate(names)}
+
+    def plain(word):
+        sums, log = [np.ones(3)], np.zeros(3)
+        for t in range(1, len(word) + 1):
+            now = sum((sums[-k] * prob[number[word[t - k:t]]] for k in pieces.sizes
+                       if k <= t and word[t - k:t] in number), np.zeros(3))
+            log += np.log(now)
+            sums = [x / now for x in sums[-25:]] + [np.ones(3)]
+        return log
+
+    want = np.array([plain(w) for w in words])
+    assert np.allclose(L.log_forward(data, at, pieces, prob), want)
+    monkeypatch.setattr(L, "LONG_WORD", 600)
+    assert np.allclose(L.log_forward(data, at, pieces, prob), want)
+    monkeypatch.setattr(L, "GROUP", 100)
+    assert np.allclose(L.log_forward(data, at, pieces, prob), want)
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     out = L.identify(docs.select("doc_id", "text", "lang")).filter("held_out AND lang IS NOT NULL")
