@@ -5,9 +5,16 @@ digits and ``+/_.-``) as outside, begin or inside of a secret.  Its emission
 features are the token's shape (length, character classes, changes of class,
 first characters), the neighbouring tokens, the characters between them, and
 features of the whole text (length, share of digits).  Weights are fitted by
-maximum likelihood (forward-backward) on at most ``SAMPLE_DOCS`` documents,
+maximum likelihood (forward-backward) on at most ``SAMPLE_DOCS`` distinct texts,
 with the base spans as labels; decoding is Viterbi over every whole text.
 
+So that the field does not just repeat the patterns, each text with a secret is
+also learned from in a disguise: the marker before the secret (keyword, sign and
+quote) becomes a word of the text and the secret itself random characters of a
+wider alphabet, which no pattern takes.  What tells it then is its shape among
+its neighbours.  Texts without a secret give the window at their middle and that
+around the token that looks most like a secret, at most ``PLAIN_SEQUENCES`` in all.
+
 Decoding is exact and cheap: where "outside" leads by more than any path can
 gain back through two transitions, the best path is outside, so only the runs
 between such tokens are decoded, all at once.  A decoded span that touches no
@@ -20,6 +27,8 @@ without any secret gives a field that adds nothing.
 from __future__ import annotations
 
 import re
+import string
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +37,13 @@ from pyspark.sql import functions as F
 
 from . import textkit as K
 
-#: Bound of the sample that the field is fitted on: documents, and sequences without a secret.
+#: Bound of the sample that the field is fitted on: distinct texts, and sequences without a secret.
 SAMPLE_DOCS = 8_000
-PLAIN_SEQUENCES = 2_000
+PLAIN_SEQUENCES = 4_000
+#: Alphabets and lengths of secrets in disguise.
+ALPHABETS = [string.ascii_letters + string.digits, string.ascii_uppercase + string.digits,
+             string.ascii_lowercase + string.digits, string.ascii_letters + string.digits + "+/_-"]
+LENGTHS = (12, 44)
 #: Tokens around a labelled or a random token that make a training sequence.
 SIDE = 12
 EPOCHS = 80
@@ -150,30 +163,64 @@ def _secret_parts(text: str) -> list[tuple[int, int]]:
     return parts
 
 
+def disguised(text: str) -> tuple[str, list[tuple[int, int]]]:
+    """The text with every secret and its marker disguised, and the spans of the secrets."""
+    rng = np.random.default_rng(zlib.crc32(text.encode()))
+    found = sorted((m.start(), -m.end(), *m.span(group)) for kind, pattern, group, least in BASE
+                   for m in FAST.get(kind, pattern).finditer(text) if m.end(group) - m.start(group) >= least)
+    taken: list[tuple[int, int, int, int]] = []
+    for f in found:
+        if not taken or f[0] >= taken[-1][3]:
+            taken.append(f)
+    edges = [0, *(x for start, _, _, e in taken for x in (start, e)), len(text)]
+    words = [w for a, b in zip(edges[::2], edges[1::2]) for w in re.findall(r"[^\W\d_]{2,}", text[a:b])] or ["a"]
+    out, parts, size, at = [], [], 0, 0
+    for start, _, s, e in taken:
+        letters = ALPHABETS[rng.integers(len(ALPHABETS))]
+        secret = "".join(letters[k] for k in rng.integers(len(letters), size=rng.integers(*LENGTHS)))
+        before = text[at:start] + (words[rng.integers(len(words))] + " " if start < s else "")
+        size += len(before)
+        out += [before, secret]
+        parts.append((size, size + len(secret)))
+        size += len(secret)
+        at = e + (start < s and text[e:e + 1] in ("\"", "'"))
+    return "".join(out) + text[at:], parts
+
+
+def _sequences(texts: list[str], parts: list[list[tuple[int, int]]], plain: bool):
+    """Feature values and tags of SIDE tokens on each side of every secret and, if
+    ``plain``, of each text's middle and of its most secret-like token outside."""
+    raw, offsets = K.utf8(pa.array(texts, pa.large_string()))
+    t, x = features(raw, offsets)
+    tags = np.zeros(len(t), np.int8)
+    for d, spans in enumerate(parts):
+        for a, b in _byte_spans(texts[d], spans):
+            k = np.searchsorted(t.end, offsets[d] + a, "right")
+            m = np.searchsorted(t.start, offsets[d] + b, "left")
+            tags[k:m] = 2
+            if k < m:
+                tags[k] = 1
+    doc = t.doc()
+    points = set(np.flatnonzero(tags == 1).tolist())
+    if plain:
+        some = t.first[1:] > t.first[:-1]
+        points.update(((t.first[:-1] + t.first[1:]) // 2)[some].tolist())
+        looks = np.where(tags > 0, -1, 2 * x[:, 3] + x[:, 0])  # changes of class, length
+        best = np.lexsort((-looks, doc))
+        points.update(best[np.searchsorted(doc, np.flatnonzero(some))].tolist())
+    for at in sorted(points):
+        lo, hi = max(at - SIDE, t.first[doc[at]]), min(at + SIDE, t.first[doc[at] + 1])
+        yield (x[lo:hi] + OFFSETS[:-1]).astype(np.int16).tobytes(), tags[lo:hi].tobytes()
+
+
 def _examples(batches, text: str):
-    """Training sequences: feature values and tags of SIDE tokens on each side."""
+    """Training sequences of texts as they are and, where they hold a secret, in disguise."""
     for batch in K.chunks(batches, text):
-        column = batch.column(batch.schema.names.index(text))
-        raw, offsets = K.utf8(column)
-        t, x = features(raw, offsets)
-        tags = np.zeros(len(t), np.int8)
-        for d, value in enumerate(column.to_pylist()):
-            for a, b in _byte_spans(value or "", _secret_parts(value or "")):
-                k = np.searchsorted(t.end, offsets[d] + a, "right")
-                m = np.searchsorted(t.start, offsets[d] + b, "left")
-                tags[k:m] = 2
-                if k < m:
-                    tags[k] = 1
-        doc = t.doc()
-        rows_x, rows_y = [], []
-        firsts, lasts = t.first[:-1], t.first[1:]
-        middle = (firsts + lasts) // 2
-        for at in sorted({*np.flatnonzero(tags == 1).tolist(), *middle[lasts > firsts].tolist()}):
-            lo, hi = max(at - SIDE, t.first[doc[at]]), min(at + SIDE, t.first[doc[at] + 1])
-            rows_x.append((x[lo:hi] + OFFSETS[:-1]).astype(np.int16).tobytes())
-            rows_y.append(tags[lo:hi].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(rows_x, pa.binary()), pa.array(rows_y, pa.binary())],
-                                         ["x", "y"])
+        texts = [x or "" for x in batch.column(batch.schema.names.index(text)).to_pylist()]
+        parts = [_secret_parts(x) for x in texts]
+        hidden = [disguised(x) for x, p in zip(texts, parts) if p]
+        rows = [*_sequences(texts, parts, True), *_sequences([x for x, _ in hidden], [p for _, p in hidden], False)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary()) for k in (0, 1)], ["x", "y"])
 
 
 class Crf:
@@ -292,12 +339,16 @@ class Crf:
 
 
 def fit_field(docs: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS) -> Crf:
-    """Fit the field on a bounded sample of the documents."""
-    total = docs.count()
-    rows = docs.filter(F.pmod(F.xxhash64(text, F.lit(5)), F.lit(max(total, 1))) < sample_docs) \
-        .select(text).limit(2 * sample_docs)
-    got = rows.mapInArrow(lambda b: _examples(b, text), "x binary, y binary").collect()
-    plain = sorted((r for r in got if not any(r.y)), key=lambda r: r.x)
+    """Fit the field on the ``sample_docs`` distinct texts with the least hash, so that reruns
+    agree and a text that many rows hold counts once.  What travels of the other rows is a hash."""
+    name = F.xxhash64(F.col(text), F.lit(5))
+    drawn = docs.filter(F.col(text).isNotNull()).select(name.alias("name")).distinct().orderBy("name").limit(sample_docs)
+    names = [r.name for r in drawn.collect()]
+    chosen = F.broadcast(docs.sparkSession.createDataFrame([(x,) for x in names], "name long"))
+    rows = docs.select(F.col(text).alias(text), name.alias("name")).join(chosen, "name", "left_semi") \
+        .groupBy("name").agg(F.min(text).alias(text)).select(text)
+    got = sorted(K.bounded(rows).mapInArrow(lambda b: _examples(b, text), "x binary, y binary").collect())
+    plain = [r for r in got if not any(r.y)]
     got = [r for r in got if any(r.y)] + plain[::max(1, -(-len(plain) // PLAIN_SEQUENCES))]
     return Crf().fit([np.frombuffer(r.x, np.int16).reshape(-1, len(SIZES)).astype(np.int64) for r in got],
                      [np.frombuffer(r.y, np.int8) for r in got])
