@@ -9,6 +9,8 @@ Python ``re`` -> Java regex rules used throughout:
 """
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,8 +31,12 @@ LINE_SYMBOL = {"$": "USD", "£": "GBP", "€": "EUR"}
 # Fixed patterns (Python syntax shown in comments where the Java form differs).
 _AMT = r"\d[\d,]*(?:\.\d{2})?"
 _CODES = "USD|GBP|EUR|JPY|KRW|CAD|AUD"
-PRICE_RE = (r"(?iU)(?:([$£€¥₩])\s?(" + _AMT + r"))|(?:(" + _CODES + r")\s?(" + _AMT + r"))"
-            r"|(?:(" + _AMT + r")\s?(" + _CODES + r"))")
+# A mention starts with a symbol, a digit or the first two letters of a code (both cases,
+# and the signs that fold to them): one cheap look before three alternatives are tried.
+_PRICE_START = (r"(?=(?-iU:[$£€¥₩Uu\u212AKkGgEeJjCcAa])|\d)(?!(?-iU:[Uu][^Ss\u017F]|[Gg][^Bb]|[Ee][^Uu]"
+                r"|[Jj][^Pp]|[Kk\u212A][^Rr]|[Cc][^Aa]|[Aa][^Uu]))")
+PRICE_RE = (r"(?iU)" + _PRICE_START + r"(?:(?:([$£€¥₩])\s?(" + _AMT + r"))|(?:(" + _CODES + r")\s?(" + _AMT + r"))"
+            r"|(?:(" + _AMT + r")\s?(" + _CODES + r")))")
 BLOCK_TAG_RE = r"(?i)</?(p|div|br|tr|td|th|li|ul|ol|h[1-6]|table|section|header|footer)\b[^>]*>"
 GENERIC_ORDER_RE = r"(?iU)order\s*(?:#|number|no\.?|id)?\s*[:#]?\s*([A-Za-z0-9-]{4,})"
 MARKET_ORDER_RE = r"#?\s*(\d{3}-\d{7}-\d{7})"
@@ -55,6 +61,7 @@ SKIP_HINTS = ("spacer", "pixel", "tracking", "1x1", "logo", "icon", "facebook",
               "/assets/", "banner", "social", "pstmrk", "/open?", "open?m=",
               "theme_images", "/theme/", "storefront", "/avatars/",
               "shopifycloud", "notifications")
+NO_HINT_RE = r"(?s)(?!.*(?:" + "|".join(re.escape(h) for h in SKIP_HINTS) + "))"
 EXT_BY_CONTENT_TYPE = {"image/jpeg": ".jpg", "image/jpg": ".jpg", "image/png": ".png",
                        "image/webp": ".webp", "image/gif": ".gif"}
 RESERVED_HOST_RE = r"\.(example|invalid|test|localhost)$"
@@ -111,12 +118,13 @@ def to_quantity(v) -> Column:
 
 
 def first_price(text) -> Column:
-    """STRUCT<price DOUBLE, currency STRING> of the leftmost money mention."""
-    t = F.coalesce(_c(text), F.lit(""))
-    g = [F.regexp_extract(t, PRICE_RE, i) for i in range(1, 7)]
-    amt = F.when(g[0] != "", g[1]).when(g[2] != "", g[3]).when(g[5] != "", g[4])
-    tok = F.when(g[0] != "", g[0]).when(g[2] != "", g[2]).when(g[5] != "", g[5])
-    return F.struct(to_amount(amt).alias("price"), normalize_currency(tok).alias("currency"))
+    """STRUCT<price DOUBLE, currency STRING> of the leftmost money mention.
+
+    The body is searched once.  A mention is one amount (digits, commas, a point)
+    and one symbol or code, so each is what is left without the other."""
+    found = F.regexp_extract(F.coalesce(_c(text), F.lit("")), PRICE_RE, 0)
+    return F.struct(to_amount(F.regexp_replace(found, r"(?U)[^\d,.]+", "")).alias("price"),
+                    normalize_currency(F.regexp_replace(found, r"(?U)[\d,.]+", "")).alias("currency"))
 
 
 def seller_domain(from_addr) -> Column:
@@ -180,14 +188,8 @@ def image_candidates(html) -> Column:
     """``<img src>`` URLs that are http(s) and carry none of the chrome hints."""
     srcs = F.regexp_extract_all(F.coalesce(_c(html), F.lit("")), F.lit(IMG_SRC_RE), 1)
 
-    def keep(u):
-        u = strip_unicode(u)
-        low = F.lower(u)
-        ok = low.startswith("http://") | low.startswith("https://")
-        for h in SKIP_HINTS:
-            ok = ok & ~F.contains(low, F.lit(h))
-        return ok
-    return F.transform(F.filter(srcs, keep), strip_unicode)
+    # one pattern an address: a lambda's expression is evaluated anew wherever it stands
+    return F.filter(F.transform(srcs, strip_unicode), lambda u: F.lower(u).rlike(r"\A(?=https?://)" + NO_HINT_RE))
 
 
 def first_product_image(html, prefer_hosts=None) -> Column:
@@ -209,13 +211,8 @@ def best_product_image(html, prefer_hosts=None) -> Column:
     """X20, else any .jpg/.png/.webp URL in the raw HTML without hints."""
     urls = F.regexp_extract_all(F.coalesce(_c(html), F.lit("")), F.lit(GENERIC_IMG_RE), 0)
 
-    def keep(u):
-        low = F.lower(u)
-        ok = F.lit(True)
-        for h in SKIP_HINTS:
-            ok = ok & ~F.contains(low, F.lit(h))
-        return ok
-    return F.coalesce(first_product_image(html, prefer_hosts), F.get(F.filter(urls, keep), 0))
+    kept = F.filter(urls, lambda u: F.lower(u).rlike(r"\A" + NO_HINT_RE))
+    return F.coalesce(first_product_image(html, prefer_hosts), F.get(kept, 0))
 
 
 def alt_image_url(url) -> Column:

@@ -97,12 +97,14 @@ def subject_item(subject: Column) -> Column:
 
 
 def cascade(*arrays: Column) -> Column:
-    """The first non-empty array wins (CASE is lazy, so later extractors
-    run only when the earlier ones found nothing)."""
-    out = empty_items()
-    for a in reversed(arrays):
-        out = F.when(F.coalesce(F.size(a), F.lit(0)) > 0, a).otherwise(out)
-    return out
+    """The first non-empty array wins.  A fold over the extractors' numbers: each is
+    evaluated at most once, and only when the earlier ones found nothing."""
+    def step(found, k):
+        out = found
+        for i, a in enumerate(arrays):
+            out = F.when((F.size(found) == 0) & (k == i), F.coalesce(a, empty_items())).otherwise(out)
+        return out
+    return F.aggregate(F.array(*[F.lit(i) for i in range(len(arrays))]), empty_items(), step)
 
 
 def market_items(text: Column, subject: Column) -> Column:

@@ -23,6 +23,12 @@ def _body(m):
     return m.withColumn("text", X.combine_body(F.col("text"), X.html_to_text("html")))
 
 
+def _found(m, value, name):
+    """(uid, value) where there is one.  An explode, as a filter on the value would be pushed
+    below the projections and build bodies and values again, once per place that names them."""
+    return m.select("uid", F.explode(F.array_compact(F.array(value))).alias(name))
+
+
 # --- P2 / P3 on pages -------------------------------------------------------------
 
 _HTML_TO_TEXT_SQL = """regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
@@ -168,7 +174,7 @@ FROM mail WHERE kind = 1 AND img_part IS NOT NULL""")
 def first_product_image(spark, sf_dir):
     """Chrome and tracking images (pixel, banner) are skipped."""
     m = _msgs(spark, sf_dir)
-    return m.select("uid", X.first_product_image("html").alias("image_url")).filter("image_url IS NOT NULL")
+    return _found(m, X.first_product_image("html"), "image_url")
 
 
 @query("best_product_image", MAIL + """
@@ -177,7 +183,7 @@ FROM mail WHERE kind = 1 AND img_part IS NOT NULL""")
 def best_product_image(spark, sf_dir):
     """X20, else any product-looking image URL in the raw HTML."""
     m = _msgs(spark, sf_dir)
-    return m.select("uid", X.best_product_image("html").alias("image_url")).filter("image_url IS NOT NULL")
+    return _found(m, X.best_product_image("html"), "image_url")
 
 
 @query("gift_signal", MAIL + """
@@ -186,8 +192,7 @@ def gift_signal(spark, sf_dir):
     """X26 (gift phrase; the ship-to half needs an owner name)."""
     from ..operators.zones import DEFAULT_TAXONOMY
     m = _body(_msgs(spark, sf_dir))
-    return m.select("uid", X.gift_signal("text", DEFAULT_TAXONOMY.gift_regex).alias("gift")) \
-            .filter("gift IS NOT NULL")
+    return _found(m, X.gift_signal("text", DEFAULT_TAXONOMY.gift_regex), "gift")
 
 
 @query("first_price", MAIL + """
@@ -357,8 +362,7 @@ def english_date(spark, sf_dir):
 def delivered_date(spark, sf_dir):
     """X12 (rows that carry a delivery date)."""
     m = _body(_msgs(spark, sf_dir))
-    return m.select("uid", X.delivered_date("text", "subject", "msg_date").alias("delivered_at")) \
-            .filter("delivered_at IS NOT NULL")
+    return _found(m, X.delivered_date("text", "subject", "msg_date"), "delivered_at")
 
 
 @query("return_by_date", MAIL + """
@@ -366,7 +370,7 @@ SELECT uid, CAST(a_day + INTERVAL '14' DAY AS DATE) AS return_by FROM mail WHERE
 def return_by_date(spark, sf_dir):
     """X13 (rows that carry a return-by date)."""
     m = _body(_msgs(spark, sf_dir))
-    return m.select("uid", X.return_by_date("text").alias("return_by")).filter("return_by IS NOT NULL")
+    return _found(m, X.return_by_date("text"), "return_by")
 
 
 # Size suffixes used to build CDN-style image URLs from part keys.

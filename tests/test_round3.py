@@ -39,3 +39,60 @@ def test_decode_keeps_keys_and_errors(spark):
     rows = {r["uid"]: r for r in S.decode_mime(raw).collect()}
     assert rows["a"]["seq"] == 1 and rows["a"]["text"] == "body\n\n" and rows["a"]["decode_error"] is None
     assert rows[None]["seq"] is None and rows[None]["decode_error"].startswith("TypeError")
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_bodies_are_built_once_for_found_values(spark):
+    """A filter on the value used to be pushed down and to build the body up to five times."""
+    from receiptflow.plans import q_text as Q
+    from .conftest import SF001
+    for q in (Q.gift_signal, Q.return_by_date, Q.delivered_date):
+        assert _plan(q(spark, SF001)).count("https?://") <= 2, q.__name__   # order mail and marketing mail
+
+
+def test_first_price_searches_a_body_once(spark):
+    from receiptflow.functions import text as X
+    texts = ["a $ 1,234.50 b", "usd12", "5 Krw", "1,5.00 eur EUR 3", "UUSD 7", "A cad", "£", "", None, "12 34 AUD", "x ¥٣",
+             "e EUR 2.10", "9.999 gbp", "$,1", "7.00EUR5"]
+    old = (r"(?iU)(?:([$£€¥₩])\s?(\d[\d,]*(?:\.\d{2})?))|(?:(USD|GBP|EUR|JPY|KRW|CAD|AUD)\s?(\d[\d,]*(?:\.\d{2})?))"
+           r"|(?:(\d[\d,]*(?:\.\d{2})?)\s?(USD|GBP|EUR|JPY|KRW|CAD|AUD))")
+    t = F.coalesce(F.col("t"), F.lit(""))
+    g = [F.regexp_extract(t, old, i) for i in range(1, 7)]
+    amt = F.when(g[0] != "", g[1]).when(g[2] != "", g[3]).when(g[5] != "", g[4])
+    tok = F.when(g[0] != "", g[0]).when(g[2] != "", g[2]).when(g[5] != "", g[5])
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    for was, now in df.select(F.struct(X.to_amount(amt), X.normalize_currency(tok)), X.first_price("t")).collect():
+        assert tuple(was) == tuple(now)
+    price = df.select(X.first_price("t")["price"].alias("p"))
+    assert _plan(price).count("regexp_extract(") == 1
+
+
+def test_cascade_takes_the_first_that_found_something(spark):
+    from receiptflow.operators import extract as E
+    df = spark.createDataFrame([([], None, ["c"]), (None, ["b"], ["c"]), (["a"], [], []), (None, None, None)],
+                               "a array<string>, b array<string>, c array<string>")
+    as_items = [F.transform(c, lambda t: E._item(t, F.lit(1), F.lit(None).cast("double"), F.lit(None).cast("string")))
+                for c in ("a", "b", "c")]
+    found = df.select(E.cascade(*as_items)["title"].alias("t"))
+    assert [r["t"] for r in found.collect()] == [["c"], ["b"], ["a"], []]
+    assert _plan(found).count("transform(") <= 3
+
+
+def test_triage_routes_items_once(spark, monkeypatch):
+    from receiptflow import session
+    from receiptflow.operators import ranking, zones as Z
+    written = []
+
+    def spy(df, name="stage", inner=session.materialize):
+        written.append((name, _plan(df).count("RLIKE")))
+        return inner(df, name)
+    monkeypatch.setattr(session, "materialize", spy)
+    monkeypatch.setattr(ranking, "materialize", spy)
+    items = spark.createDataFrame([(1, "Yoga Mat", 1, None, 3), (2, "Stone", 1, None, None), (3, "Mat yoga mat", 1, None, 1)],
+                                  "id long, name string, quantity int, is_gift string, days_left int")
+    got = Z.triage_report(Z.route_items(items)).select("zone_key", "rank", "id").collect()
+    assert sorted(map(tuple, got)) == [("fitness", 1, 3), ("fitness", 2, 1), ("unrouted", 1, 2)]
+    assert [n for n, k in written if k] == ["routed"]
