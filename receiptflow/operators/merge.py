@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import DEFAULT_STATE, STATES
+from ..session import materialize
 from .ranking import global_position
 
 KEY_COLS = ["profile", "seller", "order_id", "name"]
@@ -251,6 +252,7 @@ def apply_decisions(items: DataFrame, resolved: DataFrame) -> DataFrame:
     the run; per item the decisions apply in ``seq`` order, each reporting
     old -> new.  Decisions are ordered by (seq, key), so equal ``seq`` values
     still give one answer."""
+    resolved = materialize(resolved, "decisions")   # the check reads all of them, and then the join
     check_states(resolved)
     cur = items.select("id", F.coalesce(F.col("return_state"), F.lit("(none)")).alias("_orig"))
     j = resolved.join(cur, "id")
@@ -263,6 +265,7 @@ def apply_decisions(items: DataFrame, resolved: DataFrame) -> DataFrame:
 def decided_catalogue(items: DataFrame, resolved: DataFrame) -> DataFrame:
     """M4: the catalogue after the decisions: per item the last one's state,
     every other column and row unchanged."""
+    resolved = materialize(resolved, "decisions")
     check_states(resolved)
     last = resolved.groupBy("id").agg(F.max_by("state", F.struct("seq", "key")).alias("_state"))
     return items.join(last, "id", "left").withColumn(
