@@ -96,3 +96,32 @@ def test_triage_routes_items_once(spark, monkeypatch):
     got = Z.triage_report(Z.route_items(items)).select("zone_key", "rank", "id").collect()
     assert sorted(map(tuple, got)) == [("fitness", 1, 3), ("fitness", 2, 1), ("unrouted", 1, 2)]
     assert [n for n, k in written if k] == ["routed"]
+
+
+def test_row_keys_of_a_message_are_made_once(spark):
+    from receiptflow.operators import profiles as PR
+    rows = "array<struct<seller:string,order_id:string,name:string>>"
+    df = spark.createDataFrame([([("s", "1", "a"), ("s", "1", None), ("s", "1", "a"), ("s", "1", None), ("s", "1", "")],), (None,)],
+                               f"items {rows}")
+    got = df.select(PR.first_of_each(F.col("items")).alias("x"))
+    assert [r["x"] and [i["pos"] for i in r["x"]] for r in got.collect()] == [[1, 2, 5], None]
+    assert _plan(got).count("transform(items") + _plan(got).count("transform(knownnotnull(items") <= 2   # keys, rows
+
+
+def test_first_letters():
+    from receiptflow.operators import zones as Z
+    assert Z.first_letters([r"\bbulk\b", "lot of"]) == "(?=(?-iU:[BLbl]))"
+    assert "K" in Z.first_letters(["kit"])
+    assert {Z.first_letters([p, "x"]) for p in (r"\d+", "a?b", "a*", "a|b", "(a)", ".", "", "[ab]")} == {""}
+
+
+def test_decisions_are_searched_once(spark, monkeypatch):
+    from receiptflow.operators import merge as M
+    written, inner = [], M.materialize
+    monkeypatch.setattr(M, "materialize", lambda df, name: written.append(name) or inner(df, name))
+    items = spark.createDataFrame([(1, None), (2, "keep")], "id long, return_state string")
+    asked = spark.createDataFrame([(1, "a", "return", 1), (2, "b", "keep", 1)], "seq int, key string, state string, id long")
+    got = [tuple(r) for r in M.apply_decisions(items, asked).orderBy("seq").collect()]
+    assert got == [(1, "a", 1, "(none)", "return"), (2, "b", 1, "return", "keep")]
+    assert M.decided_catalogue(items, asked).orderBy("id").collect()[0]["return_state"] == "keep"
+    assert written == ["decisions", "decisions"]
