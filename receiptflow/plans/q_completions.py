@@ -14,10 +14,11 @@ from .sql_proxies import LINES_P, MAIL_FROM, MAIL_ORDERS, MAIL_SUBJECT, MAIL_TEX
 MAIL = with_(LINES_P, MAIL_ORDERS)
 
 
-def _answers(spark, sf_dir):
-    """Cached answers joined to their messages, JSON salvaged."""
+def _answers(spark, sf_dir, fields=()):
+    """Cached answers joined to their messages (of which only the named fields are
+    rendered), JSON salvaged (X32)."""
     c = P.completions_p(spark, sf_dir)
-    m = P.messages_p(spark, sf_dir)
+    m = P.messages_p(spark, sf_dir, fields)
     j = c.join(m, c.email_uid == m.uid)
     return j.withColumn("json", CO.completion_json("response_json"))
 
@@ -25,7 +26,7 @@ def _answers(spark, sf_dir):
 @query("completion_cache_miss", MAIL + "SELECT uid FROM mail WHERE kind <> 1")
 def completion_cache_miss(spark, sf_dir):
     """Messages without a cached answer."""
-    return CO.cache_misses(P.messages_p(spark, sf_dir), P.completions_p(spark, sf_dir)).select("uid")
+    return CO.cache_misses(P.messages_p(spark, sf_dir, ()), P.completions_p(spark, sf_dir)).select("uid")
 
 
 @query("completion_json", MAIL + "SELECT uid, n AS n_items FROM mail WHERE kind = 1")
@@ -47,7 +48,7 @@ SELECT 'm' || CAST(l_orderkey AS VARCHAR) || '-1' AS uid, CAST(pos AS INTEGER) A
 FROM lines_p""")
 def normalize_completions(spark, sf_dir):
     """Answers -> sightings with the original coercions."""
-    return CO.normalize_completions(_answers(spark, sf_dir))
+    return CO.normalize_completions(_answers(spark, sf_dir, ("subject", "msg_date")))
 
 
 def _prompt_sql() -> str:

@@ -125,3 +125,58 @@ def test_decisions_are_searched_once(spark, monkeypatch):
     assert got == [(1, "a", 1, "(none)", "return"), (2, "b", 1, "return", "keep")]
     assert M.decided_catalogue(items, asked).orderBy("id").collect()[0]["return_state"] == "keep"
     assert written == ["decisions", "decisions"]
+
+
+def _old_completion_json(raw):
+    """The same steps without values that are computed once (as it was before)."""
+    from receiptflow.functions.text import strip_unicode
+    r = strip_unicode(F.coalesce(F.col(raw), F.lit("")))
+    fenced = F.regexp_extract(F.regexp_replace(r, r"^`+|`+$", ""), r"(?s)\{.*", 0)
+    cand = F.when(r.startswith("```"), F.when(F.instr(fenced, "{") > 0, fenced).otherwise(F.lit(""))).otherwise(r)
+    start, end = F.instr(cand, "{"), F.length(cand) - F.instr(F.reverse(cand), "}") + 1
+    inner = F.when((start > 0) & (F.instr(F.reverse(cand), "}") > 0) & (start < end), F.substring(cand, start, end - start + 1))
+    return F.when(F.try_parse_json(cand).isNotNull(), cand).when(F.try_parse_json(inner).isNotNull(), inner)
+
+
+ITEM = '{"name":%s,"maker":null,"price":%s,"currency":"USD","quantity":%s,"order_id":"1"}'
+ANSWERS = ['{"items":[]}', ' \u00a0{"a":1}\n', "```json\n{\"a\":1}\n```", "```", "```json```", "``` {\"a\": ```", "Sure! {\"a\":[1]} more",
+           "}{", "{", "", None, "true", "tRue {}", "null", "[1]", "x", 'N {"é":"}"} \u2028', "NaN", "Infinity", "-1", '"s"', "```\n[1]\n```",
+           "`{}`", "{}\n ", "Sure", 'a {"a":1} {"b":2}', '{"a":1,"a":2}', "```{\"a\":1}``` {", "\u0085{}\u0085", '\u3000z{"k":"``"}`',
+           "```\u00e9{\"\u00e9\":1} \n```\n"]
+
+
+def test_completion_is_read_once(spark):
+    from receiptflow.operators import completions as CO
+    df = spark.createDataFrame([(a,) for a in ANSWERS], "a string")
+    both = df.select("a", CO.completion_json("a").alias("now"), _old_completion_json("a").alias("was")).collect()
+    assert [(r.a, r.now) for r in both] == [(r.a, r.was) for r in both]
+    assert sum(r.now is not None for r in both) > 12
+    plan = _plan(df.select(CO.completion_json("a").alias("x")))
+    assert plan.count("regexp_replace(") == 2 and plan.count("parseJson") == 2   # strip, fence; whole, salvaged
+
+
+def test_contract_is_checked_in_one_pass(spark):
+    from receiptflow.operators import completions as CO
+    ok = ITEM % ('"n"', "1.5", "2")
+    answers = {"ok": '{"items":[%s,%s]}' % (ok, ITEM % ("null", "null", "1")), "none": '{"items":[]}', "top": '{"items":[],"x":1}',
+               "top2": '{"x":1,"items":[%s,%s]}' % (ok, ok), "list": "[%s]" % ok, "null": None, "gap": '{"items":[null]}',
+               "bad": '{"items":[%s,%s,{"name":"n"}]}' % (ITEM % ("5", '"1"', "0"), ITEM % ('"n"', "1", "1.5"))}
+    df = spark.createDataFrame(list(answers.items()), "uid string, json string")
+    found = CO.contract_violations(df)
+    got = sorted((r.uid, r["item"], r.violation) for r in found.collect())
+    keys, price, name, qty, top = "item keys", "price not a number", "name not text", "quantity not a positive int", "top-level keys"
+    assert got == sorted([("top", 0, top), ("top2", 0, top), ("list", 0, top), ("null", 0, top), ("gap", 1, keys), ("gap", 1, qty),
+                          ("bad", 1, price), ("bad", 1, name), ("bad", 1, qty), ("bad", 2, qty), ("bad", 3, keys), ("bad", 3, qty)])
+    plan = _plan(found)
+    assert "Union" not in plan and plan.count("parseJson") == 1
+
+
+def test_mail_is_rendered_as_far_as_asked(spark):
+    from receiptflow.plans import proxies as P, q_completions as Q
+    from .conftest import SF001
+    whole = P.messages_p(spark, SF001)
+    part = P.messages_p(spark, SF001, ("msg_date", "subject"))
+    assert part.columns == [c for c in whole.columns if c not in ("text", "html")]
+    assert part.exceptAll(whole.select(*part.columns)).count() == 0 and part.count() == whole.count()
+    for q in (Q.check_items_json, Q.normalize_completions):
+        assert "https://" not in _plan(q(spark, SF001)), q.__name__
