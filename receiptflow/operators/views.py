@@ -108,23 +108,24 @@ def find_items(items: DataFrame, keys: DataFrame, profile: str) -> DataFrame:
 
     Tiers 1 and 2 are equi-joins; tier 3 is a substring match, run only for the
     keys that found nothing in tiers 1-2, as an equi-join on their rare grams
-    (no key x item comparison).  Digits beyond a BIGINT are no id."""
-    it = items_for_profile(items, profile)
+    (no key x item comparison).  Digits beyond a BIGINT are no id.
+
+    Items and the hits of tiers 1-2 are read many times and written once; give
+    only the columns that are asked for."""
+    it = materialize(items_for_profile(items, profile), "searched-items")
     k = keys.select("key")
     k_id = k.filter(F.col("key").rlike("^[0-9]+$")).withColumn("_kid", F.col("key").try_cast("long"))
     t1 = (k_id.join(it, F.col("_kid") == it.id)
               .select("key", F.lit(1).alias("tier"), *[it[c] for c in it.columns]))
     t2 = (k.join(it, F.col("key") == it.order_id)
            .select("key", F.lit(2).alias("tier"), *[it[c] for c in it.columns]))
-    hit12 = t1.select("key").union(t2.select("key")).distinct()
+    exact = materialize(t1.unionByName(t2), "exact-hits")
+    best = exact.groupBy("key").agg(F.min("tier").alias("_best"))
     # Keys still unresolved: written once, the substring join sizes them.
-    left = materialize(k.join(hit12, "key", "left_anti"), "unresolved-keys")
+    left = materialize(k.join(best, "key", "left_anti"), "unresolved-keys")
     t3 = (substring_join(it, left, "name", "key")
             .select("key", F.lit(3).alias("tier"), *it.columns))
-    allt = t1.unionByName(t2).unionByName(t3)
-    best = allt.groupBy("key").agg(F.min("tier").alias("_best"))
-    return (allt.join(best, "key")
-                .filter(F.col("tier") == F.col("_best")).drop("_best"))
+    return exact.join(best, "key").filter(F.col("tier") == F.col("_best")).drop("_best").unionByName(t3)
 
 
 # --- export -------------------------------------------------------------------

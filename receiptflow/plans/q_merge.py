@@ -8,7 +8,7 @@ from ..operators import merge as M
 from ..operators import views as V
 from ..operators import zones as Z
 from . import proxies as P
-from .q_views import FIND_SQL, SEARCH_KEYS_SQL, search_keys
+from .q_views import FIND_SQL, SEARCH_COLS, SEARCH_KEYS_SQL, search_keys
 from .registry import query
 from .sql_gen import route_ctes
 from .sql_proxies import (DEDUPED, ITEMS_P, LINES_P, MERGED, MESSAGES_LOG_P, REFUNDS_P, SIGHTINGS_P,
@@ -146,7 +146,7 @@ FROM res""")
 def apply_decisions(spark, sf_dir):
     items = P.items_p(spark, sf_dir)
     dec = decisions_p(spark, sf_dir)
-    found = V.find_items(items, dec.select("key"), P.PROFILE).select("key", "id")
+    found = V.find_items(items.select(*SEARCH_COLS), dec.select("key"), P.PROFILE).select("key", "id")
     resolved = found.join(dec, "key")
     return M.apply_decisions(items, resolved).select("seq", "key", "id", "old_state", "new_state")
 
@@ -260,5 +260,5 @@ def decided_catalogue(spark, sf_dir):
     """M4: the whole catalogue after the manual decisions."""
     items = P.items_p(spark, sf_dir)
     dec = decisions_p(spark, sf_dir)
-    found = V.find_items(items, dec.select("key"), P.PROFILE).select("key", "id")
+    found = V.find_items(items.select(*SEARCH_COLS), dec.select("key"), P.PROFILE).select("key", "id")
     return M.decided_catalogue(items, found.join(dec, "key")).select("id", "name", "return_state", "price")

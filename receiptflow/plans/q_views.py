@@ -76,6 +76,9 @@ def items_last_n_months(spark, sf_dir):
     return r.select("id", "name", "dated_at")
 
 
+SEARCH_COLS = ["id", "profile", "name", "order_id"]
+
+
 def search_keys(spark, sf_dir):
     """decisions_p keys in three tiers: item ids, order ids, part-name nouns."""
     orders = P.table(spark, sf_dir, "orders")
@@ -104,7 +107,7 @@ found AS (SELECT *, MIN(tier) OVER (PARTITION BY key) AS best FROM t)"""
 @query("find_items", with_(LINES_P, ITEMS_P, SEARCH_KEYS_SQL, FIND_SQL) + """
 SELECT key, tier, id, name, order_id FROM found WHERE tier = best""")
 def find_items(spark, sf_dir):
-    r = V.find_items(_items(spark, sf_dir), search_keys(spark, sf_dir), P.PROFILE)
+    r = V.find_items(_items(spark, sf_dir).select(*SEARCH_COLS), search_keys(spark, sf_dir), P.PROFILE)
     return r.select("key", "tier", "id", "name", "order_id")
 
 

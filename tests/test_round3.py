@@ -180,3 +180,14 @@ def test_mail_is_rendered_as_far_as_asked(spark):
     assert part.exceptAll(whole.select(*part.columns)).count() == 0 and part.count() == whole.count()
     for q in (Q.check_items_json, Q.normalize_completions):
         assert "https://" not in _plan(q(spark, SF001)), q.__name__
+
+
+def test_searched_items_are_built_once(spark):
+    from receiptflow.operators.views import find_items
+    items = spark.range(1, 60).select("id", F.lit("p").alias("profile"), F.concat(F.lit("lamp "), "id").alias("name"),
+                                      (F.col("id") + 50).cast("string").alias("order_id"))
+    keys = spark.createDataFrame([(k,) for k in ("55", "55", "80", "5", "mp 59", "LAMP 58", None, "zz")], "key string")
+    found = find_items(items, keys, "p")
+    got = sorted((r.key, r.tier, r.id) for r in found.collect())
+    assert got == [("5", 1, 5), ("55", 1, 55), ("55", 1, 55), ("80", 2, 30), ("LAMP 58", 3, 58), ("mp 59", 3, 59)]
+    assert "Range (" not in _plan(found)
