@@ -182,6 +182,24 @@ def test_mail_is_rendered_as_far_as_asked(spark):
         assert "https://" not in _plan(q(spark, SF001)), q.__name__
 
 
+def test_positions_in_one_group_are_no_task_of_their_own(spark):
+    from receiptflow.operators.ranking import position_within
+    df = spark.range(4000).select((F.col("id") % 4000 == 7).alias("g"), (F.col("id") * 7919 % 4000).alias("v"))
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        rows = position_within(df, "g", [F.col("v")], name="r").withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sorted(r.r for r in rows if not r.g) == list(range(1, 4000)) and [r.r for r in rows if r.g] == [1]
+    assert [r.v for r in sorted(rows, key=lambda r: r.r) if not r.g] == sorted(r.v for r in rows if not r.g)
+    tasks = [r.task for r in rows]
+    assert max(map(tasks.count, set(tasks))) < 3000
+
+
 def test_searched_items_are_built_once(spark):
     from receiptflow.operators.views import find_items
     items = spark.range(1, 60).select("id", F.lit("p").alias("profile"), F.concat(F.lit("lamp "), "id").alias("name"),
