@@ -209,3 +209,15 @@ def test_searched_items_are_built_once(spark):
     got = sorted((r.key, r.tier, r.id) for r in found.collect())
     assert got == [("5", 1, 5), ("55", 1, 55), ("55", 1, 55), ("80", 2, 30), ("LAMP 58", 3, 58), ("mp 59", 3, 59)]
     assert "Range (" not in _plan(found)
+
+
+def test_merged_rows_are_made_once(spark, monkeypatch):
+    from receiptflow.operators import merge as M
+    from receiptflow.plans import q_merge
+    from .conftest import SF001
+    ranked, written, inner, keep = [], [], M.global_position, M.materialize
+    monkeypatch.setattr(M, "global_position", lambda df, *a, **k: ranked.append(_plan(df)) or inner(df, *a, **k))
+    monkeypatch.setattr(M, "materialize", lambda df, name: written.append(df.columns) or keep(df, name))
+    assert q_merge.catalog_insert(spark, SF001).count() > 0
+    assert len(ranked) == 1 and "Aggregate" not in ranked[0]
+    assert not {"price", "image_url", "category", "owner"} & set(written[0])
