@@ -22,7 +22,7 @@ def test_strip_is_the_pattern(spark):
     edges = [f"{chr(c)}a {chr(c)}b{chr(c)}" for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000]
     values = [*edges, "", " \n\t", None, "a\n", "\na \u0085", "x \r\n"]
     want = _column(spark, values, lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", ""))
-    assert _column(spark, values, lambda s: X.strip_unicode(F.col(s))) == want
+    assert _column(spark, values, lambda s: X.strip_blanks(F.col(s))) == want
     assert _column(spark, values, X.clean_text) == _column(spark, values, lambda s: F.nullif(F.regexp_replace(
         F.regexp_replace(s, r"(?U)\s+", " "), r"(?U)^\s+|\s+$", ""), F.lit("")))
 
