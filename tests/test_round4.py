@@ -70,3 +70,16 @@ def test_written_stage_drops_its_shuffles(spark, monkeypatch):
     assert out.count() == 7 and all(os.path.exists(d) for d in folders)
     assert not [f for f in files() - before if f.endswith(".data") and os.path.getsize(f) > 400]
     assert spark.conf.get(session.SHUFFLE_CLEANUP, None) in (None, "false")
+
+
+def test_landed_archives_are_compressed(spark):
+    """Mail lands gzipped, in whole, and a second copy holds the same mail."""
+    from receiptflow.plans import proxies as P, q_stream
+    src, _ = q_stream.land_archives(spark, "/root/testdata/sf0.001")
+    files = [f for f in spark.read.text(src).inputFiles()]
+    assert files and all(f.endswith(".gz") for f in files)
+    n = P.messages_p(spark, "/root/testdata/sf0.001").count()
+    assert spark.read.option("lineSep", "\nFrom ").text(src).count() == n
+    inbox, schema, _ = q_stream._land_messages(spark, "/root/testdata/sf0.001", copies=2)
+    both = spark.read.schema(schema).parquet(inbox).groupBy("uid").count()
+    assert both.count() == n and both.filter("count <> 2").count() == 0
